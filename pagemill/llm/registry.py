@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagemill.llm import quality_rules
+from pagemill.llm import jaccard_join, pseudonyms, quality_rules, sharding
 
-MODULES = (quality_rules,)
+MODULES = (quality_rules, sharding, pseudonyms, jaccard_join)
 
 
 def queries() -> dict:
