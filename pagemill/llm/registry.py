@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagemill.llm import jaccard_join, pseudonyms, quality_rules, sharding
+from pagemill.llm import decontamination, html_wrappers, jaccard_join, language_id, line_dedup, pseudonyms, quality_rules, segmentation, sharding, token_counts
 
-MODULES = (quality_rules, sharding, pseudonyms, jaccard_join)
+MODULES = (quality_rules, sharding, pseudonyms, language_id, line_dedup, segmentation, decontamination, token_counts, jaccard_join, html_wrappers)
 
 
 def queries() -> dict:
