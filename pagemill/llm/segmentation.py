@@ -128,27 +128,29 @@ class Lattices:
         c = codes[alone]
         self.piece[alone, 0] = (-2 - c).astype(np.int32)
         cost[alone, 0] = pieces.byte_cost * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
-        # The log mass of what can follow each character, from the end of the stretches to their start.
-        beta = np.zeros(n + widest + 1)
-        paths = np.ones(n + widest + 1)
+        # The log mass of what can follow each character, from the end of the stretches to their start. With r characters
+        # left only pieces of up to r characters count.
+        beta, paths = np.zeros(n + 1), np.ones(n + 1)
         left = end - np.arange(n)
         order = np.argsort(left, kind="stable")
         marks = np.searchsorted(left[order], np.arange(1, (left.max() if n else 0) + 2))
-        reach = np.arange(1, widest + 1)
-        for lo, hi in zip(marks, marks[1:], strict=False):
-            here = order[lo:hi]
-            # Past the end of a stretch a cost is minus infinity, and what stands there does not count.
-            after = here[:, None] + reach
-            ends = after == end[here][:, None]
-            follow = np.where(ends, 0.0, beta[after])
-            total = cost[here] + follow
+        self.cumulated = np.full((n, widest), np.inf, np.float32)
+        for r, (lo, hi) in enumerate(zip(marks, marks[1:], strict=False), 1):
+            here, wide = order[lo:hi], min(r, widest)
+            after = here[:, None] + np.arange(1, wide + 1)
+            total, ways = cost[here, :wide], paths[after]
+            follow = beta[after]
+            if r == wide:
+                follow[:, -1], ways[:, -1] = 0.0, 1.0
+            total += follow
             top = total.max(axis=1)
-            beta[here] = top + np.log(np.exp(total - top[:, None]).sum(axis=1))
-            paths[here] = np.where(np.isfinite(total), np.where(ends, 1.0, paths[after]), 0.0).sum(axis=1)
-            cost[here] = total - beta[here][:, None]
+            share = np.exp(total - top[:, None])
+            mass = share.sum(axis=1)
+            beta[here] = top + np.log(mass)
+            paths[here] = (ways * (share > 0)).sum(axis=1)
+            cost[here, :wide] = total - beta[here][:, None]
+            self.cumulated[here, : wide - 1] = np.cumsum(share[:, :-1], axis=1) / mass[:, None]
         self.log = cost
-        self.cumulated = np.cumsum(np.exp(cost), axis=1)
-        self.cumulated[:, -1] = np.inf
         self.node_paths, self.paths = paths, paths[self.start]
 
     def sample(self, kinds: np.ndarray, seeds: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,10 +162,12 @@ class Lattices:
             u = uniform(seeds[live], turn, len(steps))
             here = at[live]
             size = (self.cumulated[here] < u[:, None]).sum(axis=1)
-            bad = ~np.isfinite(self.log[here, size])
-            if bad.any():
+            part = self.log[here, size]
+            bad = np.flatnonzero(part == -np.inf)
+            if len(bad):
                 size[bad] = np.argmax(self.log[here[bad]], axis=1)
-            log[live] += self.log[here, size]
+                part[bad] = self.log[here[bad], size[bad]]
+            log[live] += part
             steps.append((live, self.piece[here, size]))
             counts[live] += 1
             at[live] = here + size + 1
@@ -208,7 +212,7 @@ class Lattices:
         return out, log
 
     def _size(self, at: int, piece: int) -> int:
-        return int(np.flatnonzero(self.piece[at] == piece)[0])
+        return self.piece[at].tolist().index(piece)
 
     def _paths(self, at: int, end: int) -> float:
         return 1.0 if at >= end else float(self.node_paths[at])
@@ -241,82 +245,98 @@ def _truncated(mass: np.ndarray, u: np.ndarray, top: float) -> np.ndarray:
     return np.where(np.isfinite(mass), out, -np.inf)
 
 
+class _Numbers(dict):
+    def __missing__(self, stretch: str) -> int:
+        self[stretch] = len(self)
+        return self[stretch]
+
+
 def sample_texts(pieces: Pieces, keys: list[int], texts: list[str], k: int, seed: int = 6) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text up to k distinct segmentations, in falling order of their perturbed scores: piece ids, log probability
     and inclusion score. Texts with fewer segmentations give all; an empty text gives the empty one."""
-    rows = [STRETCH.findall(" " + t) if t else [] for t in texts]
-    known: dict[str, int] = {}
-    kinds = [np.fromiter((known.setdefault(s, len(known)) for s in row), np.int64, len(row)) for row in rows]
+    known = _Numbers()
+    kinds = [np.array(list(map(known.__getitem__, STRETCH.findall(" " + t))), np.int64) if t else np.zeros(0, np.int64) for t in texts]
     lattices = Lattices(pieces, list(known))
-    key = _mix(np.array([x & (2**64 - 1) for x in keys], np.uint64) + np.uint64(seed * 0x632BE59BD9B4E019 % 2**64))
     sizes = np.array([len(x) for x in kinds], np.int64)
-
-    def seeds(doc: int, first: int) -> np.ndarray:
-        return _mix(key[doc] + np.arange(first, sizes[doc], dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-
-    found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]] = [[] for _ in texts]
-    # Regions of each text: priority, segmentation whose start is fixed, stretch that must differ, and its paths found there.
-    regions: list[list[tuple[np.ndarray, int, int, dict[int, list]]]] = [[] for _ in texts]
-    todo = [(d, 0, None, 0.0) for d in range(len(texts)) if sizes[d]]
+    offset = np.concatenate(([0], np.cumsum(sizes)))
+    key = _mix(np.array([x & (2**64 - 1) for x in keys], np.uint64) + np.uint64(seed * 0x632BE59BD9B4E019 % 2**64))
+    place = np.arange(offset[-1]) - np.repeat(offset[:-1], sizes)
+    seeds = _mix(np.repeat(key, sizes) + place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
     gumbel = -np.log(-np.log(uniform(key, 901, 0)))
-    picks: dict[int, tuple] = {}
+    # Of each text: the segmentations found, as (pieces of each stretch, all pieces, log probability of each stretch),
+    # and the regions, as (priorities, segmentation whose start is fixed, first stretch, paths found in that stretch).
+    found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in texts]
+    regions: list[list[tuple[np.ndarray, int, int, list]]] = [[] for _ in texts]
+    todo = [(d, 0, -1, float(gumbel[d]), []) for d in range(len(texts)) if sizes[d]]
     for turn in range(k):
         if turn:
-            todo, picks = [], {}
-            for d in range(len(texts)):
-                best = max(((float(r[0].max()), i) for i, r in enumerate(regions[d]) if len(r[0])), default=(-np.inf, -1))
-                if best[0] == -np.inf:
-                    continue
-                priority, of, shift, banned = regions[d][best[1]]
-                word = int(priority.argmax()) + shift
-                todo.append((d, word, of, best[0]))
-                picks[d] = (best[1], banned.get(word) or [_path(found[d][of], word)])
-                priority[word - shift] = -np.inf
+            todo = [x for d in range(len(texts)) if (x := _next(d, regions[d], found[d])) is not None]
         if not todo:
             break
-        begin = [(d, word + bool(turn)) for d, word, _, _ in todo]
-        flat_kinds = np.concatenate([kinds[d][b:] for d, b in begin])
-        counts, flat, log = lattices.sample(flat_kinds, np.concatenate([seeds(d, b) for d, b in begin]), turn)
-        n_new = np.cumsum([0] + [len(kinds[d]) - b for d, b in begin])
+        spans = [(offset[d] + word, offset[d + 1]) for d, word, _, _, _ in todo]
+        rows = np.concatenate([np.arange(a, b) for a, b in spans]) if turn else np.arange(offset[-1])
+        every = np.concatenate(kinds)[rows] if turn else np.concatenate(kinds)
+        counts, flat, log = lattices.sample(every, seeds[rows], turn)
+        first = np.concatenate(([0], np.cumsum([b - a for a, b in spans])))
         edges = np.concatenate(([0], np.cumsum(counts)))
-        for i, (d, word, of, top) in enumerate(todo):
-            lo, hi = n_new[i], n_new[i + 1]
+        before = [0.0] * len(todo)
+        left = [None] * len(todo)
+        for i, (d, word, of, _, banned) in enumerate(todo):
+            lo, hi = first[i], first[i + 1]
             c, f, g = counts[lo:hi], flat[edges[lo] : edges[hi]], log[lo:hi]
             if turn:
-                paths = picks[d][1]
-                new, new_log = lattices.other(int(kinds[d][word]), paths, int(seeds(d, word)[0]), turn)
+                kind = int(every[lo])
+                new = f[: c[0]].tolist()
+                if tuple(new) in banned:
+                    new, log[lo] = lattices.other(kind, banned, int(seeds[rows[lo]]), turn)
+                taken = [*banned, tuple(new)]
+                rest = 1 - sum(math.exp(lattices._log_of(kind, p)) for p in taken)
+                left[i] = (-math.inf if len(taken) >= lattices.paths[kind] else math.log(max(1e-300, rest)), taken)
                 old = found[d][of]
-                cut = int(old[0][:word].sum())
-                c, f, g = np.concatenate((old[0][:word], [len(new)], c)), np.concatenate((old[1][:cut], new, f)), np.concatenate((old[2][:word], [new_log], g))
-            else:
-                top, paths = float(gumbel[d]), []
-            found[d].append((c, f, g, top))
-            before = np.concatenate(([0.0], np.cumsum(g)[:-1]))[word:]
-            with np.errstate(divide="ignore"):
-                mass = before + np.log(-np.expm1(np.minimum(g[word:], 0.0)))
-            mass[lattices.paths[kinds[d][word:]] <= 1] = -np.inf
-            banned: dict[int, list] = {}
-            if turn:
-                taken = [*paths, tuple(new)]
-                left = -math.inf if len(taken) >= lattices.paths[kinds[d][word]] else math.log(max(1e-300, 1 - sum(math.exp(lattices._log_of(int(kinds[d][word]), p)) for p in taken)))
-                mass[0] = before[0] + left
-                banned[word] = taken
-            regions[d].append((_truncated(mass, uniform(seeds(d, word), turn, 900), top), len(found[d]) - 1, word, banned))
+                start = int(old[0][:word].sum())
+                f = np.concatenate((old[1][:start], new, f[c[0] :]))
+                c, g = np.concatenate((old[0][:word], [len(new)], c[1:])), np.concatenate((old[2][:word], g))
+                before[i] = float(old[2][:word].sum())
+            found[d].append((c, f, g))
+        total = np.cumsum(log)
+        base = np.repeat(np.array(before) - (total[first[:-1]] - log[first[:-1]]), np.diff(first))
+        with np.errstate(divide="ignore"):
+            mass = total - log + base + np.log(-np.expm1(np.minimum(log, 0.0)))
+        mass[lattices.paths[every] <= 1] = -np.inf
+        for i in range(len(todo)) if turn else ():
+            mass[first[i]] = before[i] + left[i][0]
+        top = np.repeat(np.array([x[3] for x in todo]), np.diff(first))
+        priority = _truncated(mass, uniform(seeds[rows], turn, 900), top)
+        for i, (d, word, _, _, _) in enumerate(todo):
+            regions[d].append((priority[first[i] : first[i + 1]], len(found[d]) - 1, word, left[i][1] if turn else []))
     out = []
     for d in range(len(texts)):
         if not sizes[d]:
             out.append([(np.zeros(0, np.int64), 0.0, 1.0)])
             continue
-        threshold = max((float(r[0].max()) for r in regions[d] if len(r[0])), default=-np.inf)
+        threshold = max(float(r[0].max()) for r in regions[d])
         samples = []
-        for _, f, g, _ in found[d]:
-            total = float(g.sum())
-            score = 1.0 if threshold == -np.inf else -math.expm1(-math.exp(min(700.0, total - threshold)))
-            samples.append((_expanded(pieces, f), total, score))
+        for _, f, g in found[d]:
+            log_prob = float(g.sum())
+            score = 1.0 if threshold == -np.inf else -math.expm1(-math.exp(min(700.0, log_prob - threshold)))
+            samples.append((_expanded(pieces, f), log_prob, score))
         out.append(samples)
     return out
 
 
+def _next(doc: int, regions: list[tuple], found: list[tuple]) -> tuple[int, int, int, float, list] | None:
+    """The best region of a text, taken off: the text, the stretch that must differ, the segmentation whose start is fixed,
+    the priority, and the paths that the stretch must not take."""
+    tops = [int(r[0].argmax()) for r in regions]
+    best = max(range(len(regions)), key=lambda i: regions[i][0][tops[i]])
+    priority, of, first, taken = regions[best]
+    at, top = tops[best], float(priority[tops[best]])
+    if top == -np.inf:
+        return None
+    priority[at] = -np.inf
+    return doc, first + at, of, top, taken if taken and not at else [_path(found[of], first + at)]
+
+
 def _path(sample: tuple, word: int) -> tuple[int, ...]:
     start = int(sample[0][:word].sum())
     return tuple(int(x) for x in sample[1][start : start + int(sample[0][word])])
