@@ -74,17 +74,17 @@ def shingles(text: str | None, codes: WordCodes, size: int = 5) -> np.ndarray:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Ascending whole numbers as differences of as few bytes each as the largest needs, led by that number."""
-    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    return bytes([width]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    """Ascending whole numbers: the first, then differences of as few bytes each as the largest needs, led by that number."""
+    steps = np.diff(values, prepend=values[:1]).astype("<u8")
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + int(values[0]).to_bytes(8, "little") + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
     width = data[0]
-    wide = np.zeros(((len(data) - 1) // width, 8), np.uint8)
-    wide[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+    wide = np.zeros(((len(data) - 9) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64) + np.frombuffer(data, "<u8", 1, 1)
 
 
 PARTS = "part long, chunk long, kind int, a binary, b binary, c binary"
