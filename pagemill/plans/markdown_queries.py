@@ -53,6 +53,9 @@ SQL_LINES = f"""{SQL_MD}, l0 AS (SELECT doc_id, title, i, ls[i] AS line FROM (SE
 l AS (SELECT *, regexp_matches(line, '^[ \t]*```') AS fence, (sum(regexp_matches(line, '^[ \t]*```')::INT) OVER (PARTITION BY doc_id ORDER BY i) - regexp_matches(line, '^[ \t]*```')::INT) % 2 = 1 AS code FROM l0)"""
 
 
+TOP = r"regexp_extract(md, '(?m)^#\s+(\S.*)$', 1)"
+
+
 def md_query(name: str, run, sql: str) -> None:
     @query(name, sql)
     def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +152,7 @@ md_query(
     "md_primary_heading",
     lambda: M.primary_heading(F.regexp_replace("md", r"\A# .*\n", ""), F.concat(F.lit("A page about "), c("title"))),
     rf"""WITH {SQL_MD}, x AS (SELECT doc_id, regexp_replace(md, '\A# .*\n', '') AS md, {sql_normal("'A page about ' || title")} AS name FROM m),
-    h AS (SELECT *, regexp_extract(md, '(?m)^#\s+(\S.*)$', 1) AS top, {sql_heading("name")} AS a, {sql_heading("regexp_extract(md, '(?m)^#\s+(\S.*)$', 1)")} AS b FROM x),
+    h AS (SELECT *, regexp_extract(md, '(?m)^#\s+(\S.*)$', 1) AS top, {sql_heading("name")} AS a, {sql_heading(TOP)} AS b FROM x),
     t AS (SELECT *, list_filter(string_split(a, ' '), lambda x: length(x) > 2) AS ta, list_distinct(list_filter(string_split(b, ' '), lambda x: length(x) > 2)) AS tb FROM h)
     SELECT doc_id, CASE WHEN top <> '' AND a <> '' AND b <> '' AND (a = b OR (length(a) >= 20 AND contains(b, a)) OR (length(b) >= 20 AND contains(a, b)) OR (len(ta) > 0 AND len(tb) > 0 AND len(list_filter(ta, lambda x: list_contains(tb, x))) >= least(3, len(ta), len(tb)))) THEN md
       ELSE '# ' || name || chr(10) || chr(10) || md END AS md FROM t""",
