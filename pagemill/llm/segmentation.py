@@ -24,7 +24,7 @@ from pagemill.llm.common import table
 from pagemill.llm.token_counts import TOKENIZERS
 
 #: Samples for each text, weight of the piece ranks in the sampling, and characters that are sampled together.
-SAMPLES, ALPHA, TOGETHER = 2, 1.0, 3_000_000
+SAMPLES, ALPHA, TOGETHER = 2, 1.0, 2_000_000
 STRETCH = re.compile(" +[^ ]*|[^ ]+")
 #: Characters with a column of their own in the table of the trie; the rest is looked up by search.
 DENSE = 128
@@ -100,78 +100,89 @@ class Pieces:
 
 
 class Lattices:
-    """The lattices of distinct stretches: for each character and piece length the piece, and the share of paths that take it."""
+    """The lattices of distinct stretches.
+
+    A node is a place in a stretch; nodes are numbered by the characters left, so what follows a node has a lower number.
+    Edges stand by node, long pieces first: piece, log of the share of the node's paths that take it, and the next node.
+    """
 
     def __init__(self, pieces: Pieces, stretches: list[str]):
-        self.pieces = pieces
         lengths = np.array([len(s) for s in stretches], np.int64)
-        codes = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        codes = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
         stop = np.cumsum(lengths)
-        self.start, n, widest = stop - lengths, len(codes), pieces.longest
+        n = self.end = len(codes)
         end = np.repeat(stop, lengths)
-        self.end = end
-        cost = np.full((n, widest), -np.inf)
-        self.piece = np.full((n, widest), -1, np.int32)
-        at, node = np.arange(n), np.zeros(n, np.int32)
-        for depth in range(widest):
+        left = end - np.arange(n)
+        order = np.argsort(left, kind="stable")
+        number = np.empty(n, np.int32)
+        number[order] = np.arange(n, dtype=np.int32)
+        self.first = number[stop - lengths]
+        degree, found = np.zeros(n, np.int64), []
+        who, at, node, room = np.arange(n), order, np.zeros(n, np.int32), left[order]
+        for depth in range(pieces.longest):
             node = pieces.step(node, codes[at + depth])
-            alive = node > 0
-            at, node = at[alive], node[alive]
             whole = pieces.piece[node] >= 0
-            self.piece[at[whole], depth] = pieces.piece[node[whole]]
-            cost[at[whole], depth] = pieces.cost[node[whole]]
-            more = at + depth + 1 < end[at]
-            at, node = at[more], node[more]
-            if not len(at):
+            w, m = who[whole], node[whole]
+            piece, cost = pieces.piece[m], pieces.cost[m]
+            if not depth:
+                alone = np.flatnonzero(~whole)
+                c = codes[at[alone]]
+                w, piece = np.concatenate((w, alone)), np.concatenate((piece, -2 - c))
+                cost = np.concatenate((cost, pieces.byte_cost * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))))
+            degree[w] += 1
+            found.append((w, piece, cost))
+            more = (node > 0) & (room > depth + 1)
+            who, at, node, room = who[more], at[more], node[more], room[more]
+            if not len(who):
                 break
-        alone = np.flatnonzero(self.piece[:, 0] < 0)
-        c = codes[alone]
-        self.piece[alone, 0] = (-2 - c).astype(np.int32)
-        cost[alone, 0] = pieces.byte_cost * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
-        # The log mass of what can follow each character, from the end of the stretches to their start. With r characters
-        # left only pieces of up to r characters count.
+        self.offset = np.concatenate(([0], np.cumsum(degree)))
+        self.piece, self.log = np.empty(self.offset[-1], np.int32), np.empty(self.offset[-1])
+        self.next = np.empty(self.offset[-1], np.int32)
+        free = self.offset[1:].copy()
+        for depth, (w, piece, cost) in enumerate(found):
+            free[w] -= 1
+            to = free[w]
+            self.piece[to], self.log[to] = piece, cost
+            after = order[w] + depth + 1
+            self.next[to] = np.where(after == end[order[w]], n, number[np.minimum(after, n - 1)])
+        # The log mass and the number of what can follow each node, from the ends of the stretches to their starts.
         beta, paths = np.zeros(n + 1), np.ones(n + 1)
-        left = end - np.arange(n)
-        order = np.argsort(left, kind="stable")
-        marks = np.searchsorted(left[order], np.arange(1, (left.max() if n else 0) + 2))
-        self.cumulated = np.full((n, widest), np.inf, np.float32)
-        for r, (lo, hi) in enumerate(zip(marks, marks[1:], strict=False), 1):
-            here, wide = order[lo:hi], min(r, widest)
-            after = here[:, None] + np.arange(1, wide + 1)
-            total, ways = cost[here, :wide], paths[after]
-            follow = beta[after]
-            if r == wide:
-                follow[:, -1], ways[:, -1] = 0.0, 1.0
-            total += follow
-            top = total.max(axis=1)
-            share = np.exp(total - top[:, None])
-            mass = share.sum(axis=1)
-            beta[here] = top + np.log(mass)
-            paths[here] = (ways * (share > 0)).sum(axis=1)
-            cost[here, :wide] = total - beta[here][:, None]
-            self.cumulated[here, : wide - 1] = np.cumsum(share[:, :-1], axis=1) / mass[:, None]
-        self.log = cost
-        self.node_paths, self.paths = paths, paths[self.start]
+        sorted_left = left[order]
+        marks = np.searchsorted(sorted_left, np.arange(1, (sorted_left[-1] if n else 0) + 2))
+        for lo, hi in zip(marks, marks[1:], strict=False):
+            if lo == hi:
+                continue
+            x, y = self.offset[lo], self.offset[hi]
+            starts, many = self.offset[lo:hi] - x, degree[lo:hi]
+            total = self.log[x:y] + beta[self.next[x:y]]
+            top = np.maximum.reduceat(total, starts)
+            beta[lo:hi] = top + np.log(np.add.reduceat(np.exp(total - np.repeat(top, many)), starts))
+            self.log[x:y] = total - np.repeat(beta[lo:hi], many)
+            paths[lo:hi] = np.add.reduceat(paths[self.next[x:y]], starts)
+        share = np.exp(self.log)
+        summed = np.cumsum(share)
+        base = summed[self.offset[:-1]] - share[self.offset[:-1]] if n else summed
+        self.cumulated = (summed - np.repeat(base, degree)).astype(np.float32)
+        self.cumulated[self.offset[1:] - 1] = np.inf
+        self.node_paths, self.paths = paths, paths[self.first]
 
     def sample(self, kinds: np.ndarray, seeds: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A segmentation of each stretch given by its number: numbers of pieces, all pieces in a row, log probabilities."""
-        at, end = self.start[kinds].copy(), self.end[self.start[kinds]] if len(kinds) else np.zeros(0, np.int64)
         log, counts, steps = np.zeros(len(kinds)), np.zeros(len(kinds), np.int64), []
-        live = np.arange(len(kinds))
+        live, here = np.arange(len(kinds)), self.first[kinds]
         while len(live):
-            u = uniform(seeds[live], turn, len(steps))
-            here = at[live]
-            size = (self.cumulated[here] < u[:, None]).sum(axis=1)
-            part = self.log[here, size]
-            bad = np.flatnonzero(part == -np.inf)
-            if len(bad):
-                size[bad] = np.argmax(self.log[here[bad]], axis=1)
-                part[bad] = self.log[here[bad], size[bad]]
-            log[live] += part
-            steps.append((live, self.piece[here, size]))
+            u = uniform(seeds[live], turn, len(steps)).astype(np.float32)
+            edge = self.offset[here]
+            todo = np.flatnonzero(self.cumulated[edge] < u)
+            while len(todo):
+                edge[todo] += 1
+                todo = todo[self.cumulated[edge[todo]] < u[todo]]
+            log[live] += self.log[edge]
             counts[live] += 1
-            at[live] = here + size + 1
-            live = live[at[live] < end[live]]
+            steps.append((live, self.piece[edge]))
+            here = self.next[edge]
+            more = here < self.end
+            live, here = live[more], here[more]
         offset = np.cumsum(counts) - counts
         flat = np.zeros(int(counts.sum()), np.int64)
         for depth, (who, piece) in enumerate(steps):
@@ -179,50 +190,39 @@ class Lattices:
         return counts, flat, log
 
     def other(self, kind: int, found: list[tuple[int, ...]], seed: int, turn: int) -> tuple[list[int], float]:
-        """A segmentation of one stretch that is none of those found, and its log probability, drawn exactly."""
-        at = begin = int(self.start[kind])
-        end, out, log, depth = int(self.end[begin]), [], 0.0, 0
-        rest = [(list(f), math.exp(self._log_of(kind, f))) for f in found]
-        while at < end:
-            log_here = self.log[at]
-            mass = np.exp(log_here)
+        """A segmentation of one stretch that is none of those found, and its log probability, drawn exactly.
+
+        From node to node an edge has its share of the paths less that of the found paths which still run through it; an
+        edge all of whose paths are found has none, whatever rounding leaves.
+        """
+        node, out, log, depth = int(self.first[kind]), [], 0.0, 0
+        rest = [(f, math.exp(self.log_of(kind, f))) for f in found]
+        while node < self.end:
+            x, y = int(self.offset[node]), int(self.offset[node + 1])
+            pieces, mass = self.piece[x:y].tolist(), np.exp(self.log[x:y])
+            through = [0] * len(pieces)
             for path, p in rest:
-                size = self._size(at, path[0])
-                mass[size] -= p
-            # What is left of a share after all its paths were found is rounding; count its paths instead.
-            for size in range(len(mass)):
-                through = [x for x in rest if self._size(at, x[0][0]) == size]
-                if through and len(through) >= (self._paths(at + size + 1, end)):
-                    mass[size] = 0.0
-            mass = np.maximum(mass, 0.0)
-            if not mass.sum() > 0:
-                usable = [s for s in range(len(mass)) if np.isfinite(log_here[s]) and sum(self._size(at, x[0][0]) == s for x in rest) < self._paths(at + s + 1, end)]
-                mass = np.zeros(len(mass))
-                mass[usable[0]] = 1.0
-            u = float(uniform(np.array([seed], np.uint64), turn, 1000 + depth)[0]) * mass.sum()
-            size = int(np.searchsorted(np.cumsum(mass), u, "right"))
-            size = min(size, int(np.flatnonzero(mass)[-1]))
-            piece = int(self.piece[at, size])
-            p = math.exp(log_here[size])
-            rest = [(path[1:], q / p) for path, q in rest if path[0] == piece and len(path) > 1 and self._size(at, path[0]) == size]
-            out.append(piece)
-            log += float(log_here[size])
-            at += size + 1
-            depth += 1
+                mass[pieces.index(path[0])] -= p
+                through[pieces.index(path[0])] += 1
+            usable = [i for i in range(len(pieces)) if through[i] < self.node_paths[self.next[x + i]]]
+            weight = np.maximum(mass[usable], 0.0)
+            if not weight.sum() > 0:
+                weight[:] = 1.0
+            u = float(uniform(np.array([seed], np.uint64), turn, 1000 + depth)[0]) * weight.sum()
+            pick = usable[min(int(np.searchsorted(np.cumsum(weight), u, "right")), len(usable) - 1)]
+            share = float(self.log[x + pick])
+            rest = [(path[1:], q / math.exp(share)) for path, q in rest if path[0] == pieces[pick] and len(path) > 1]
+            out.append(pieces[pick])
+            log += share
+            node, depth = int(self.next[x + pick]), depth + 1
         return out, log
 
-    def _size(self, at: int, piece: int) -> int:
-        return self.piece[at].tolist().index(piece)
-
-    def _paths(self, at: int, end: int) -> float:
-        return 1.0 if at >= end else float(self.node_paths[at])
-
-    def _log_of(self, kind: int, path: tuple[int, ...]) -> float:
-        at, log = int(self.start[kind]), 0.0
+    def log_of(self, kind: int, path: tuple[int, ...]) -> float:
+        node, log = int(self.first[kind]), 0.0
         for piece in path:
-            size = self._size(at, piece)
-            log += float(self.log[at, size])
-            at += size + 1
+            edge = int(self.offset[node]) + self.piece[self.offset[node] : self.offset[node + 1]].tolist().index(piece)
+            log += float(self.log[edge])
+            node = int(self.next[edge])
         return log
 
 
@@ -290,7 +290,7 @@ def sample_texts(pieces: Pieces, keys: list[int], texts: list[str], k: int, seed
                 if tuple(new) in banned:
                     new, log[lo] = lattices.other(kind, banned, int(seeds[rows[lo]]), turn)
                 taken = [*banned, tuple(new)]
-                rest = 1 - sum(math.exp(lattices._log_of(kind, p)) for p in taken)
+                rest = 1 - sum(math.exp(lattices.log_of(kind, p)) for p in taken)
                 left[i] = (-math.inf if len(taken) >= lattices.paths[kind] else math.log(max(1e-300, rest)), taken)
                 old = found[d][of]
                 start = int(old[0][:word].sum())
