@@ -143,7 +143,7 @@ def _inline(node: Node, preset: str) -> str:
         text = node.text(True)
         return f"`{text}`" if text.strip() else text
     text = "".join(k if isinstance(k, str) else _inline(k, preset) for k in node.kids)
-    bare = text.strip()
+    bare = text.strip(" \t\r\n\x00")
     if not bare:
         return text
     around = lambda mark: text.replace(bare, f"{mark}{bare}{mark}", 1)

@@ -107,7 +107,9 @@ def extract(pages: DataFrame, captured_at: str, mode: str = "balanced", slider:
         return F.struct((-score).alias("a"), (-S.default_retention(f)).alias("b"), S.default_penalty(f).alias("c"), c["place"].alias("d"), c["source"].alias("source"), c["markdown"].alias("markdown"))
 
     viable = F.filter("candidates", lambda c: (c["f"]["text_length"] > 0) & (c["f"]["text_length"] >= F.least(S.min_length(F.col("n_source"), mode_, slider_), F.col("n_source"))))
-    ranked = parsed.withColumn("w", w).withColumn("ranked", F.array_sort(F.transform(viable, scored)))
+    some = F.filter("candidates", lambda c: c["f"]["text_length"] > 0)
+    pool = F.when(F.size(viable) > 0, viable).otherwise(some)
+    ranked = parsed.withColumn("w", w).withColumn("pool", pool).withColumn("ranked", F.array_sort(F.transform("pool", scored)))
     best = ranked.withColumn("best", F.get("ranked", F.lit(0)))
     light = M.light_canonical(F.coalesce("best.markdown", F.lit("")), F.col("title"))
     delivered = best.withColumn("body", light)

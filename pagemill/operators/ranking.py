@@ -14,7 +14,7 @@ NEVER = 9007199254740991
 def rank_candidates(candidates: DataFrame, key: str, min_length: Column | int = 1) -> DataFrame:
     """The candidates that are long enough with `rank` from 1 within their page: score and retention high first, then
     penalty and processing time low, then source and the place in the pool. A missing time counts as the longest."""
-    time = F.coalesce(F.greatest(F.col("processing_ms"), F.lit(0.0)), F.lit(float(NEVER)))
+    time = F.when(F.col("processing_ms").isNull(), float(NEVER)).otherwise(F.greatest(F.col("processing_ms"), F.lit(0.0)))
     order = [F.col("score").desc(), F.col("retention").desc(), F.col("penalty"), time, F.col("source"), F.col("place")]
     viable = candidates.filter((F.col("text_length") > 0) & (F.col("text_length") >= min_length))
     return viable.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
