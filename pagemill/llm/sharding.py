@@ -12,8 +12,8 @@ BUCKET_ROWS = 20_000
 
 
 def _unit(value: Column) -> Column:
-    """A 64-bit hash as a number from 0 to below 1."""
-    return F.shiftrightunsigned(value, 11).cast("double") / float(1 << 53)
+    """A 63-bit hash as a number from 0 to below 1, in the same order."""
+    return F.shiftright(value, 10).cast("double") / float(1 << 53)
 
 
 def _ranked(rows: DataFrame, group: list[str], bucket: str, order: list[str], name: str) -> DataFrame:
@@ -42,7 +42,7 @@ def interleave(rows: DataFrame, key: list[str], by: str = "source", n_shards: in
     interchangeable: each gets a place of its own. An empty table gives an empty result. Only the columns given come
     along, so pass keys and not texts. The names shard and slot are replaced, and the input is written to a checkpoint.
     """
-    hashed = rows.withColumn("_x", F.xxhash64(F.lit(seed), *key))
+    hashed = rows.withColumn("_x", F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 1))
     base = cut(hashed)
     total = base.count()
     sizes = base.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_rows"))

@@ -1,0 +1,356 @@
+"""Operators against plain versions."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pagemill.llm import components, decontamination, html_wrappers, jaccard_join, language_id, line_dedup, pseudonyms, quality_rules, segmentation, sharding, token_counts
+
+WORDS = "the of and cat dog house tree river stone light dark moon sun star cloud rain snow wind fire earth".split()
+
+
+def text_of(rng, n, words=WORDS):
+    return " ".join(rng.choice(words) + rng.choice(["", "", "s", "ed", "ing"]) for _ in range(n))
+
+
+# Quality rules.
+
+
+def plain_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    many = {g for g in grams if grams.count(g) > 1}
+    hit = {i + k for i, g in enumerate(grams) if g in many for k in range(8)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality_counts(spark):
+    rng = random.Random(1)
+    texts = [text_of(rng, n, WORDS[:k]) for n in (0, 1, 7, 8, 9, 16, 40, 200) for k in (1, 2, 4, 20)]
+    texts += ["a b c d e f g h " * 5, "x\n\nx\n y\nx", "#$%& |<>* ok"]
+    rows = quality_rules.apply_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    for r in rows:
+        want = plain_counts(texts[r["doc_id"]])
+        assert tuple(r["counts"][n] for n in names) == want
+        assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+
+
+# Sharding.
+
+
+def test_shards_match_the_mixture(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["big"] * 8 + ["mid"] * 3 + ["low", None])) for i in range(1003)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string")
+    made = [sharding.interleave(frame, ["doc_id"], bucket_rows=n).orderBy("doc_id").collect() for n in (10**6, 17)]
+    assert made[0] == made[1]  # buckets change nothing
+    per = {}
+    for r in made[0]:
+        per.setdefault(r["shard"], []).append(r)
+    sizes = [len(per[s]) for s in range(8)]
+    assert sorted(per) == list(range(8)) and max(sizes) - min(sizes) <= 1
+    for source in ("big", "mid", "low", None):
+        share = sum(s == source for _, s in rows) / 8
+        assert all(abs(sum(r["source"] == source for r in per[s]) - share) < 2 for s in per)
+    for s in per:
+        assert sorted(r["slot"] for r in per[s]) == list(range(len(per[s])))
+
+
+# Pseudonyms.
+
+
+def test_feistel_is_a_permutation(spark):
+    n = 17 * 5
+    out = spark.range(n).select(pseudonyms.feistel_number(F.col("id"), 17, 5, "k", "x").alias("v")).collect()
+    assert sorted(r["v"] for r in out) == list(range(n))
+    texts = [f"{a}{b}" for a in "0123456789" for b in "0123456789"]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select(pseudonyms.feistel_text(F.col("t"), "k", "x").alias("v")).collect()
+    assert sorted(r["v"] for r in out) == texts
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def test_formats_and_links(spark):
+    one = "mail ann.lee@example.com card 4111 1111 1111 1111 ip 10.0.200.7 tel +1 (212) 555-0100 on 2024-02-29, 12/31/1999 and 01.02.2003, ssn 123-45-6789"
+    two = "ip 10.0.200.7 again; bad card 4111 1111 1111 1112, bad ip 300.1.1.1, bad date 2023-02-30, bad ssn 000-12-3456, version 1.2.3"
+    a, b = (r["text"] for r in pseudonyms.pseudonymise(spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")).orderBy("doc_id").collect())
+    shape = lambda t: re.sub(r"\d+(?=[.\d]*)", "9", re.sub("[a-z]", "a", t))
+    assert shape(a) == shape(one) and a != one
+    for secret in ("ann.lee@", "4111 1111 1111 1111", "10.0.200.7", "(212) 555-0100", "2024-02-29", "12/31/1999", "01.02.2003", "123-45-6789"):
+        assert secret not in a
+    assert luhn(re.sub(r"\D", "", re.search(r"card ([\d ]+) ip", a)[1]))
+    assert re.search(r"ip (\S+) tel", a)[1] == re.search(r"ip (\S+) again", b)[1]
+    assert b.split("again")[1] == two.split("again")[1]
+    other = pseudonyms.pseudonymise(spark.createDataFrame([(1, one)], "doc_id long, text string"), key="another").first()["text"]
+    assert other != a
+
+
+# Language.
+
+
+def test_language_held_out(spark):
+    rng = random.Random(4)
+    letters = {"aa": "abcdeo", "bb": "klmnoi", "cc": "xyzwue"}
+    rows = [(i, " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(2, 7))) for _ in range(30)), lang) for i, lang in enumerate(list(letters) * 60)]
+    frame = spark.createDataFrame([*rows, (10_000, "123 ... !!", None), (10_001, None, "aa")], "doc_id long, text string, lang string")
+    model = language_id.fit(frame.filter(~language_id.held_out()))
+    out = language_id.identify(frame, model).withColumn("held", language_id.held_out()).collect()
+    held = [r for r in out if r["held"] and r["doc_id"] < 10_000]
+    assert len(held) > 30 and sum(r["lang_pred"] == r["lang"] for r in held) >= 0.97 * len(held)
+    assert all(r["held"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out)
+    assert {r["lang_pred"] for r in out if r["doc_id"] >= 10_000} == {"und"}
+    assert all(0 <= r["score"] <= 1 for r in out)
+    assert {r["lang_pred"] for r in language_id.identify(frame, language_id.fit(frame.limit(0))).collect()} == {"und"}
+
+
+# Lines.
+
+
+def plain_lines(docs, window, long):
+    seen, gone = {}, {}
+    for at, (doc_id, text) in enumerate(docs):
+        lines = [(i, x.strip(" \t\n\x0b\x0c\r")) for i, x in enumerate(text.split("\n"))]
+        lines = [x for x in lines if x[1]]
+        runs = [(k, tuple(x[1] for x in lines[k : k + window]), [x[0] for x in lines[k : k + window]]) for k in range(len(lines) - window + 1)]
+        runs += [(k, (x,), [i]) for k, (i, x) in enumerate(lines) if len(x.split()) >= long]
+        for k, run, places in sorted(runs, key=lambda r: r[0]):
+            if run in seen:
+                gone.setdefault(at, set()).update(places)
+            else:
+                seen[run] = (doc_id, k)
+    return ["\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(at, ())) for at, (_, t) in enumerate(docs)]
+
+
+@pytest.mark.parametrize("window", [2, 3])
+def test_line_dedup(spark, window):
+    rng = random.Random(window)
+    pool = [text_of(rng, n) for n in (1, 2, 3, 5, 8, 12, 31, 40)]
+    docs = [(i, "\n".join(rng.choice([*pool, "", "  " + pool[0] + " ", text_of(rng, 4)]) for _ in range(rng.randint(0, 14)))) for i in range(60)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), window=window).orderBy("doc_id").collect()
+    assert [r["text"] for r in out] == plain_lines(docs, window, line_dedup.LONG)
+
+
+# Decontamination.
+
+
+def plain_hits(text, items, window):
+    norm = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    words, hit, found = norm(text), set(), set()
+    for name, body in items:
+        ws = norm(body)
+        n = min(window, len(ws))
+        grams = {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)} if n else set()
+        for i in range(len(words) - n + 1):
+            if n and tuple(words[i : i + n]) in grams:
+                hit |= set(range(i, i + n))
+                found.add(name)
+    return len(words), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("block_words", [10**6, 30])
+def test_decontamination(spark, monkeypatch, block_words):
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", block_words)
+    rng = random.Random(7)
+    items = [(str(i), text_of(rng, n, WORDS[:6])) for i, n in enumerate((25, 12, 10, 9, 4, 2, 40, 0))] + [("8", "Éa, B-c 1")]
+    texts = [text_of(rng, n, WORDS[:6]) for n in (0, 1, 5, 30, 300)]
+    texts += ["pre " + items[0][1].upper() + " post", items[1][1] + ". " + items[2][1], items[6][1][:80], "xx éA b c 1 yy", items[3][1] + " " + items[3][1]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    for r in decontamination.find_overlaps(frame, bench).withColumn("n", decontamination.n_hit(F.col("found"))).collect():
+        want = plain_hits(texts[r["doc_id"]], items, 10)
+        assert (r["found"]["n_words"], r["n"], sorted(set(r["found"]["items"]))) == want, r["doc_id"]
+
+
+def test_spans_leave_the_text(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    frame = spark.createDataFrame([(1, "lead " * 20 + passage.upper() + ", tail " * 20), (2, passage), (3, "clean é text")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in decontamination.decontaminate(frame, spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()}
+    assert set(out) == {1, 3} and "W5" not in out[1] and out[1].startswith("lead") and out[1].rstrip().endswith("tail") and out[3] == "clean é text"
+
+
+# Tokens.
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts(spark, rule):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    texts = ["", "a", "one\n\n\ntwo\n three", "é😀\nß 中文字\r\n end\n"] + [text_of(rng, n).replace(" ", "\n", 3) for n in (1, 5, 50)]
+    plain = Tokenizer.from_file(f"{token_counts.TOKENIZERS}/byte_bpe_50k.json")
+    ranks = token_counts.load_ranks(f"{token_counts.TOKENIZERS}/byte_bpe_50k.tiktoken")
+    out = token_counts.attribute_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ranks, rule=rule).collect()
+    for r in out:
+        text, t = texts[r["doc_id"]], r["tokens"]
+        lines = re.findall(r"[^\n]*\n|[^\n]+$", text)
+        assert t["n_tokens"] == len(plain.encode(text, add_special_tokens=False).ids)
+        assert len(t["by_section"]) == len(lines) and abs(sum(t["by_section"]) - t["n_tokens"]) < 1e-6
+        if rule == "start" and text.isascii():
+            starts = np.cumsum([0] + [len(x) for x in lines])
+            want = np.zeros(len(lines))
+            for a, _ in plain.encode(text, add_special_tokens=False).offsets:
+                want[np.searchsorted(starts, a, "right") - 1] += 1
+            assert list(want) == t["by_section"]
+
+
+def test_unknown_rule():
+    with pytest.raises(ValueError):
+        token_counts.Attribution({b"a": 0}, "other")
+
+
+# Segmentations.
+
+PIECES = segmentation.Pieces(segmentation.read_model())
+
+
+def test_round_trip_and_distinct():
+    rng = random.Random(6)
+    texts = ["", " ", "a", "  two  spaces ", "tab\tline\nend", "é ß 中文 😀 ▁ \u0000", "x" * 500] + [text_of(rng, n) for n in (1, 3, 40)]
+    for text, samples in zip(texts, segmentation.sample_texts(PIECES, list(range(len(texts))), texts, 5), strict=True):
+        assert all(PIECES.decode(ids.tolist()) == text for ids, _, _ in samples)
+        assert len({tuple(ids.tolist()) for ids, _, _ in samples}) == len(samples)
+        assert all(0 <= score <= 1 and log <= 1e-9 for _, log, score in samples)
+
+
+def test_all_segmentations_and_their_law():
+    text = "the cat"
+    every = segmentation.sample_texts(PIECES, [0], [text], 10_000)[0]
+    share = {tuple(ids.tolist()): np.exp(log) for ids, log, _ in every}
+    assert abs(sum(share.values()) - 1) < 1e-9 and all(score == 1 for _, _, score in every)
+    n, first, second = 3000, {}, {}
+    for row in segmentation.sample_texts(PIECES, list(range(n)), [text] * n, 2):
+        a, b = (tuple(s[0].tolist()) for s in row)
+        first[a] = first.get(a, 0) + 1
+        second[a] = second.get(a, 0) + 1
+        second[b] = second.get(b, 0) + 1
+    for path, p in sorted(share.items(), key=lambda x: -x[1])[:3]:
+        within = p + sum(q * p / (1 - q) for other, q in share.items() if other != path)
+        assert abs(first.get(path, 0) / n - p) < 0.04 and abs(second.get(path, 0) / n - within) < 0.04
+
+
+def test_samples_follow_the_key_alone():
+    together = segmentation.sample_texts(PIECES, [5, 6], ["some words here", "other words there"], 3)
+    alone = segmentation.sample_texts(PIECES, [6], ["other words there"], 3)
+    assert [s[0].tolist() for s in together[1]] == [s[0].tolist() for s in alone[0]]
+
+
+# Near duplicates.
+
+
+def plain_components(docs, threshold=75):
+    def shingles(t):
+        ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+    sets = [(i, shingles(t)) for i, t in docs]
+    parent = {i: i for i, _ in docs}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[:x]:
+            if a and b and 100 * len(a & b) >= threshold * len(a | b):
+                p, q = sorted((root(i), root(j)))
+                parent[q] = p
+    return {i: (len(s), root(i)) for i, s in sets}
+
+
+def near_copies(rng, n):
+    docs = []
+    for group in range(n):
+        base = text_of(rng, rng.choice([3, 5, 12, 60, 150])).split()
+        for _ in range(rng.choice([1, 2, 5, 20])):
+            copy = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                copy[rng.randrange(len(copy))] = f"edit{rng.randrange(40)}"
+            docs.append(" ".join(copy).upper() if rng.random() < 0.2 else " ".join(copy))
+            if rng.random() < 0.3:
+                base = copy  # chains of edits
+    rng.shuffle(docs)
+    return list(enumerate(docs))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_components(spark, monkeypatch, small):
+    if small:  # tiny chunks, buckets and blocks, one pivot: every path of the join runs
+        for name, value in (("CHUNK_SHINGLES", 300), ("BUCKET_KEYS", 200), ("BLOCK_KEYS", 60), ("PIVOTS", 1)):
+            monkeypatch.setattr(jaccard_join, name, value)
+    docs = near_copies(random.Random(9), 14)
+    out = jaccard_join.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == plain_components(docs)
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(25)] + [(7, 7)]
+    parent = {n: n for e in edges for n in e if e[0] != e[1]}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            p, q = sorted((root(a), root(b)))
+            parent[q] = p
+    out = components.connected(spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert {r["node"]: r["component"] for r in out} == {n: root(n) for n in parent}
+
+
+# Pages.
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body class="home"><header><h2>Site</h2></header>
+<nav><ul><li><a href="/a">Menu {i}</a></li></ul></nav><div class="cookie-notice">We use cookies</div><aside>Side {i}</aside>
+<main><article><h1>Title &amp; {i}</h1><div class="share-links">Share this</div><p>First <b>bold<br>line</b> of {i}.<p>Second&nbsp;para  {i} &lt;x&gt;
+wrapped.</p><ul><li>one {i}</li><li>two</li></ul><div class="ad">Buy {i}</div><form><input value="q">Sign up</form><p class="strap">Follow our desk</p>
+<section id="comments"><p>Reader says {i}</p></section><script>var a = "</p>";</script></article></main><footer>&copy; all {i}</footer></body></html>"""
+
+
+def want(i):
+    return f"Title & {i}\nFirst bold line of {i}.\nSecond para {i} <x> wrapped.\none {i}\ntwo"
+
+
+def test_article_without_chrome(spark):
+    rows = [(i, f"https://news.example.com/{i}", PAGE.format(i=i)) for i in range(12)] + [(50, "https://one.example.com/", "<p>Only text</p>"), (51, None, None), (52, "x", "")]
+    out = {r["page_id"]: r["text"] for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == want(i) for i in range(12))  # the strap stands on every page of the host alike: template
+    assert out[50] == "Only text" and out[51] == "" and out[52] == ""
+
+
+def test_wrappers_do_not_depend_on_partitions(spark, monkeypatch):
+    rows = [(i, f"https://h{i % 3}.example.com/{i}", PAGE.format(i=i).replace("<ul>", "<h3>x</h3><ul>") if i % 4 else PAGE.format(i=i)) for i in range(40)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = []
+    for n, size in ((1, 16 << 20), (7, 0)):
+        monkeypatch.setattr(html_wrappers, "BROADCAST_BYTES", size)
+        texts.append({r["page_id"]: r["text"] for r in html_wrappers.extract(frame.repartition(n)).collect()})
+    assert texts[0] == texts[1]
+
+
+def test_alignment_finds_optional_and_repeated_groups():
+    wrapper = html_wrappers.new_wrapper()
+    for page in ("<div><h1>a</h1><p>x</p><p>y</p></div>", "<div><h1>b</h1><p>x</p><ul></ul><p>z</p><ul></ul></div>", "<div><h1>c</h1></div>"):
+        html_wrappers.add_page(wrapper, html_wrappers.parse(page))
+    items = {i[html_wrappers.SIG]: i for i in wrapper[html_wrappers.ITEMS][0][html_wrappers.ITEMS]}
+    assert not items["h1"][html_wrappers.OPTIONAL] and items["p"][html_wrappers.OPTIONAL] and items["p"][html_wrappers.REPEATED] and items["ul"][html_wrappers.REPEATED]
+
+
+def test_broken_markup():
+    assert html_wrappers.main_text("<p>a<p>b<div>c</span></p><script>x", None) == "a\nb\nc"
+    assert html_wrappers.main_text('<p>q "quote <b x="1>">in</b> <!-- c', None) == 'q "quote in'
