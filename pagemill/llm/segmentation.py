@@ -24,7 +24,7 @@ from pagemill.llm.common import table
 from pagemill.llm.token_counts import TOKENIZERS
 
 #: Samples for each text, weight of the piece ranks in the sampling, and characters that are sampled together.
-SAMPLES, ALPHA, TOGETHER = 2, 1.0, 2_000_000
+SAMPLES, ALPHA, TOGETHER = 2, 1.0, 700_000
 STRETCH = re.compile(" +[^ ]*|[^ ]+")
 #: Characters with a column of their own in the table of the trie; the rest is looked up by search.
 DENSE = 128
@@ -158,7 +158,7 @@ class Lattices:
             top = np.maximum.reduceat(total, starts)
             beta[lo:hi] = top + np.log(np.add.reduceat(np.exp(total - np.repeat(top, many)), starts))
             self.log[x:y] = total - np.repeat(beta[lo:hi], many)
-            paths[lo:hi] = np.add.reduceat(paths[self.next[x:y]], starts)
+            paths[lo:hi] = np.minimum(np.add.reduceat(paths[self.next[x:y]], starts), 1e290)
         share = np.exp(self.log)
         summed = np.cumsum(share)
         base = summed[self.offset[:-1]] - share[self.offset[:-1]] if n else summed
@@ -270,7 +270,7 @@ def sample_texts(pieces: Pieces, keys: list[int], texts: list[str], k: int, seed
     todo = [(d, 0, -1, float(gumbel[d]), []) for d in range(len(texts)) if sizes[d]]
     for turn in range(k):
         if turn:
-            todo = [x for d in range(len(texts)) if (x := _next(d, regions[d], found[d])) is not None]
+            todo = [x for d in range(len(texts)) if sizes[d] and (x := _next(d, regions[d], found[d])) is not None]
         if not todo:
             break
         spans = [(offset[d] + word, offset[d + 1]) for d, word, _, _, _ in todo]
