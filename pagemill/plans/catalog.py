@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.plans import markdown_queries, metrics_queries, page_queries, scoring_queries, stream_queries, text_queries  # noqa: F401
+from pagemill.plans import markdown_queries, metrics_queries, more_queries, page_queries, scoring_queries, stream_queries, text_queries  # noqa: F401
 from pagemill.plans.registry import QUERIES, SQL, Query
 
 
