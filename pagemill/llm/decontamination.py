@@ -176,7 +176,8 @@ def _finder(spark: SparkSession, items: list[tuple[str, str | None]], window: in
             counts.append(len(words)), spans.append(hit), names.append(sorted(found))
         return pd.DataFrame({"n_words": counts, "spans": spans, "items": names})
 
-    return find
+    # Marked as not deterministic so that a later filter on the spans doesn't make Spark search twice.
+    return find.asNondeterministic()
 
 
 def _united(spans: Column) -> Column:

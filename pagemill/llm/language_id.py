@@ -150,7 +150,8 @@ def identify(documents: DataFrame, model: Model, text: str = "text") -> DataFram
         for texts in batches:
             yield pd.DataFrame([made[0].predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    done = documents.withColumn("_lang", predict(F.col(f"`{text}`")))
+    # Marked as not deterministic so that a later filter on the prediction doesn't make Spark predict twice.
+    done = documents.withColumn("_lang", predict.asNondeterministic()(F.col(f"`{text}`")))
     return done.withColumns({"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")
 
 

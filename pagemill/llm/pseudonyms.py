@@ -19,8 +19,8 @@ DEMO_KEY = "pagemill-demo-key"
 
 #: Java patterns of candidates by kind; a candidate that fails the kind's validation is left as it is.
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])[0-9a-f]{40}(?![0-9A-Za-z])",
+    "email": r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{40}|[0-9A-F]{40})(?![0-9A-Za-z])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
     "phone": r"(?<!\d)\+\d{1,3}[ -]?\(\d{3}\)[ -]?\d{3}-\d{4}(?!\d)",
     "card": r"(?<![\d-])\d{4}(?:[ -]?\d{4}){3}(?![\d-])",
@@ -114,6 +114,12 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(feistel_text(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
 
 
+def _secret(m: Column, key: str) -> Column:
+    """The same pseudonym for a token in small and in capital digits, each in its own case."""
+    moved = feistel_text(F.lower(m), key, "secret", hexadecimal=True)
+    return F.when(m == F.lower(m), moved).otherwise(F.upper(moved))
+
+
 def _ip(m: Column, key: str) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda o: o.cast("long"))
 
@@ -157,7 +163,7 @@ def _pseudonym(m: Column, key: str) -> Column:
     """A struct of the kind of a find and its pseudonym; both null where validation fails."""
     made = {
         "email": _email(m, key),
-        "secret": feistel_text(m, key, "secret", hexadecimal=True),
+        "secret": _secret(m, key),
         "ip": _ip(m, key),
         "phone": _phone(m, key),
         "card": _card(m, key),
@@ -165,7 +171,7 @@ def _pseudonym(m: Column, key: str) -> Column:
     } | {kind: _date(m, key, kind) for kind in DATE_FORMATS}
     shape = {
         "email": m.contains("@"),
-        "secret": m.rlike("^[0-9a-f]{40}$"),
+        "secret": m.rlike("^[0-9a-fA-F]{40}$"),
         "ip": m.rlike(r"^\d+\.\d+\.\d+\.\d+$"),
         "phone": m.startswith("+"),
         "card": m.rlike(r"^\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}$"),

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import cut, table
 
-#: Rows that one task ranks at a time; a source or a stretch of the mixture with more rows is cut into more buckets.
-BUCKET_ROWS = 20_000
+#: Rows that one task ranks at a time: a source or a stretch of the mixture with more is cut into more buckets. A four
+#: hundredth of the table, but no fewer than the first and no more than the second number. Buckets don't change results.
+BUCKET_ROWS = (500, 20_000)
 
 
 def _unit(value: Column) -> Column:
@@ -33,7 +34,7 @@ def _ranked(rows: DataFrame, group: list[str], bucket: str, order: list[str], na
     return placed.withColumn(name, F.col("_before") + F.col("_in")).drop("_in", "_before", "_ob", *(f"_o{g}" for g in group))
 
 
-def interleave(rows: DataFrame, key: list[str], by: str = "source", n_shards: int = 8, seed: int = 20, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def interleave(rows: DataFrame, key: list[str], by: str = "source", n_shards: int = 8, seed: int = 20, bucket_rows: int | None = None) -> DataFrame:
     """The rows with `shard` and `slot`, every shard in the mixture of the whole by the column `by`.
 
     Rows of one source are shuffled by a seeded hash of the key columns and get the fractional rank (rank - 1/2) / rows
@@ -45,6 +46,7 @@ def interleave(rows: DataFrame, key: list[str], by: str = "source", n_shards: in
     hashed = rows.withColumn("_x", F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 1))
     base = cut(hashed)
     total = base.count()
+    bucket_rows = bucket_rows or min(BUCKET_ROWS[1], max(BUCKET_ROWS[0], total // 400))
     sizes = base.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_rows"))
     spread = base.join(sizes, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     spread = spread.withColumn("_b", F.floor(_unit(F.col("_x")) * F.ceil(F.col("_rows") / bucket_rows)))

@@ -93,6 +93,9 @@ def test_formats_and_links(spark):
     assert luhn(re.sub(r"\D", "", re.search(r"card ([\d ]+) ip", a)[1]))
     assert re.search(r"ip (\S+) tel", a)[1] == re.search(r"ip (\S+) again", b)[1]
     assert b.split("again")[1] == two.split("again")[1]
+    token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    c, d, e = (r["text"] for r in pseudonyms.pseudonymise(spark.createDataFrame([(1, token), (2, token.upper()), (3, "ê.90@mail2.example.com")], "doc_id long, text string")).orderBy("doc_id").collect())
+    assert c != token and d == c.upper() and re.fullmatch("[0-9a-f]{40}", c) and re.fullmatch(r"ê\.\d\d@mail2\.example\.com", e)
     other = pseudonyms.pseudonymise(spark.createDataFrame([(1, one)], "doc_id long, text string"), key="another").first()["text"]
     assert other != a
 
