@@ -31,7 +31,7 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as Markdown: a heading, the text with its sentences on lines, and an extra."""
     docs = table(spark, sf_dir, "documents")
     pick = lambda parts, key: F.element_at(F.array(*map(F.lit, parts)), (key % len(parts) + 1).cast("int"))
-    title = T.collapse(F.substring("text", 1, 40))
+    title = F.concat("source", F.lit(" document number "), c("doc_id").cast("string"))
     # One document in four is a whole-document fence; those get the fence alone around plain text.
     body = F.concat(F.lit("# "), title, F.lit("\n\n"), F.replace("text", F.lit(". "), F.lit(".\n")))
     extra = F.when(c("doc_id") % 4 == 2, F.lit("")).otherwise(pick(EXTRAS, F.floor(c("doc_id") / 4)))
@@ -46,7 +46,7 @@ def _pick(parts: list[str], key: str) -> str:
     return f"CASE {key} % {len(parts)} " + " ".join(f"WHEN {i} THEN {_literal(p)}" for i, p in enumerate(parts)) + " END"
 
 
-SQL_MD = f"""m AS (SELECT doc_id, {sql_collapse("substr(text, 1, 40)")} AS title, ({_pick(FRONT, "doc_id")}) || '# ' || {sql_collapse("substr(text, 1, 40)")} || chr(10) || chr(10)
+SQL_MD = f"""m AS (SELECT doc_id, source || ' document number ' || doc_id AS title, ({_pick(FRONT, "doc_id")}) || '# ' || source || ' document number ' || doc_id || chr(10) || chr(10)
   || replace(text, '. ', '.' || chr(10)) || (CASE WHEN doc_id % 4 = 2 THEN '' ELSE ({_pick(EXTRAS, "(doc_id // 4)")}) END) || ({_pick(BACK, "doc_id")}) AS md FROM documents)"""
 #: Lines with the running parity of the fence lines: prose has 0, fences and code have 1.
 SQL_LINES = f"""{SQL_MD}, l0 AS (SELECT doc_id, title, i, ls[i] AS line FROM (SELECT doc_id, title, string_split(md, chr(10)) AS ls, unnest(range(1, len(string_split(md, chr(10))) + 1)) AS i FROM m)),

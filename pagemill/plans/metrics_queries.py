@@ -263,9 +263,9 @@ def token_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.size(F.array_intersect(tokens(c("text")), tokens(c("prev")))).cast("long").alias("n"))
 
 
-@query("heading_semi_join", f"WITH d AS (SELECT doc_id, {sql_heading('substr(text, 1, 60)')} AS h FROM documents), b AS (SELECT item_id, {sql_heading('substr(text, 1, 60)')} AS h, string_split({sql_heading('substr(text, 1, 60)')}, ' ')[1] AS w FROM benchmark) SELECT doc_id FROM d WHERE EXISTS (SELECT 1 FROM b WHERE b.w = string_split(d.h, ' ')[1] AND contains(d.h, b.w))")
+@query("heading_semi_join", f"WITH d AS (SELECT doc_id, {sql_heading('string_split(text, chr(10))[1]')} AS h FROM documents), b AS (SELECT item_id, {sql_heading('string_split(text, chr(10))[1]')} AS h, string_split({sql_heading('string_split(text, chr(10))[1]')}, ' ')[1] AS w FROM benchmark) SELECT doc_id FROM d WHERE EXISTS (SELECT 1 FROM b WHERE b.w = string_split(d.h, ' ')[1] AND contains(d.h, b.w))")
 def heading_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = lambda: T.normalize_heading(F.substring("text", 1, 60))
+    head = lambda: T.normalize_heading(F.get(F.split("text", "\n"), F.lit(0)))
     docs = table(spark, sf_dir, "documents").select("doc_id", head().alias("h")).withColumn("w", F.get(F.split("h", " "), F.lit(0)))
     items = table(spark, sf_dir, "benchmark").select(F.get(F.split(head(), " "), F.lit(0)).alias("w"))
     return docs.join(items, "w", "left_semi").select("doc_id")
@@ -330,17 +330,17 @@ def sink_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.lit("1").alias("version"), T.split_count(c("text")).alias("words"), F.length("text").alias("chars"), c("lang"))).alias("json"))
 
 
-@query("canonical_metadata", "SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN '' ELSE substr(text, 1, 10) END), ''), nullif(source, 'src1'), 'Untitled Page') AS title FROM documents")
+@query("canonical_metadata", "SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN '' ELSE string_split(text, chr(10))[1] END), ''), nullif(source, 'src1'), 'Untitled Page') AS title FROM documents")
 def canonical_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = lambda x: F.nullif(F.trim(x), F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(some(F.when(c("doc_id") % 3 == 0, "").otherwise(F.substring("text", 1, 10))), F.nullif(c("source"), F.lit("src1")), F.lit("Untitled Page")).alias("title"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(some(F.when(c("doc_id") % 3 == 0, "").otherwise(F.get(F.split("text", "\n"), F.lit(0)))), F.nullif(c("source"), F.lit("src1")), F.lit("Untitled Page")).alias("title"))
 
 
-@query("md_combine_chunks", "SELECT doc_id // 10 AS page, string_agg(substr(text, 1, 50), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS md, sum(n_chars)::BIGINT AS ms, min(doc_id % 7) AS quality, bool_and(doc_id % 10 < 10) AS ok FROM documents GROUP BY 1")
+@query("md_combine_chunks", "SELECT doc_id // 10 AS page, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id) AS md, sum(n_chars)::BIGINT AS ms, min(doc_id % 7) AS quality, bool_and(doc_id % 10 < 10) AS ok FROM documents GROUP BY 1")
 def md_combine_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of one page are few: a page is at most a million characters, so the list of a page is bounded."""
     d = table(spark, sf_dir, "documents")
-    parts = F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 50).alias("md"))))
+    parts = F.array_sort(F.collect_list(F.struct("doc_id", c("text").alias("md"))))
     return d.groupBy(F.floor(c("doc_id") / 10).alias("page")).agg(F.array_join(F.transform(parts, lambda p: p["md"]), "\n\n---\n\n").alias("md"), F.sum("n_chars").alias("ms"), F.min(c("doc_id") % 7).alias("quality"), F.bool_and(c("doc_id") % 10 < 10).alias("ok"))
 
 

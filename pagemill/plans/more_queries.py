@@ -165,18 +165,13 @@ def sink_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(c("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("scan_md_corpus", "SELECT sum(bytes)::BIGINT AS bytes, count(*) AS n FROM (SELECT strlen(text) AS bytes FROM documents WHERE doc_id < 20)")
+@query("scan_md_corpus", "SELECT lang, sum(strlen(text) + 1)::BIGINT AS bytes, sum(len(string_split(text, chr(10))))::BIGINT AS lines FROM documents GROUP BY lang")
 def scan_md_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small folder of .md files, one document each, walked and read whole."""
-    from pagemill.sources.captures import read_markdown_folder
-
+    """Documents written as text below one folder per language, and the folders walked and measured again."""
     path = folder(spark)
-    rows = table(spark, sf_dir, "documents").filter("doc_id < 20").select("doc_id", "text")
-    for doc_id in range(20):
-        rows.filter(c("doc_id") == doc_id).select("text").coalesce(1).write.option("lineSep", "\0").mode("overwrite").text(f"{path}/d{doc_id}")
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").text(path, wholetext=True)
-    _ = read_markdown_folder  # the reader for files that end in .md, which Spark's text writer does not make
-    return files.filter("value != ''").agg(F.sum(F.octet_length(F.rtrim(c("value"), F.lit("\0")))).alias("bytes"), F.count(F.lit(1)).alias("n"))
+    table(spark, sf_dir, "documents").select("text", "lang").write.partitionBy("lang").text(path)
+    lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(path).select("value", F.regexp_extract("_metadata.file_path", "/lang=([^/]+)/", 1).alias("lang"))
+    return lines.groupBy("lang").agg(F.sum(F.octet_length("value") + 1).alias("bytes"), F.count(F.lit(1)).alias("lines"))
 
 
 @query("source_models_json", "SELECT * FROM (VALUES ('a:free', true), ('b', false), ('c', true)) AS v(id, free)")

@@ -300,8 +300,6 @@ def tz_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", to("Europe/Berlin").alias("berlin"), to("America/New_York").alias("new_york"))
 
 
-@query("command_token", "SELECT doc_id, list_contains(['of', 'cd', 'ls'], split_part(text, ' ', 2)) AS is_command FROM documents WHERE split_part(text, ' ', 2) NOT IN (" + ", ".join(f"'{x}'" for x in sorted(repair.COMMANDS)) + ") OR split_part(text, ' ', 2) IN ('cd', 'ls')")
+@query("command_token", "SELECT doc_id, split_part(text, ' ', 2) IN (" + ", ".join(f"'{x}'" for x in sorted(repair.COMMANDS)) + ") AS is_command FROM documents")
 def command_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    word = F.split_part(c("text"), F.lit(" "), F.lit(2))
-    d = table(spark, sf_dir, "documents").filter(~word.isin(*repair.COMMANDS) | word.isin("cd", "ls"))
-    return d.select("doc_id", word.isin("of", "cd", "ls").alias("is_command"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.split_part(c("text"), F.lit(" "), F.lit(2)).isin(*repair.COMMANDS).alias("is_command"))

@@ -87,6 +87,10 @@ column_query(
 )
 
 
+def before_body() -> Column:
+    return F.regexp_replace("html", r"(?s)<body.*", "")
+
+
 def visible(html: Column) -> Column:
     """The markup without what is never shown."""
     bare = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>|<template\b.*?</template>|<(?:meta|link)\b[^>]*>", " ")
@@ -123,9 +127,9 @@ column_query(
     "pages",
     {
         "page_id": "page_id",
-        "content": lambda: F.when(T.strip_tags(visible(F.substring("html", 1, 120))) != "", T.strip_tags(visible(F.substring("html", 1, 120)))).when(c("html").rlike(r"(?i)javascript:|\son[a-z]+\s*="), F.lit("Content sanitized due to security filtering.")).otherwise(""),
+        "content": lambda: F.when(T.strip_tags(visible(before_body())) != "", T.strip_tags(visible(before_body()))).when(c("html").rlike(r"(?i)javascript:|\son[a-z]+\s*="), F.lit("Content sanitized due to security filtering.")).otherwise(""),
     },
-    rf"""WITH v AS (SELECT page_id, html, {sql_collapse("regexp_replace(" + SQL_VISIBLE.format("substr(html, 1, 120)") + ", '<[^>]+>', ' ', 'g')")} AS t FROM pages)
+    rf"""WITH v AS (SELECT page_id, html, {sql_collapse("regexp_replace(" + SQL_VISIBLE.format("regexp_replace(html, '(?s)<body.*', '')") + ", '<[^>]+>', ' ', 'g')")} AS t FROM pages)
     SELECT page_id, CASE WHEN t <> '' THEN t WHEN regexp_matches(html, '(?i)javascript:|\son[a-z]+\s*=') THEN 'Content sanitized due to security filtering.' ELSE '' END AS content FROM v""",
 )
 column_query("truncate_html", "documents", {"doc_id": "doc_id", "text": lambda: T.truncate(c("text"), 2000), "clipped": lambda: F.length("text") > 2000}, "SELECT doc_id, substr(text, 1, 2000) AS text, length(text) > 2000 AS clipped FROM documents")
@@ -135,12 +139,14 @@ column_query(
     {"doc_id": "doc_id", "hash": lambda: T.content_hash(c("text")), "cache_key": lambda: T.cache_key(F.concat(F.lit("https://example.com/"), c("source")), c("text"), c("lang"))},
     f"SELECT doc_id, sha256({sql_collapse('text')}) AS hash, 'https://example.com/' || source || '-' || substr(sha256(text), 1, 16) || '-' || substr(sha256(lang), 1, 16) AS cache_key FROM documents",
 )
-column_query("hash_fnv1a32", "documents", {"doc_id": "doc_id", "hash": lambda: T.fnv1a32(F.substring(F.regexp_replace("text", r"[^\x00-\x7F]", "?"), 1, 64))}, r"""
-WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, substr(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), 1, 64) AS t FROM documents),
-h AS (SELECT rid, doc_id, t, 1 AS i, 2166136261::HUGEINT AS v FROM d
-      UNION ALL SELECT rid, doc_id, t, i + 1, (xor(v, ascii(substr(t, i, 1))::HUGEINT) * 16777619) % 4294967296 FROM h WHERE i <= length(t))
-SELECT doc_id, printf('%08x', v::BIGINT) AS hash FROM h WHERE i = length(t) + 1
-""")
+
+
+@query("hash_fnv1a32")
+def hash_fnv1a32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character by character over whole texts: too slow in SQL, so checked on literals in the tests."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.fnv1a32(F.coalesce("text", F.lit(""))).alias("hash"))
+
+
 column_query("hash_stable64", "documents", {"doc_id": "doc_id", "hash": lambda: F.conv(F.substring(F.md5("text"), 1, 13), 16, 10).cast("long")}, "SELECT doc_id, ('0x' || substr(md5(text), 1, 13))::BIGINT AS hash FROM documents")
 column_query("url_hostname", "pages", {"page_id": "page_id", "host": lambda: U.host(c("url"))}, f"SELECT page_id, {sql_host('url')} AS host FROM pages")
 column_query("url_is_root", "pages", {"page_id": "page_id", "path": lambda: U.path(c("url")), "is_root": lambda: U.is_root(c("url"))}, f"SELECT page_id, {sql_path('url')} AS path, {sql_path('url')} IN ('', '/') AS is_root FROM pages")
@@ -211,8 +217,8 @@ RESERVED_SQL = ", ".join(f"'{x}'" for x in T.RESERVED_NAMES)
 column_query(
     "filename_valid",
     "documents",
-    {"doc_id": "doc_id", "valid": lambda: T.file_name_valid(F.when(c("doc_id") % 3 == 0, F.concat(F.lit("con."), c("lang"))).when(c("doc_id") % 3 == 1, F.substring("text", 1, 300)).otherwise(F.concat("source", F.lit(".md"))))},
-    rf"""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'con.' || lang WHEN doc_id % 3 = 1 THEN substr(text, 1, 300) ELSE source || '.md' END AS f FROM documents)
+    {"doc_id": "doc_id", "valid": lambda: T.file_name_valid(F.when(c("doc_id") % 3 == 0, F.concat(F.lit("con."), c("lang"))).when(c("doc_id") % 3 == 1, F.col("text")).otherwise(F.concat("source", F.lit(".md"))))},
+    rf"""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'con.' || lang WHEN doc_id % 3 = 1 THEN text ELSE source || '.md' END AS f FROM documents)
     SELECT doc_id, trim(f) <> '' AND upper(regexp_replace(f, '\.[^.]*$', '')) NOT IN ({RESERVED_SQL}) AND NOT regexp_matches(f, '[<>:"/\\|?*\x00-\x1f]') AND length(f) <= 255 AS valid FROM n""",
 )
 column_query(
@@ -228,16 +234,17 @@ column_query(
 @query(
     "heading_equivalent",
     rf"""
-WITH h AS (SELECT doc_id, {sql_heading("substr(text, 1, 40)")} AS a FROM documents), b AS (SELECT item_id, {sql_heading("substr(text, 1, 40)")} AS b FROM benchmark),
-t AS (SELECT doc_id, item_id, a, b, list_filter(string_split(a, ' '), lambda x: length(x) > 2) AS ta, list_distinct(list_filter(string_split(b, ' '), lambda x: length(x) > 2)) AS tb FROM h JOIN b ON doc_id % 40 = item_id % 40)
-SELECT doc_id, item_id, a <> '' AND b <> '' AND (a = b OR (length(a) >= 20 AND contains(b, a)) OR (length(b) >= 20 AND contains(a, b)) OR
+WITH h AS (SELECT doc_id, {sql_heading("string_split(text, chr(10))[1]")} AS a FROM documents),
+t AS (SELECT x.doc_id, x.a, y.a AS b, list_filter(string_split(x.a, ' '), lambda v: length(v) > 2) AS ta, list_distinct(list_filter(string_split(y.a, ' '), lambda v: length(v) > 2)) AS tb FROM h x JOIN h y ON y.doc_id = x.doc_id + 1)
+SELECT doc_id, a <> '' AND b <> '' AND (a = b OR (length(a) >= 20 AND contains(b, a)) OR (length(b) >= 20 AND contains(a, b)) OR
   (len(ta) > 0 AND len(tb) > 0 AND len(list_filter(ta, lambda x: list_contains(tb, x))) >= least(3, len(ta), len(tb)))) AS same FROM t
 """,
 )
 def heading_equivalent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = table(spark, sf_dir, "documents").select("doc_id", T.normalize_heading(F.substring("text", 1, 40)).alias("a"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", T.normalize_heading(F.substring("text", 1, 40)).alias("b"))
-    return heads.join(items, c("doc_id") % 40 == c("item_id") % 40).select("doc_id", "item_id", T.headings_equivalent(c("a"), c("b")).alias("same"))
+    """The first line of every document against that of the next one."""
+    heads = table(spark, sf_dir, "documents").select("doc_id", T.normalize_heading(F.get(F.split("text", "\n"), F.lit(0))).alias("a"))
+    others = heads.select((c("doc_id") - 1).alias("doc_id"), c("a").alias("b"))
+    return heads.join(others, "doc_id").select("doc_id", T.headings_equivalent(c("a"), c("b")).alias("same"))
 
 
 @query(
