@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from pagemill.llm.common import let, table
+from pagemill.llm.common import bounded_batches, table
 
 #: Words of a benchmark that one automaton holds; a larger benchmark is cut into blocks with an automaton each.
 BLOCK_WORDS = 1_000_000
@@ -204,6 +204,7 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     automaton of its own, and every document passes all of them in one stage without a shuffle. Texts are taken whole.
     """
     spark = documents.sparkSession
+    bounded_batches(spark)
     rows = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("name"), F.col(f"`{item_text}`").alias("body"))
     n_bytes = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n_blocks = max(1, math.ceil(n_bytes / 5 / BLOCK_WORDS))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from pagemill.llm.common import cut, table
+from pagemill.llm.common import bounded_batches, cut, table
 
 #: Bytes of wrappers that are broadcast; more are joined to the pages by host.
 BROADCAST_BYTES = 16 << 20
@@ -325,6 +325,7 @@ def extract(pages: DataFrame, html_column: str = "html", url: str = "url") -> Da
     small; beyond BROADCAST_BYTES they are joined to the pages by host.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     host = F.coalesce(F.lower(F.try_parse_url(F.col(f"`{url}`"), F.lit("HOST"))), F.lit(""))
     wrappers = infer_wrappers(pages.select(host.alias("host"), F.col(f"`{html_column}`").alias("html")))
     if (wrappers.agg(F.sum(F.octet_length("wrapper") + 64)).first()[0] or 0) <= BROADCAST_BYTES:

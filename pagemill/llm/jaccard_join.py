@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import cut, table
+from pagemill.llm.common import bounded_batches, cut, release, table
 from pagemill.llm.components import connected
 
 #: Shingles that a chunk gathers before it sends them, documents a chunk holds at most, and keys a bucket gets on average.
-CHUNK_SHINGLES, CHUNK_DOCS, BUCKET_KEYS = 1_000_000, 60_000, 1_000_000
+CHUNK_SHINGLES, CHUNK_DOCS, BUCKET_KEYS = 500_000, 60_000, 1_000_000
 #: Bits of a key; keys are the leading bits of 64-bit shingle hashes.
 KEY_BITS = 52
 #: Keys that a block of a zone holds, and pivots a zone is compared with.
@@ -44,7 +44,7 @@ class WordCodes(dict):
     """64-bit codes of words, kept between texts up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         code = self[word] = xxhash.xxh3_64_intdigest(word)
         return code
@@ -131,6 +131,8 @@ def _chunks(n_buckets: int, size: int):
                     at, docs, held = at + 1, [], 0
         if docs:
             yield from send(at, docs)
+        del docs, codes
+        release()
 
     return run
 
@@ -272,6 +274,7 @@ def jaccard_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     given = F.col(f"`{doc_id}`").cast("long")
     source = documents.select(F.coalesce(given, F.lit(0)).alias("id"), given.isNull().alias("missing"), F.col(f"`{text}`").alias("text"))
+    bounded_batches(documents.sparkSession)
     n_bytes = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(8, math.ceil(n_bytes / 6 / BUCKET_KEYS))
     sent = source.mapInPandas(_chunks(n_buckets, size), PARTS)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from pagemill.llm.common import table
+from pagemill.llm.common import bounded_batches, table
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Bounds of the fit: labelled documents a language gives on average at most, and numbers that the model holds at most.
@@ -140,6 +140,7 @@ def identify(documents: DataFrame, model: Model, text: str = "text") -> DataFram
     with score 0, as does every text if the model knows no language. Ties go to the language first in the alphabet.
     Repeated rows get the same prediction each; other columns stay, and columns of the two names are replaced.
     """
+    bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     made: list[Scorer] = []
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from pagemill.llm.common import table
+from pagemill.llm.common import bounded_batches, release, table
 from pagemill.llm.token_counts import TOKENIZERS
 
 #: Samples for each text, weight of the piece ranks in the sampling, and characters that are sampled together.
-SAMPLES, ALPHA, TOGETHER = 2, 1.0, 700_000
+SAMPLES, ALPHA, TOGETHER = 2, 1.0, 1_000_000
 STRETCH = re.compile(" +[^ ]*|[^ ]+")
 #: Characters with a column of their own in the table of the trie; the rest is looked up by search.
 DENSE = 128
@@ -371,20 +372,24 @@ def _udf(spark: SparkSession, model: bytes, k: int, digest: bool):
     kind = "n_pieces: array<int>, log_prob: array<double>, inclusion: array<double>"
     kind += ", ids_crc32: array<bigint>, round_trip: boolean" if digest else ", ids: array<array<int>>"
 
+    names = [x.split(":")[0].strip() for x in kind.split(", ")]
+    bounded_batches(spark)
+
     @pandas_udf(f"struct<{kind}>")
-    def encode(keys: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        import zlib
-
-        pieces, rows = shared.value, []
-        for ids, bodies in _groups(keys, texts):
-            for text, samples in zip(bodies, sample_texts(pieces, ids, bodies, k), strict=True):
-                row = [[len(s[0]) for s in samples], [s[1] for s in samples], [s[2] for s in samples]]
-                if digest:
-                    row += [[zlib.crc32(s[0].astype("<i4").tobytes()) for s in samples], all(pieces.decode(s[0].tolist()) == text for s in samples)]
-                else:
-                    row.append([s[0].astype(np.int32) for s in samples])
-                rows.append(row)
-        return pd.DataFrame(rows, columns=[x.split(":")[0].strip() for x in kind.split(", ")])
+    def encode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        pieces = shared.value
+        for keys, texts in batches:
+            rows = []
+            for ids, bodies in _groups(keys, texts):
+                for text, samples in zip(bodies, sample_texts(pieces, ids, bodies, k), strict=True):
+                    row = [[len(s[0]) for s in samples], [s[1] for s in samples], [s[2] for s in samples]]
+                    if digest:
+                        row += [[zlib.crc32(s[0].astype("<i4").tobytes()) for s in samples], all(pieces.decode(s[0].tolist()) == text for s in samples)]
+                    else:
+                        row.append([s[0].astype(np.int32) for s in samples])
+                    rows.append(row)
+            yield pd.DataFrame(rows, columns=names)
+        release()
 
     return encode
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from pagemill.llm.common import table
+from pagemill.llm.common import bounded_batches, table
 
 #: Where the vocabulary files of this machine lie; a parameter of every function that needs them.
 TOKENIZERS = "/opt/tokenizers"
@@ -93,6 +93,7 @@ def attribute_tokens(documents: DataFrame, ranks: dict[bytes, int], text: str =
     them (`split`), so the counts of the sections always sum up to n_tokens. Null and empty texts have no tokens and no
     lines. Repeated rows are counted one by one; extra columns stay, and one named tokens is replaced.
     """
+    bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(ranks)
     made: list[Attribution] = []
 
