@@ -241,10 +241,11 @@ def strip_navigation(md: Column) -> Column:
 
 def collapse_words(md: Column, least: int = 5) -> Column:
     """Runs of at least five lines of one word each as one line."""
-    word = r"[ \t]*(?!-)[A-Za-z][A-Za-z0-9&+/-]{1,23}[ \t]*"
+    # Possessive, so that Java matches long runs in a loop and not by recursion.
+    word = r"[ \t]*+[A-Za-z][A-Za-z0-9&+/-]{1,23}+[ \t]*+(?![^\n])"
 
     def prose(p: Column) -> Column:
-        run = rf"(?m)(?<![^\n])({word}(?:\n{word}){{{least - 1},}})(?![^\n])"
+        run = rf"(?<![^\n])({word}(?:\n{word}){{{least - 1},}}+)"
         parts, runs = F.split(p, run, -1), F.regexp_extract_all(p, F.lit(run), F.lit(1))
         joined = F.transform(F.arrays_zip(parts.alias("part"), runs.alias("run")), lambda x: F.concat(x["part"], F.coalesce(F.trim(F.regexp_replace(x["run"], r"\s+", " ")), F.lit(""))))
         return F.array_join(joined, "")

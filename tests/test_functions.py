@@ -83,6 +83,11 @@ def test_markdown(spark, function, md, want):
     assert value(spark, function, md) == want
 
 
+def test_long_runs_of_words(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    assert value(spark, M.collapse_words, "\n".join(words)) == " ".join(words)
+
+
 def test_contents_table(spark):
     out = value(spark, M.contents_table, "# Top\ntext\n## One two!\nmore")
     assert out == "# Top\n\n## Table of Contents\n\n- [Top](#top)\n- [One two!](#one-two)\n\ntext\n## One two!\nmore"
