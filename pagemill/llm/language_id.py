@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from pagemill.llm.common import bounded_batches, table
+from pagemill.llm.common import bounded_batches, release, table
 
 WORDS = re.compile(r"[^\W\d_]+")
-#: Bounds of the fit: labelled documents a language gives on average at most, and numbers that the model holds at most.
-SAMPLE_DOCS, MODEL_CELLS = 4_000, 8_000_000
+#: Bounds of the fit: labelled documents a language gives on average at most, numbers that the model holds at most, and
+#: how often a word must be seen in a language.
+SAMPLE_DOCS, MODEL_CELLS, LEAST_SEEN = 4_000, 8_000_000, 3
 #: Longest n-gram that an unseen word falls back to, and the longest word that is taken letter by letter.
 LONGEST, WORD_CHARS = 5, 64
 UNKNOWN = "und"
@@ -43,8 +44,8 @@ def fit(documents: DataFrame, text: str = "text", lang: str = "lang", key: str =
     """A model of the labelled documents given.
 
     Every language gives a sample of SAMPLE_DOCS documents in expectation, drawn by a hash of the key, or all it has.
-    Rows without a text or a language teach nothing. Words and n-grams seen once are dropped, and of the rest the most
-    frequent are kept, as many as fit MODEL_CELLS numbers; so what reaches the driver is bounded by these parameters.
+    Rows without a text or a language teach nothing. Words seen less than LEAST_SEEN times are dropped, and of the rest the
+    most frequent are kept, as many as fit MODEL_CELLS numbers; so what reaches the driver is bounded by these parameters.
     """
     rows = documents.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{key}`").alias("key"))
     rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL")
@@ -63,7 +64,7 @@ def fit(documents: DataFrame, text: str = "text", lang: str = "lang", key: str =
                 yield pd.DataFrame({"lang": name, "word": [w[:WORD_CHARS] for w in seen], "n": list(seen.values())})
 
     counted = rows.filter(drawn).select("text", "lang").mapInPandas(count, "lang string, word string, n long")
-    summed = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter("n > 1").toPandas()
+    summed = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_SEEN).toPandas()
     place = {name: i for i, name in enumerate(languages)}
     words, grams = {}, {}
     for name, word, n in summed.sort_values(["word", "lang"]).itertuples(index=False):
@@ -88,7 +89,10 @@ def fit(documents: DataFrame, text: str = "text", lang: str = "lang", key: str =
     logs.append(scaled)
     both = np.concatenate(logs)
     both -= np.log(np.exp(both - both.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) + both.max(axis=1, keepdims=True) if len(both) else 0
-    return Model(languages, word_at, gram_at, both.astype(np.float32))
+    model = Model(languages, word_at, gram_at, both.astype(np.float32))
+    del words, grams, summed, word_counts, gram_counts, scaled, both, logs
+    release()
+    return model
 
 
 class Scorer(dict):

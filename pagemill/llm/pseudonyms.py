@@ -19,7 +19,7 @@ DEMO_KEY = "pagemill-demo-key"
 
 #: Java patterns of candidates by kind; a candidate that fails the kind's validation is left as it is.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,20}[A-Za-z]{2,63}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{40}|[0-9A-F]{40})(?![0-9A-Za-z])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
     "phone": r"(?<!\d)\+\d{1,3}[ -]?\(\d{3}\)[ -]?\d{3}-\d{4}(?!\d)",

@@ -19,6 +19,7 @@ ROWS = [
     (None, "a text without an id", "en", "b"),
     (None, None, None, None),
     (6, "x" * 30_000, "en", "b"),
+    (9, "m@" + "a." * 20_000 + " 1." * 9000 + "|" * 9000, "en", "b"),
     (7, "1234 5678 !!! 99", "de", "c"),
     (8, "émoji 😀 und ß, 中文 字\u0000 done", "de", "c"),
 ]
