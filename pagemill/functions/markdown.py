@@ -17,13 +17,13 @@ FENCE = r"(?m)^[ \t]*```.*$"
 
 # The texts of user-interface lines, labels and footers, and the words that leave a heading unfinished.
 UI_STRONG = [
-    r"donate\s*\|\s*create account\s*\|\s*log in", r"privacy policy\s*\|\s*about wikipedia", r"prompt ready output selecting main content",
+    r"donate\s*\|\s*create account\s*\|\s*log in", r"privacy policy\s*\|\s*about wikipedia",
     r"^wikipedia page\s*reddit thread$",
 ]
 UI_SHORT = [
     r"accept all .*cookies?", r"manage (cookie|privacy) preferences", r"allow all cookies", r"popup ad|popup adaccept", r"tracking cookies? to continue",
     r"limit my search to", r"advanced search: by author", r"see the search faq", r"join reddit", r"view more:", r"welcome to reddit.*front page of the internet",
-    r"^raw input$", r"^promptready output$", r"^ai mode response is ready$", r"^(ask about|show all|accessibility feedback|accessibility help|skip to main content)\.?$",
+    r"^raw input$", r"^ai mode response is ready$", r"^(ask about|show all|accessibility feedback|accessibility help|skip to main content)\.?$",
     r"contents\s*\\?\[hide\\?\]", r"^\(?top\)?$", r"from wikipedia,?\s*the free encyclopedia", r"save \d{1,3}% today.*subscribe to our newsletter",
     r"subscribe to our newsletter\s*\|\s*related links\s*\|\s*footer text",
 ]

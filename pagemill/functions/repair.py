@@ -178,7 +178,7 @@ def strip_ui_code(md: str) -> str:
         signals = sum(bool(re.search(p, body)) for p in UI_BLOCK)
         programs = sum(bool(re.search(p, body)) for p in PROGRAM)
         label = next((x for x in reversed(parts) if x.strip()), "").strip().lower()
-        labelled = bool(re.match("^raw (?:input|copy|source)|^promptready (?:output|pass)$", label))
+        labelled = bool(re.match("raw (?:input|copy|source)", label))
         if code and len(body) >= 20 and not programs and (signals >= 2 or (signals and labelled)):
             continue
         parts += lines
