@@ -42,6 +42,10 @@ CHROME_WORDS = frozenset(
     " subscription signup signin login paywall share sharing social related recommended recommendations trending comment comments commentlist reply replies respond"
     " disqus discussion pagination pager toolbar skip search copyright legal disclaimer hidden".split()
 )
+#: Those of them that an element keeps even around an article or main element: what readers wrote, and other articles.
+HARD_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion related recommended recommendations trending".split())
+#: Words that make an article element itself chrome; the whole page and its main element never are by their words.
+SIDE_ARTICLES = frozenset("comment reply ad advert advertisement sponsored promo teaser related widget".split())
 MAIN_WORDS = frozenset("content article post entry story main".split())
 #: A start tag of the key ends open elements of the set, up to the nearest of the stops.
 IMPLIED = {
@@ -58,7 +62,7 @@ IMPLIED = {
 class Node:
     """An element of a page: tag, signature, whether it is chrome by itself, and children that are nodes or texts."""
 
-    __slots__ = ("tag", "sig", "chrome", "role", "words", "kids")
+    __slots__ = ("tag", "sig", "chrome", "soft", "role", "words", "kids")
 
     def __init__(self, tag: str, rest: str = ""):
         self.tag, self.kids, self.role, names, hidden = tag, [], "", "", False
@@ -73,7 +77,9 @@ class Node:
                     hidden |= name == "hidden" or value.lower() == "true" or "display:none" in value.lower().replace(" ", "")
         self.words = frozenset(w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower()) if w) if names else frozenset()
         self.sig = f"{tag}.{'.'.join(sorted(self.words))}" if self.words else tag
-        self.chrome = tag in CHROME_TAGS or hidden or self.role in CHROME_ROLES or bool(self.words & CHROME_WORDS)
+        named = self.words & (frozenset() if tag in ("html", "body", "main") else SIDE_ARTICLES if tag == "article" else CHROME_WORDS)
+        hard = tag in CHROME_TAGS or hidden or self.role in CHROME_ROLES or bool(named & HARD_WORDS) or (tag == "article" and bool(named))
+        self.chrome, self.soft = hard or bool(named), bool(named) and not hard
 
 
 def parse(page: str | None) -> Node:
@@ -113,6 +119,9 @@ def parse(page: str | None) -> Node:
                     break
         node = Node(tag, m["rest"])
         stack[-1].kids.append(node)
+        if tag in ("article", "main") and not node.chrome:
+            for around in stack:  # a wrapper named after its sidebar, and the like
+                around.chrome &= not around.soft
         if tag not in VOID and not m["rest"].endswith("/"):
             stack.append(node)
     if at < len(page):

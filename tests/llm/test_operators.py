@@ -354,6 +354,11 @@ def test_alignment_finds_optional_and_repeated_groups():
     assert not items["h1"][html_wrappers.OPTIONAL] and items["p"][html_wrappers.OPTIONAL] and items["p"][html_wrappers.REPEATED] and items["ul"][html_wrappers.REPEATED]
 
 
+def test_wrappers_named_after_chrome():
+    page = '<body class="home has-sidebar"><div class="layout sidebar-right"><article class="post has-comments"><p>kept</p></article><div class="sidebar">s</div></div><div class="comments"><article class="c"><p>said</p></article></div><article class="comment">no</article></body>'
+    assert html_wrappers.main_text(page, None) == "kept"
+
+
 def test_broken_markup():
     assert html_wrappers.main_text("<p>a<p>b<div>c</span></p><script>x", None) == "a\nb\nc"
     assert html_wrappers.main_text('<p>q "quote <b x="1>">in</b> <!-- c', None) == 'q "quote in'
