@@ -43,7 +43,8 @@ class Node:
         while stack:
             node = stack.pop()
             yield node
-            stack.extend(reversed(node.children()))
+            if node.kids:
+                stack.extend([k for k in reversed(node.kids) if isinstance(k, Node)])
 
     def text(self, silent: bool = False) -> str:
         """All text below, in order; that of scripts and the like only if asked for."""
@@ -66,15 +67,15 @@ class Node:
 
     def select(self, selector: str) -> list[Node]:
         """Elements below this one that the selector matches, in document order."""
-        rules = _parsed(selector)
-        return [n for n in self.walk() if n is not self and any(_matches(n, r, self) for r in rules)]
+        rules, tags, plain, every = _parsed(selector)
+        return [n for n in self.walk() if (n.tag in tags or (plain and n.attrs) or every) and n is not self and any(_matches(n, r) for r in rules)]
 
     def first(self, selector: str) -> Node | None:
-        rules = _parsed(selector)
-        return next((n for n in self.walk() if n is not self and any(_matches(n, r, self) for r in rules)), None)
+        rules, tags, plain, every = _parsed(selector)
+        return next((n for n in self.walk() if (n.tag in tags or (plain and n.attrs) or every) and n is not self and any(_matches(n, r) for r in rules)), None)
 
     def matches(self, selector: str) -> bool:
-        return any(_matches(self, r, None) for r in _parsed(selector))
+        return any(_matches(self, r) for r in _parsed(selector)[0])
 
     def closest(self, selector: str) -> Node | None:
         node: Node | None = self
@@ -102,11 +103,14 @@ _PART = re.compile(r"""(?P<tag>^[a-zA-Z*][\w-]*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-
 
 @lru_cache(maxsize=1024)
 def _parsed(selector: str) -> tuple:
+    """The rules of a selector, and what an element needs to be looked at: one of some tags, any attribute, or nothing."""
     rules = []
     for part in selector.split(","):
         steps = re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", part.strip())
         rules.append(tuple(_compound(s) for s in steps if s != ">"))
-    return tuple(rules)
+    last = [r[-1] for r in rules]
+    named = [c for c in last if not c[0]]
+    return tuple(rules), frozenset(c[0] for c in last if c[0]), bool(named), any(not (c[1] or c[2] or c[3]) for c in named)
 
 
 def _compound(text: str) -> tuple:
@@ -141,7 +145,7 @@ def _fits(node: Node, compound: tuple) -> bool:
     return not empty or not (node.children() or node.text(True))
 
 
-def _matches(node: Node, rule: tuple, root: Node | None) -> bool:
+def _matches(node: Node, rule: tuple) -> bool:
     if not _fits(node, rule[-1]):
         return False
     at, outer = node.parent, len(rule) - 2

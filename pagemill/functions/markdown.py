@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import headings_equivalent, normalize_heading, normalize_input, normalize_unicode_spaces, once, trim_all
+from pagemill.functions.text import headings_equivalent, let, normalize_heading, normalize_input, normalize_unicode_spaces, once, trim_all
 
 FENCE = r"(?m)^[ \t]*```.*$"
 
@@ -326,9 +326,11 @@ def lone_words(md: Column) -> Column:
 
 def heading_jumps(md: Column) -> Column:
     """Headings more than one level below the heading before them."""
-    levels = F.transform(F.regexp_extract_all(md, F.lit(r"(?m)^(#{1,6})\s"), F.lit(1)), lambda h: F.length(h))
-    pairs = F.arrays_zip(F.slice(levels, 1, F.greatest(F.size(levels) - 1, F.lit(0))).alias("a"), F.slice(levels, 2, F.greatest(F.size(levels) - 1, F.lit(0))).alias("b"))
-    return F.size(F.filter(pairs, lambda p: p["b"] > p["a"] + 1))
+
+    def of(levels: Column) -> Column:
+        return F.size(F.filter(F.transform(levels, lambda v, i: (i > 0) & (v > F.coalesce(F.get(levels, i - 1), v) + 1)), lambda jump: jump))
+
+    return let(F.transform(F.regexp_extract_all(md, F.lit(r"(?m)^(#{1,6})\s"), F.lit(1)), lambda h: F.length(h)), of)
 
 
 def light_canonical(md: Column, title: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import js_round, normalize_for_quality, once
+from pagemill.functions.text import js_round, let, normalize_for_quality, once
 
 # Base weights of the selection score by mode, in the order of WEIGHTS.
 WEIGHTS = ("heading", "text", "section", "lead", "feed", "noise", "form", "vector", "density", "boilerplate")
@@ -172,18 +172,24 @@ def _matches(text: Column, pattern: str) -> Column:
 
 def preservation(md: Column, html: Column) -> Column:
     """How fitting the loss of text is, tags counted: 100 where a tenth to four fifths went."""
-    kept, source = F.length(normalize_for_quality(md)), F.length(normalize_for_quality(html))
-    lost = 1 - kept / source
-    score = F.when(lost > 0.95, 10).when(lost > 0.9, 30).when(lost > 0.8, 60).when(lost < 0.1, 70).otherwise(100)
-    return F.when(source == 0, F.when(kept > 0, 100).otherwise(0)).otherwise(F.when(kept < 200, F.least(score, F.lit(20))).otherwise(score))
+
+    def of(n: Column) -> Column:
+        lost = 1 - n["kept"] / n["source"]
+        score = F.when(lost > 0.95, 10).when(lost > 0.9, 30).when(lost > 0.8, 60).when(lost < 0.1, 70).otherwise(100)
+        return F.when(n["source"] == 0, F.when(n["kept"] > 0, 100).otherwise(0)).otherwise(F.when(n["kept"] < 200, F.least(score, F.lit(20))).otherwise(score))
+
+    return let(F.struct(F.length(normalize_for_quality(md)).alias("kept"), F.length(normalize_for_quality(html)).alias("source")), of)
 
 
 def structure(md: Column, html: Column) -> Column:
-    heads, lists, code = _matches(html, "(?i)<h[1-6][^>]*>"), _matches(html, "(?i)<[uo]l[^>]*>"), _matches(html, "(?i)<pre[^>]*>")
-    kept_heads, kept_lists, kept_code = _matches(md, r"(?m)^#{1,6}\s"), _matches(md, r"(?m)^\s*[-*+]\s"), _matches(md, r"(?s)```.*?```")
-    off = F.when((heads > 0) & (kept_heads < heads * 0.3), 30).when((heads > 0) & (kept_heads < heads * 0.6), 15).otherwise(0)
-    off = off + F.when((lists > 0) & (kept_lists < lists * 0.5), 20).otherwise(0) + F.when((code > 0) & (kept_code < code * 0.7), 25).otherwise(0)
-    return F.greatest(F.lit(0), 100 - off)
+    patterns = {"h": (html, "(?i)<h[1-6][^>]*>"), "l": (html, "(?i)<[uo]l[^>]*>"), "c": (html, "(?i)<pre[^>]*>"), "mh": (md, r"(?m)^#{1,6}\s"), "ml": (md, r"(?m)^\s*[-*+]\s"), "mc": (md, r"(?s)```.*?```")}
+
+    def of(n: Column) -> Column:
+        off = F.when((n["h"] > 0) & (n["mh"] < n["h"] * 0.3), 30).when((n["h"] > 0) & (n["mh"] < n["h"] * 0.6), 15).otherwise(0)
+        off = off + F.when((n["l"] > 0) & (n["ml"] < n["l"] * 0.5), 20).otherwise(0) + F.when((n["c"] > 0) & (n["mc"] < n["c"] * 0.7), 25).otherwise(0)
+        return F.greatest(F.lit(0), 100 - off)
+
+    return let(F.struct(*(_matches(text, p).alias(k) for k, (text, p) in patterns.items())), of)
 
 
 def markdown_quality(md: Column) -> Column:
@@ -195,9 +201,12 @@ def markdown_quality(md: Column) -> Column:
 
 def readability(md: Column) -> Column:
     filled = lambda pattern: F.size(F.filter(F.split(md, pattern), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != ""))
-    sentences, words, paragraphs = filled(r"[.!?]+"), filled(r"\s+"), filled(r"\n\s*\n")
-    off = F.when(words > sentences * 30, 15).otherwise(0) + F.when((paragraphs < 2) & (words > 100), 20).otherwise(0) + F.when(words < 50, 30).otherwise(0)
-    return F.when((sentences == 0) | (words == 0), 0).otherwise(F.greatest(F.lit(0), 100 - off))
+
+    def of(n: Column) -> Column:
+        off = F.when(n["words"] > n["sentences"] * 30, 15).otherwise(0) + F.when((n["paragraphs"] < 2) & (n["words"] > 100), 20).otherwise(0) + F.when(n["words"] < 50, 30).otherwise(0)
+        return F.when((n["sentences"] == 0) | (n["words"] == 0), 0).otherwise(F.greatest(F.lit(0), 100 - off))
+
+    return let(F.struct(filled(r"[.!?]+").alias("sentences"), filled(r"\s+").alias("words"), filled(r"\n\s*\n").alias("paragraphs")), of)
 
 
 @once
