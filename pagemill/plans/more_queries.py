@@ -39,7 +39,8 @@ def _literal(value: object) -> str:
 def golden(name: str, cases: list[tuple[str, str, object]], of) -> None:
     """A query over authored pages (url, html, expected): one text or number per page, by of(root, url)."""
     kind = "string" if any(isinstance(x[2], str) for x in cases) else "boolean" if isinstance(cases[0][2], bool) else "double" if isinstance(cases[0][2], float) else "long"
-    values = ", ".join(f"({i}::BIGINT, {_literal(x[2])})" for i, x in enumerate(cases))
+    cast = {"string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE", "long": "BIGINT"}[kind]
+    values = ", ".join(f"({i}::BIGINT, {_literal(x[2])}::{cast})" for i, x in enumerate(cases))
 
     @query(name, f"SELECT * FROM (VALUES {values}) AS v(page_id, value)")
     def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
