@@ -325,7 +325,8 @@ def jaccard_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     joined = connected(edges)
     class_of = found.select("doc_id", "n_shingles", "sid").join(joined.select(F.col("node").alias("sid"), F.col("component")), "sid", "left")
     class_of = class_of.withColumn("component", F.coalesce("component", "sid"))
-    least = class_of.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # Written first, so that the join back has two plain exchanges and can be split at a very large component.
+    least = cut(class_of.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")))
     out = class_of.filter("n_shingles > 0").join(least, "component").select("doc_id", "n_shingles", "component_id")
     return out.unionByName(found.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
