@@ -73,9 +73,10 @@ def mark_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     runs = lines.select("_id", "_hash", F.explode(let(F.col("lines"), lambda x: _runs(x, window))).alias("run")).select("_id", "_hash", "run.*")
     runs = cut(runs)
     at = F.struct("_id", "_hash", F.col("print.at").alias("at"))
-    shared = runs.groupBy(F.col("print.h").alias("ph"), F.col("print.g").alias("pg")).agg(F.min(at).alias("lo"), F.max(at).alias("hi")).filter("lo != hi").select("ph", "pg")
+    # What is joined to runs is written first: a join of two plain exchanges can be split where one line is very common.
+    shared = cut(runs.groupBy(F.col("print.h").alias("ph"), F.col("print.g").alias("pg")).agg(F.min(at).alias("lo"), F.max(at).alias("hi")).filter("lo != hi").select("ph", "pg"))
     matched = runs.join(shared, (F.col("print.h") == F.col("ph")) & (F.col("print.g") == F.col("pg")), "left_semi").drop("print")
-    first = matched.groupBy("h", "g").agg(F.min(F.struct("_id", "_hash", "k")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "g", "first")
+    first = cut(matched.groupBy("h", "g").agg(F.min(F.struct("_id", "_hash", "k")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "g", "first"))
     later = matched.join(first, ["h", "g"]).filter(F.struct("_id", "_hash", "k") > F.col("first"))
     places = later.select("_id", "_hash", F.explode("places").alias("pos"))
     return places.groupBy("_id", "_hash").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
