@@ -7,11 +7,12 @@ odd places is code. That keeps a document in one row, without exploding it into
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import headings_equivalent, let, normalize_heading, normalize_input, normalize_unicode_spaces, once, trim_all
+from pagemill.functions.text import headings_equivalent, let, normalize_heading, normalize_input, normalize_line, normalize_unicode_spaces, once, trim_all
 
 FENCE = r"(?m)^[ \t]*```.*$"
 
@@ -160,25 +161,40 @@ def sanitize(md: Column) -> Column:
     return normalize_unicode_spaces(md)
 
 
+#: Words of which the patterns that can match anywhere in a line need one; looking for words is far cheaper.
+UI_WORDS = ("cookie", "preferences", "popup", "search", "reddit", "view more:", "hide", "wikipedia", "newsletter", "donate")
+VECTOR_WORDS = ("<path d=", "stroke-width=", "stroke-linecap=", "stroke-linejoin=", 'transform="translate(', "</svg>")
+
+
+def _at_start(patterns: list[str]) -> str:
+    """The patterns that are tied to the start of a line as one, which is then tried at the start alone."""
+    return "(?i)^(?:" + "|".join(p[1:] for p in patterns if p.startswith("^")) + ")"
+
+
+def _anywhere(patterns: list[str]) -> str:
+    return "|".join(p for p in patterns if not p.startswith("^"))
+
+
+def _has_any(x: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(x, F.lit(w)) for w in words))
+
+
 @once
 def is_ui_noise(line: Column) -> Column:
     """Whether a line of prose is interface chrome; headings and blank lines never are."""
-    trimmed = F.trim(line)
-    plain = F.lower(normalize_input(line))
-    bare = F.trim(F.regexp_replace(F.regexp_replace(trimmed, r"^[-*+]\s+", ""), r"^\d+\.\s+", ""))
-    exact = "(?i)" + "|".join(UI_EXACT)
     chip = r"^[A-Za-z][A-Za-z0-9 .&:/'()-]{1,70}\s+\+\d{1,3}$"
-    noisy = (
-        plain.rlike("|".join(UI_STRONG))
-        | ((F.length(plain) <= 200) & plain.rlike("|".join(UI_SHORT)))
-        | plain.rlike("data:image/")
-        | trimmed.rlike(exact)
-        | bare.rlike(exact)
-        | trimmed.rlike("(?i)" + "|".join(UI_TRIMMED))
-        | trimmed.rlike(chip)
-        | bare.rlike(chip)
-    )
-    return (plain != "") & ~trimmed.rlike(r"^#{1,6}\s") & noisy
+
+    def of(x: Column) -> Column:
+        plain, trimmed = x["plain"], x["trimmed"]
+        is_short = F.length(plain) <= 200
+        worded = _has_any(plain, UI_WORDS) & ((is_short & plain.rlike(_anywhere(UI_SHORT))) | plain.rlike(_anywhere(UI_STRONG)))
+        fixed = (is_short & plain.rlike(_at_start(UI_SHORT))) | plain.rlike(_at_start(UI_STRONG)) | F.contains(plain, F.lit("data:image/"))
+        bulletless = F.regexp_replace(F.regexp_replace(trimmed, r"^[-*+]\s+", ""), r"^\d+\.\s+", "")
+        listed = trimmed.rlike(r"^(?:[-*+]|\d+\.)\s") & let(F.trim(bulletless), lambda b: b.rlike(_at_start(UI_EXACT)) | b.rlike(chip))
+        own = trimmed.rlike(_at_start(UI_EXACT)) | trimmed.rlike(_at_start(UI_TRIMMED)) | trimmed.rlike(chip) | _has_any(F.lower(trimmed), VECTOR_WORDS)
+        return (plain != "") & ~trimmed.rlike(r"^#{1,6}\s") & (worded | fixed | own | listed)
+
+    return let(F.struct(F.lower(normalize_line(line)).alias("plain"), F.trim(line).alias("trimmed")), of)
 
 
 def strip_ui_noise(md: Column) -> Column:
@@ -204,8 +220,7 @@ def strip_media(md: Column) -> Column:
 
 @once
 def is_footer_line(line: Column) -> Column:
-    plain = F.lower(normalize_input(line))
-    return plain.rlike(FOOTER) | plain.rlike(r"^©\s*\d{4}")
+    return let(F.lower(normalize_line(line)), lambda plain: _has_any(plain, tuple(FOOTER.split("|"))) | plain.rlike(r"^©\s*\d{4}"))
 
 
 @once
@@ -229,7 +244,7 @@ def strip_navigation(md: Column) -> Column:
 
     def keep(line: Column) -> Column:
         t = F.trim(line)
-        plain = F.lower(normalize_input(t))
+        plain = F.lower(normalize_line(t))
         dateline = t.rlike(r"(?:^|\s)\|\s*[A-Za-z]{3,9}\s+\d{1,2},\s+\d{4},\s+\d{1,2}:\d{2}") & t.rlike("(?i)times|news|post|daily|tribune|herald|journal|express|chronicle|gazette")
         copy = (title != "") & F.contains(normalize_heading(t), title) & (F.length(t) <= 180)
         return (t == "") | ~(t.rlike(r"^[-*]\s*\[[^\]]{1,80}\]\((?:https?://|/)[^)]+\)$") | plain.rlike(BREADCRUMBS) | dateline | copy)
