@@ -17,22 +17,26 @@ ROUNDS = 8
 #: For tests and the registered query; a real run passes a secret key of its own.
 DEMO_KEY = "pagemill-demo-key"
 
+#: Layouts in which cards are printed; between their groups stands a space, a hyphen, a dot or nothing.
+CARD_LAYOUT = r"(?:\d{4}(?:[ .-]?\d{4}){3}|\d{4}[ .-]?\d{6}[ .-]?\d{4,5})"
 #: Java patterns of candidates by kind; a candidate that fails the kind's validation is left as it is.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,20}[A-Za-z]{2,63}",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{40}|[0-9A-F]{40})(?![0-9A-Za-z])",
+    "email": r"(?:(?<![\p{L}\p{N}_.%+!#$&'*/=?^`{|}~-])[\p{L}\p{N}_%+!#$&'*/=?^`{|}~-][\p{L}\p{N}_.%+!#$&'*/=?^`{|}~-]{0,63}|(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63})@(?:[\p{L}\p{N}-]{1,63}\.){1,20}\p{L}{2,63}",
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
-    "phone": r"(?<!\d)\+\d{1,3}[ -]?\(\d{3}\)[ -]?\d{3}-\d{4}(?!\d)",
-    "card": r"(?<![\d-])\d{4}(?:[ -]?\d{4}){3}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "iso_date": r"(?<![\d-])(?:19|20)\d{2}-\d{2}-\d{2}(?![\d-])",
-    "us_date": r"(?<![\d/])\d{2}/\d{2}/(?:19|20)\d{2}(?![\d/])",
-    "dot_date": r"(?<![\d.])\d{2}\.\d{2}\.(?:19|20)\d{2}(?!\.?\d)",
+    "phone": r"(?<![\d+])\+\d(?:[ ./-]{0,2}\(?\d\)?){6,14}(?!\d)|(?<![\d.+-])(?:1[ .-])?(?:\([2-9]\d{2}\)[ .-]?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\d-]|\.\d)|(?<![\d.,/+-])(?:\(0\d{1,4}\)|0\d{1,4})(?:[ /-]{1,2}\d{2,8}){1,4}(?![\d-]|[./]\d)",
+    "iso_date": r"(?<![\d-])(?:19|20)\d{2}-\d{1,2}-\d{1,2}(?![\d-])",
+    "us_date": r"(?<![\d/])\d{1,2}/\d{1,2}/(?:19|20)\d{2}(?![\d/])",
+    "dot_date": r"(?<![\d.])\d{1,2}\.\d{1,2}\.(?:19|20)\d{2}(?!\.?\d)",
+    "card": r"(?<![\d-])(?:(?<!\d[ .])\d(?:(?: ?\d){12,18}(?! ?\d)|(?:-?\d){12,18}|(?:\.?\d){12,18}(?!\.?\d))|" + CARD_LAYOUT + r")(?![\d-])",
 }
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: 1900-01-01 to 2099-12-31 has 73,049 days, 17 times 4,297.
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
-DATE_FORMATS = {"iso_date": "yyyy-MM-dd", "us_date": "MM/dd/yyyy", "dot_date": "dd.MM.yyyy"}
+DATE_FORMATS = {"iso_date": "yyyy-M-d", "us_date": "M/d/yyyy", "dot_date": "d.M.yyyy"}
+#: Country codes of E.164.
+COUNTRY = r"^(\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}))"
 
 
 def _digest(key: str, kind: str, at: Column, half: Column) -> Column:
@@ -111,7 +115,10 @@ def _refilled(shape: Column, digits: Column) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    return F.concat(feistel_text(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
+    """Signs before the first letter or digit, and a path that an address stands in, stay outside the network."""
+    local = F.substring_index(m, "@", 1)
+    head = F.regexp_extract(local, r"^(?:.*/)?[^\p{L}\p{N}]*", 0)
+    return let(head, lambda h: F.concat(h, feistel_text(F.substring(local, F.length(h) + 1, F.length(local)), key, "email"), F.lit("@"), F.substring_index(m, "@", -1)))
 
 
 def _secret(m: Column, key: str) -> Column:
@@ -132,17 +139,38 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    return F.concat(F.regexp_extract(m, r"^(\+\d{1,3})", 1), feistel_text(F.regexp_replace(m, r"^\+\d{1,3}", ""), key, "phone"))
+    """The country code or trunk prefix stays; the rest is permuted as digits, alike in all layouts of a number."""
 
-
-def _card(m: Column, key: str) -> Column:
     def of(d: Column) -> Column:
-        valid = _check_digit(F.substring(d, 1, 15)).cast("string") == F.substring(d, 16, 1)
-        return F.when(valid, let(F.concat(F.substring(d, 1, 1), feistel_text(F.substring(d, 2, 14), key, "card")), lambda body: _refilled(m, F.concat(body, _check_digit(body).cast("string")))))
+        plus = m.startswith("+")
+        head = F.when(plus, F.length(F.regexp_extract(m, COUNTRY, 1)) - 1).when(d.startswith("00"), 1 + F.length(F.regexp_extract(F.concat(F.lit("+"), F.substring(d, F.lit(3), F.length(d))), COUNTRY, 1)))
+        head = F.coalesce(head, F.when(d.startswith("0") | (F.length(d) == 11), 1).otherwise(0))
+        size = F.length(d)
+        valid = F.when(plus, size.between(7, 15)).when(d.startswith("00"), size.between(9, 17)).otherwise(size.between(9, 12))
+        moved = let(head, lambda h: F.concat(F.substring(d, F.lit(1), h), feistel_text(F.substring(d, h + 1, size), key, "phone")))
+        return F.when(valid, _refilled(m, moved))
 
     return let(_digits(m), of)
 
 
+def _card(m: Column, key: str) -> Column:
+    """The candidate as a whole, or else the layout that it begins or ends with: digits may stand beside a card."""
+
+    def valid(x: Column) -> Column:
+        d = _digits(x)
+        return F.length(d).between(13, 19) & (_check_digit(F.substring(d, F.lit(1), F.length(d) - 1)).cast("string") == F.substring(d, F.length(d), F.lit(1)))
+
+    def moved(part: Column) -> Column:
+        def of(d: Column) -> Column:
+            body = F.concat(F.substring(d, 1, 1), feistel_text(F.substring(d, F.lit(2), F.length(d) - 2), key, "card"))
+            return let(body, lambda b: _refilled(part, F.concat(b, _check_digit(b).cast("string"))))
+
+        return F.concat(F.substring(m, F.lit(1), F.instr(m, part) - 1), let(_digits(part), of), F.substring(m, F.instr(m, part) + F.length(part), F.length(m)))
+
+    parts = F.array(m, F.regexp_extract(m, f"^{CARD_LAYOUT}(?!\\d)", 0), F.regexp_extract(m, f"(?<!\\d){CARD_LAYOUT}$", 0))
+    return let(F.get(F.filter(parts, valid), F.lit(0)), lambda part: F.when(part.isNotNull(), moved(part)))
+
+
 def _ssn(m: Column, key: str) -> Column:
     area, group, serial = (F.substring(m, at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
     valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
@@ -153,10 +181,17 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str, kind: str) -> Column:
-    day = F.try_to_timestamp(m, F.lit(DATE_FORMATS[kind])).cast("date")
-    number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    moved = feistel_number(number, *DAYS, key, "date").cast("int")
-    return F.when(day.isNotNull(), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), moved), DATE_FORMATS[kind]))
+    """Numbers keep their width; with slashes, what is no month and day is read as day and month."""
+
+    def turned(pattern: str) -> Column:
+        day = F.try_to_timestamp(m, F.lit(pattern)).cast("date")
+        number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
+        moved = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel_number(number, *DAYS, key, "date").cast("int"))
+        sign = next(x for x in "-/." if x in pattern)
+        fields = [F.when(F.length(F.get(F.split(m, f"[{sign}]"), F.lit(i))) == 1, F.date_format(moved, f)).otherwise(F.date_format(moved, f * 2 if len(f) == 1 else f)) for i, f in enumerate(pattern.split(sign))]
+        return F.when(day.isNotNull(), F.concat_ws(sign, *fields))
+
+    return F.coalesce(turned("M/d/yyyy"), turned("d/M/yyyy")) if kind == "us_date" else turned(DATE_FORMATS[kind])
 
 
 def _pseudonym(m: Column, key: str) -> Column:
@@ -171,14 +206,14 @@ def _pseudonym(m: Column, key: str) -> Column:
     } | {kind: _date(m, key, kind) for kind in DATE_FORMATS}
     shape = {
         "email": m.contains("@"),
-        "secret": m.rlike("^[0-9a-fA-F]{40}$"),
-        "ip": m.rlike(r"^\d+\.\d+\.\d+\.\d+$"),
-        "phone": m.startswith("+"),
-        "card": m.rlike(r"^\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}$"),
+        "secret": m.rlike("^[0-9a-fA-F]{32,128}$"),
+        "ip": m.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"),
         "ssn": m.rlike(r"^\d{3}-\d{2}-\d{4}$"),
-        "iso_date": m.rlike(r"^\d{4}-\d{2}-\d{2}$"),
-        "us_date": m.contains("/"),
-        "dot_date": m.rlike(r"^\d{2}\.\d{2}\.\d{4}$"),
+        "phone": m.rlike(r"^(?:\+|\(|0\d{1,4}[ /-]|(?:1[ .-])?[2-9]\d{2}[ .-][2-9]\d{2}[ .-]\d{4}$)"),
+        "iso_date": m.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"),
+        "us_date": m.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"),
+        "dot_date": m.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$"),
+        "card": F.lit(True),
     }
     kind = reduce(lambda w, k: w.when(shape[k], F.lit(k)), list(shape)[1:], F.when(shape["email"], F.lit("email")))
 
@@ -192,9 +227,11 @@ def _pseudonym(m: Column, key: str) -> Column:
 def pseudonymise(documents: DataFrame, text: str = "text", key: str = DEMO_KEY) -> DataFrame:
     """The documents with the text pseudonymised and the array `kinds` of the kinds found, in text order.
 
-    E-mail local parts, IPv4 addresses, international phone numbers, Luhn-valid card numbers, valid social security
-    numbers, 40-digit hexadecimal tokens and calendar dates of 1900 to 2099 change; candidates that fail validation and
-    all other text stay as they are. One projection without shuffle or user function, whole texts of any length. A null
+    What changes: e-mail local parts of unquoted signs; IPv4 addresses; phone numbers with a plus and 7 to 15 digits,
+    of North America with area code, or with a leading 0 or 00 and 9 to 17 digits in groups; Luhn-valid card numbers of
+    13 to 19 digits, solid or with one kind of separator (space, hyphen, dot); social security numbers with hyphens;
+    hexadecimal tokens of 32 to 128 digits; dates of 1900 to 2099 as y-m-d, m/d/y, d/m/y and d.m.y. Candidates that fail
+    validation and all other text stay as they are. One projection without shuffle or user function, whole texts of any length. A null
     text stays null with no kinds; an empty one stays empty. Repeated rows get the same result each; a column named
     `kinds` in the input is replaced, all others stay. An empty table gives an empty table.
     """

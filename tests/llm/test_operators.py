@@ -100,6 +100,29 @@ def test_formats_and_links(spark):
     assert other != a
 
 
+@pytest.mark.parametrize(
+    "find",
+    ["+44 20 7946 0958", "+442079460958", "+1-212-555-0100", "(212) 555-0100", "212-555-0100", "1-212-555-0100", "020 7946 0958", "0044 20 7946 0958"]
+    + ["4222222222222", "3782 822463 10005", "378282246310005", "6304 0000 0000 0000 000", "4111.1111.1111.1111", "30569309025904"]
+    + ["_ann@x.com", "o'brien@x.com", "04dbebab91ab85687d33eeaaf9ac699e", "2024-1-5", "1/5/2024", "25/12/2024", "5.1.2024"],
+)
+def test_other_layouts(spark, find):
+    row = pseudonyms.pseudonymise(spark.createDataFrame([(f"see {find}, and",)], "text string")).first()
+    assert len(row["kinds"]) == 1 and find not in row["text"] and row["text"].startswith("see ") and row["text"].endswith(", and")
+    if row["kinds"] == ["card"]:
+        assert luhn(re.sub(r"\D", "", row["text"])) and len(row["text"]) == len(find) + 9
+
+
+def test_layouts_share_pseudonyms_and_neighbours_stay(spark):
+    texts = ["+1 (212) 555-0100", "212-555-0100", "4111 1111 1111 1111 123", "12 4111 1111 1111 1111", "2024-01-05 2024-02-06 12", "1 2 3 4 5 6 7 8 9 10", "'ann@x.com'", "ann@x.com", "http://a.example/u/ann@x.com"]
+    out = [r["text"] for r in pseudonyms.pseudonymise(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")).orderBy("i").collect()]
+    digits = [re.sub(r"\D", "", t) for t in out]
+    assert digits[0] == "1" + digits[1] != "12125550100"
+    assert out[2][:19] == out[3][3:] != texts[3][3:] and out[2].endswith(" 123") and out[3].startswith("12 ")
+    assert "2024-01-05" not in out[4] and "2024-02-06" not in out[4] and out[5] == texts[5]
+    assert out[6] == f"'{out[7]}'" and out[8] == "http://a.example/u/" + out[7] != texts[8]
+
+
 # Language.
 
 
