@@ -28,7 +28,8 @@ BROADCAST_BYTES = 16 << 20
 HELD_HOSTS, TEMPLATE_PAGES = 2_000, 8
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute whole, so that no word of a value and no part of a name is read as an attribute.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SILENT = frozenset("script style noscript template svg math iframe object embed canvas audio video select option textarea button form input label head title meta link map dialog".split())
 RAW = frozenset("script style template noscript iframe textarea title svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +45,15 @@ CHROME_WORDS = frozenset(
 )
 #: Those of them that an element keeps even around an article or main element: what readers wrote, and other articles.
 HARD_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion related recommended recommendations trending".split())
+#: Inside an article or main element a name drops a container if it has one of these words and otherwise only words of layout;
+#: ids are often slugs of headings, so fewer words count there. Any other name takes a text that is mostly links.
+CLEAR_CLASSES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsored promo nav navbar breadcrumb breadcrumbs sidebar sidenav widget widgets cookie newsletter"
+    " subscribe signup share sharing comment comments commentlist disqus pagination pager toolbar popup paywall hidden".split()
+)
+CLEAR_IDS = frozenset("ad ads adsense sidebar newsletter comments commentlist disqus".split())
+LAYOUT_WORDS = frozenset("area bar block body box buttons cell col column container content form group inner item items js left links list outer panel right row section slot top unit wrap wrapper".split())
+CONTAINERS = frozenset("div section ul ol dl table".split())
 #: Words that make an article element itself chrome; the whole page and its main element never are by their words.
 SIDE_ARTICLES = frozenset("comment reply ad advert advertisement sponsored promo teaser related widget".split())
 MAIN_WORDS = frozenset("content article post entry story main".split())
@@ -62,10 +72,10 @@ IMPLIED = {
 class Node:
     """An element of a page: tag, signature, whether it is chrome by itself, and children that are nodes or texts."""
 
-    __slots__ = ("tag", "sig", "chrome", "soft", "role", "words", "kids")
+    __slots__ = ("tag", "sig", "chrome", "soft", "named", "clear", "role", "words", "kids")
 
     def __init__(self, tag: str, rest: str = ""):
-        self.tag, self.kids, self.role, names, hidden = tag, [], "", "", False
+        self.tag, self.kids, self.role, names, hidden, self.clear = tag, [], "", "", False, False
         if rest:
             for m in ATTRIBUTE.finditer(rest):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -73,13 +83,52 @@ class Node:
                     self.role = value.lower()
                 elif name in ("class", "id"):
                     names += " " + value
-                else:
+                    self.clear |= tag in CONTAINERS and _clear(value, CLEAR_IDS if name == "id" else CLEAR_CLASSES)
+                elif name in ("hidden", "aria-hidden", "style"):
                     hidden |= name == "hidden" or value.lower() == "true" or "display:none" in value.lower().replace(" ", "")
-        self.words = frozenset(w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower()) if w) if names else frozenset()
+        self.words = _words(names)
         self.sig = f"{tag}.{'.'.join(sorted(self.words))}" if self.words else tag
         named = self.words & (frozenset() if tag in ("html", "body", "main") else SIDE_ARTICLES if tag == "article" else CHROME_WORDS)
         hard = tag in CHROME_TAGS or hidden or self.role in CHROME_ROLES or bool(named & HARD_WORDS) or (tag == "article" and bool(named))
         self.chrome, self.soft = hard or bool(named), bool(named) and not hard
+        self.named = bool(named) and tag != "article" and not (tag in CHROME_TAGS or hidden or self.role in CHROME_ROLES)
+
+
+def _words(names: str) -> frozenset:
+    return frozenset(w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", names).lower()) if w) if names else frozenset()
+
+
+def _clear(names: str, words: frozenset) -> bool:
+    return any(w & words and w <= words | LAYOUT_WORDS for w in map(_words, names.split()))
+
+
+def _article(node: Node) -> bool:
+    return node.tag in ("article", "main") or node.role in ("article", "main")
+
+
+def _spare(root: Node) -> None:
+    """Inside article and main elements, words alone make nothing chrome: names must be clear, or the text mostly links."""
+    todo = [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        if inside and node.named and not node.clear:
+            node.chrome = node.soft = _linked(node)
+        inside = inside or (_article(node) and not node.chrome)
+        todo.extend((kid, inside) for kid in node.kids if isinstance(kid, Node) and not node.chrome)
+
+
+def _linked(node: Node) -> bool:
+    """Whether at least half of the text of an element stands in links."""
+    todo, chars = [(node, False)], [0, 0]
+    while todo:
+        at, link = todo.pop()
+        link = link or at.tag == "a"
+        for kid in at.kids:
+            if isinstance(kid, str):
+                chars[link] += len("".join(kid.split()))
+            else:
+                todo.append((kid, link))
+    return chars[1] > 0 and chars[1] >= chars[0]
 
 
 def parse(page: str | None) -> Node:
@@ -126,6 +175,7 @@ def parse(page: str | None) -> Node:
             stack.append(node)
     if at < len(page):
         stack[-1].kids.append(re.sub(r"<[^>]*$", "", page[at:]))
+    _spare(root)
     return root
 
 

@@ -382,6 +382,21 @@ def test_wrappers_named_after_chrome():
     assert html_wrappers.main_text(page, None) == "kept"
 
 
+@pytest.mark.parametrize(
+    "block",
+    ['<a href="/articles/hidden-figures">{}</a>', '<p title="the hidden truth">{}</p>', '<p data-hidden="false">{}</p>', '<a href="/view?id=related">{}</a>', '<p data-id="sidebar">{}</p>']
+    + ['<section id="discussion"><p>{}</p></section>', '<h2 id="related-work">{}</h2>', '<p class="notice">{}</p>', '<div class="legal">{}</div>'],
+)
+def test_article_keeps_what_only_looks_like_chrome(block):
+    assert html_wrappers.main_text(f"<article><p>first</p>{block.format('kept')}</article>", None).split() == ["first", "kept"]
+    assert html_wrappers.main_text(f"<main><div>first {block.format('kept')}</div></main>", None).split() == ["first", "kept"]
+
+
+def test_article_loses_clear_chrome():
+    page = '<article><p>kept</p><div class="share-links">x</div><section id="comments">x</section><div class="related"><a href="/">x</a></div><p hidden>x</p><p style="display: none">x</p><p aria-hidden="true">x</p></article>'
+    assert html_wrappers.main_text(page, None) == "kept"
+
+
 def test_broken_markup():
     assert html_wrappers.main_text("<p>a<p>b<div>c</span></p><script>x", None) == "a\nb\nc"
     assert html_wrappers.main_text('<p>q "quote <b x="1>">in</b> <!-- c', None) == 'q "quote in'
