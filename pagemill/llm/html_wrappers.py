@@ -56,7 +56,6 @@ LAYOUT_WORDS = frozenset("area bar block body box buttons cell col column contai
 CONTAINERS = frozenset("div section ul ol dl table".split())
 #: Words that make an article element itself chrome; the whole page and its main element never are by their words.
 SIDE_ARTICLES = frozenset("comment reply ad advert advertisement sponsored promo teaser related widget".split())
-MAIN_WORDS = frozenset("content article post entry story main".split())
 #: A start tag of the key ends open elements of the set, up to the nearest of the stops.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -308,9 +307,8 @@ def main_text(page: str | None, wrapper: list | None) -> str:
     root = parse(page)
     found = list(_mains(root, []))
     if not found:
-        found = [n for n in _under(root) if n.tag == "main" or (n.words & MAIN_WORDS)][:1]
-        inside = bool(found) and 2 * _size(found[0]) >= _size(root)
-        found = found if inside else [root]
+        found = list(_outermost(root, "main"))
+        found = found if found and 2 * sum(map(_size, found)) >= _size(root) else [root]
     wanted, out = {id(n) for n in found}, []
     pages = wrapper[PAGES] if wrapper else 0
     varied = wrapper is not None and _varies(wrapper)
@@ -331,11 +329,13 @@ def main_text(page: str | None, wrapper: list | None) -> str:
     return "\n".join(out)
 
 
-def _under(node: Node) -> Iterator[Node]:
+def _outermost(node: Node, tag: str) -> Iterator[Node]:
     for kid in node.kids:
         if isinstance(kid, Node) and not kid.chrome:
-            yield kid
-            yield from _under(kid)
+            if kid.tag == tag:
+                yield kid
+            else:
+                yield from _outermost(kid, tag)
 
 
 WRAPPERS = "host string, salt long, wrapper string"

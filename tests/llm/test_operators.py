@@ -397,6 +397,13 @@ def test_article_loses_clear_chrome():
     assert html_wrappers.main_text(page, None) == "kept"
 
 
+def test_whole_body_without_article():
+    for name in ("entry", "content", "post"):
+        page = f'<div class="{name}"><p>one, the longer part</p></div><div class="{name}"><p>two</p></div><p>three</p>'
+        assert html_wrappers.main_text(page, None) == "one, the longer part\ntwo\nthree"
+    assert html_wrappers.main_text("<p>out</p><main><p>one of two</p></main><main><p>two of two</p></main>", None) == "one of two\ntwo of two"
+
+
 def test_broken_markup():
     assert html_wrappers.main_text("<p>a<p>b<div>c</span></p><script>x", None) == "a\nb\nc"
     assert html_wrappers.main_text('<p>q "quote <b x="1>">in</b> <!-- c', None) == 'q "quote in'
