@@ -36,8 +36,13 @@ def _literal(value: object) -> str:
     return "NULL" if value is None else "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value).lower() if isinstance(value, bool) else str(value)
 
 
-def golden(name: str, cases: list[tuple[str, str, object]], of) -> None:
-    """A query over authored pages (url, html, expected): one text or number per page, by of(root, url)."""
+#: The authored cases' queries by name, each with the query that runs its operator over the whole table.
+WHOLE: dict[str, str] = {}
+
+
+def golden(name: str, cases: list[tuple[str, str, object]], of, whole=None, whole_kind: str | None = None) -> None:
+    """A query over authored pages (url, html, expected): one text or number per page, by of(root, url); and, as
+    name_pages, one over every page of the table, by whole(root, url) where the cases' selectors fit only them."""
     kind = "string" if any(isinstance(x[2], str) for x in cases) else "boolean" if isinstance(cases[0][2], bool) else "double" if isinstance(cases[0][2], float) else "long"
     cast = {"string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE", "long": "BIGINT"}[kind]
     values = ", ".join(f"({i}::BIGINT, {_literal(x[2])}::{cast})" for i, x in enumerate(cases))
@@ -46,6 +51,12 @@ def golden(name: str, cases: list[tuple[str, str, object]], of) -> None:
     def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return K.per_page(authored(spark, [x[:2] for x in cases]), f"page_id long, value {kind}", lambda i, u, h: [(i, of(dom.parse(h), u))])
 
+    WHOLE[name] = f"{name}_pages"
+
+    @query(WHOLE[name])
+    def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return K.per_page(table(spark, sf_dir, "pages"), f"page_id long, value {whole_kind or kind}", lambda i, u, h: [(i, (whole or of)(dom.parse(h), u))])
+
 
 def text(root: dom.Node) -> str:
     return dom.flat(root.text())
@@ -67,9 +78,9 @@ golden("empty_cleanup", [(U, "<div><p> </p><span></span></div><p>x</p>", "<p>x</
 golden("inline_spacing", [(U, "<h2><span>into</span><span>precise</span></h2>", "into precise"), (U, "<h2>" + "".join(f"<i>{x}</i>" for x in "lettersaway") + "</h2>", "lettersaway")], lambda r, u: text(P.inline_spacing(r)))
 golden("raw_example_isolate", [(U, "<div><p>Raw input</p><div><b>x</b></div></div>", "<div><p>Raw input</p><pre>&lt;div&gt;&lt;b&gt;x&lt;/b&gt;&lt;/div&gt;</pre></div>")], lambda r, u: P.isolate_examples(r).html())
 golden("coverage_root", [(U, f"<body><div id=content>{LONG * 3}</div><main>{LONG * 4}</main></body>", "main"), (U, f"<body><p>{LONG}</p></body>", "body")], lambda r, u: P.coverage_root(r).tag)
-golden("coverage_low", [(U, f"<body><p>{LONG * 5}</p><div class=x>{LONG}</div></body>", True), (U, f"<body><div class=x>{LONG * 5}</div></body>", False)], lambda r, u: P.coverage_low(r.first(".x"), r))
-golden("usable_adapter_content", [(U, f"<div>{LONG * 2}</div>", True), (U, "<div><p>too short</p></div>", False)], lambda r, u: P.usable(r.first("div")))
-golden("expand_candidate", [(U, f"<body><section><div><p>{LONG}</p></div><p>more</p></section></body>", "section")], lambda r, u: P.expand(r.first("div p")).tag)
+golden("coverage_low", [(U, f"<body><p>{LONG * 5}</p><div class=x>{LONG}</div></body>", True), (U, f"<body><div class=x>{LONG * 5}</div></body>", False)], lambda r, u: P.coverage_low(r.first(".x"), r), lambda r, u: sum(P.coverage_low(n, r) for n in r.select("div,section,article,main")), "long")
+golden("usable_adapter_content", [(U, f"<div>{LONG * 2}</div>", True), (U, "<div><p>too short</p></div>", False)], lambda r, u: P.usable(r.first("div")), lambda r, u: sum(P.usable(n) for n in r.select("div,section,article,main")), "long")
+golden("expand_candidate", [(U, f"<body><section><div><p>{LONG}</p></div><p>more</p></section></body>", "section")], lambda r, u: P.expand(r.first("div p")).tag, lambda r, u: ",".join(P.expand(n).tag for n in r.select("p")))
 golden("semantic_content", [(U, f"<div class=content>{LONG * 8}</div>", "div"), (U, f"<article>{LONG}</article>", None)], lambda r, u: n.tag if (n := P.semantic(r)) is not None else None)
 golden("feed_candidates", [(U, "<ul class=feed>" + f'<li><a href="#">{LONG}</a></li>' * 9 + "</ul>", 1), (U, "<ul><li>x</li></ul>", 0)], lambda r, u: len(P.feeds(r)))
 golden("landing_candidate", [(U, '<body><h1>Me</h1><span class="chip">py</span><span class="chip">sql</span><label for="e">Mail</label><input id="e"><footer><a href="https://github.com/x">gh</a></footer></body>', "# Me\n\nMail\n\nMail\n\n[gh](https://github.com/x)\n\n- py\n- sql\n\n## Links\n\n[gh](https://github.com/x)")], lambda r, u: convert.to_markdown(P.landing(r)))
@@ -78,21 +89,21 @@ golden("site_adapters", [(U, f'<div class="thread">{LONG * 2}</div>', "thread:us
 golden("thread_dom_body", [(U, f'<div id="thread">{LONG * 2}</div>', (LONG * 2).strip()), (U, '<div id="thread">x</div>', None)], lambda r, u: text(n) if (n := P.thread_body(r)) is not None else None)
 golden("thread_shell", [("https://www.reddit.com/r/x/comments/1/y", "<p>loading</p>", True), (U, "<p>loading</p>", False)], lambda r, u: P.is_shell(r, u))
 golden("thread_noise_filter", [(U, "<p>12 upvotes</p>", ""), (U, "<pre># Title\nA real line here\nA real line here\n5 hours ago\nReply\n</pre>", "# Title\n\nA real line here")], lambda r, u: P.thread_lines(r.text()))
-golden("thread_quality", [(U, f"<p>{LONG * 6}</p>", 80)], lambda r, u: P.thread_quality(text(r), text(r) + "x" * 20))
+golden("thread_quality", [(U, f"<p>{LONG * 6}</p>", 80)], lambda r, u: P.thread_quality(text(r), text(r) + "x" * 20), lambda r, u: P.thread_quality(P.thread_lines(r.text()), r.text()))
 golden("boilerplate_rules", [(U, '<nav>N</nav><div class="ad">A</div><div class="comments">C</div><header><h1>H</h1></header>x', "N<h1>H</h1>x"), (U, '<div class="modal"><h2>API reference</h2></div>', '<div class="modal"><h2>API reference</h2></div>')], lambda r, u: P.apply_rules(r).html())
-golden("preserve_element", [(U, '<div data-spec="1"></div>', True), (U, "<div>x</div>", False)], lambda r, u: P.preserved(r.first("div")))
+golden("preserve_element", [(U, '<div data-spec="1"></div>', True), (U, "<div>x</div>", False)], lambda r, u: P.preserved(r.first("div")), lambda r, u: sum(P.preserved(n) for n in r.walk()), "long")
 golden("sanitize_candidate", [(U, f"<nav>n</nav><p>{LONG}</p><svg></svg><div></div>", f"<p>{LONG}</p>")], lambda r, u: P.remove_empty(P.remove_visual(features.clean(r))).html())
-golden("readability_quality", [(U, "<p>subscribe to our newsletter, accept the cookie</p>", 20)], lambda r, u: P.readability_check(r.html(), len(r.html()))[0])
+golden("readability_quality", [(U, "<p>subscribe to our newsletter, accept the cookie</p>", 20)], lambda r, u: P.readability_check(r.html(), len(r.html()))[0], lambda r, u: P.readability_check(features.clean(r.copy()).html(), len(r.html()))[0])
 golden("degrade_pipeline", [(U, f"<body><article><h1>T</h1><p>{LONG}</p></article></body>", "semantic,heuristic"), (U, f"<body><div class=thread><p>{LONG * 2}</p></div></body>", "thread")], lambda r, u: ",".join(s for s, _, _ in P.stages(r)))
 golden("stage0_thread", [(U, f'<div class="thread">{LONG * 2}</div>', True), (U, f"<p>{LONG}</p>", False)], lambda r, u: any(s == "thread" for s, _, _ in P.stages(r)))
 golden("stage1_semantic", [(U, f"<main>{LONG * 2}</main>", "main"), (U, f"<p>{LONG}</p>", None)], lambda r, u: next((n.tag for s, n, _ in P.stages(r) if s == "semantic"), None))
 golden("stage2_readability", [(U, f"<body><div><p>{LONG * 4}</p><p>{LONG * 4}</p></div></body>", True), (U, "<p>x</p>", False)], lambda r, u: any(s == "readability" for s, _, _ in P.stages(r)))
-golden("stage3_heuristic", [(U, f"<body><nav><a>{LONG}</a></nav><article><p>{LONG * 3}</p></article></body>", (LONG * 3).strip())], lambda r, u: next(text(n) for s, n, _ in P.stages(r) if s == "heuristic"))
+golden("stage3_heuristic", [(U, f"<body><nav><a>{LONG}</a></nav><article><p>{LONG * 3}</p></article></body>", (LONG * 3).strip())], lambda r, u: next(text(n) for s, n, _ in P.stages(r) if s == "heuristic"), lambda r, u: next((text(n) for s, n, _ in P.stages(r) if s == "heuristic"), None))
 golden("jsonld_extract", [(U, '<script type="application/ld+json">[{"@graph":[{"author":{"name":"Ann"},"datePublished":"2024-01-02"}]}]</script>', "2024-01-02|Ann"), (U, '<script type="application/ld+json">{broken</script>', "|")], lambda r, u: "|".join(",".join(x) for x in (metadata._linked_data(r)[0], metadata._linked_data(r)[2])))
 golden("ts_fragments", [(U, "<p>posted 10:30 IST Nov 5, 2025 by x</p>", "10:30 IST Nov 5, 2025|10:30 IST"), (U, "<p>none</p>", "")], lambda r, u: "|".join(metadata.fragments(text(r))))
-golden("ts_parse", [(U, "2025-11-05T10:00:00+02:00", "2025-11-05T08:00:00.000Z"), (U, "5 Nov 2025", "2025-11-05T00:00:00.000Z"), (U, "soon", None)], lambda r, u: metadata.iso(m) if (m := metadata.parse_time(text(r))) else None)
-golden("byline_pick", [(U, "Staff|x|By Ann Lee", "Ann Lee"), (U, "News", None)], lambda r, u: metadata.pick_byline(text(r).split("|")))
-golden("unique_timestamps", [(U, "2025-01-02|2025-01-02| 2024-01-02 ", "2025-01-02")], lambda r, u: metadata.pick_time(r.text().split("|"), 2026)[0])
+golden("ts_parse", [(U, "2025-11-05T10:00:00+02:00", "2025-11-05T08:00:00.000Z"), (U, "5 Nov 2025", "2025-11-05T00:00:00.000Z"), (U, "soon", None)], lambda r, u: metadata.iso(m) if (m := metadata.parse_time(text(r))) else None, lambda r, u: "|".join(metadata.iso(m) if (m := metadata.parse_time(x)) else "" for x in metadata.fragments(text(r))))
+golden("byline_pick", [(U, "Staff|x|By Ann Lee", "Ann Lee"), (U, "News", None)], lambda r, u: metadata.pick_byline(text(r).split("|")), lambda r, u: metadata.pick_byline([text(n) for n in r.select("[rel=author],.byline,.author")]))
+golden("unique_timestamps", [(U, "2025-01-02|2025-01-02| 2024-01-02 ", "2025-01-02")], lambda r, u: metadata.pick_time(r.text().split("|"), 2026)[0], lambda r, u: t[0] if (t := metadata.pick_time(metadata.fragments(text(r)), 2026)) else None)
 golden("json_brace_delta", [(U, '{"a": "}", [', 2), (U, "]}", -2)], lambda r, u: repair.brace_balance(r.text()))
 golden("hash_cyrb53", [(U, "a", P.cyrb53("a")), (U, "page", P.cyrb53("page"))], lambda r, u: P.cyrb53(r.text()))
 golden("recovery_strategies", [(U, "12", "12|number|"), (U, "x", "X|upper|number: ValueError")], lambda r, u: "|".join([(o := P.recover([("number", lambda: str(int(r.text()))), ("upper", lambda: r.text().upper())]))[0], o[1], ";".join(o[2])]))
@@ -291,12 +302,28 @@ for _name, _function in (("md_code_tables", repair.code_tables), ("md_dedupe_cod
 REPO = [("# x\ntext", "https://github.com/ann/tool", "# ann/tool\n\n# x\ntext"), ("# ann/tool\nx", "https://github.com/ann/tool", "# ann/tool\nx"), ("# x", "https://example.com/a/b", "# x")]
 
 
+def _repository_heading(md):
+    name = F.regexp_extract("url", r"^https?://github\.com/([\w.-]+/[\w.-]+)", 1)
+    return F.when((name == "") | F.contains(md, name), md).otherwise(F.concat(F.lit("# "), name, F.lit("\n\n"), md))
+
+
+@query("md_github_headings_pages")
+def md_github_headings_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Markdown of every page, with the repository's name as its first heading."""
+    made = K.per_page(table(spark, sf_dir, "pages"), "page_id long, url string, before string", lambda i, u, h: [(i, u, convert.to_markdown(dom.body_of(dom.parse(h))))])
+    return made.select("page_id", "url", _repository_heading(c("before")).alias("after"))
+
+
+@query("md_author_blocks_documents")
+def md_author_blocks_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown(spark, sf_dir).select("doc_id", M.strip_media(c("md")).alias("after"))
+
+
 @query("md_github_headings", "SELECT * FROM (VALUES " + ", ".join(f"({_literal(u)}, {_literal(a)}, {_literal(b)})" for a, u, b in REPO) + ") AS v(url, before, after)")
 def md_github_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repository's name as the first heading of pages of a code host, unless it is there."""
     rows = spark.createDataFrame([(u, a) for a, u, _ in REPO], "url string, before string")
-    name = F.regexp_extract("url", r"^https?://github\.com/([\w.-]+/[\w.-]+)", 1)
-    return rows.select("url", "before", F.when((name == "") | F.contains(c("before"), name), c("before")).otherwise(F.concat(F.lit("# "), name, F.lit("\n\n"), c("before"))).alias("after"))
+    return rows.select("url", "before", _repository_heading(c("before")).alias("after"))
 
 
 AUTHOR = [("Ann\n![Ann](https://gravatar.com/a.png)\n\n![Ann](https://gravatar.com/a.png)\nBody", "Ann\n\nBody")]

@@ -169,6 +169,13 @@ def ts_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t, metadata.score_time(t, metadata.parse_time(t), 2026)) for t in TIMES], "text string, score long")
 
 
+@query("ts_score_pages")
+def ts_score_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timestamps that the text of every page holds, with their scores."""
+    of = lambda i, u, h: [(i, t, metadata.score_time(t, metadata.parse_time(t), 2026)) for t in metadata.fragments(dom.flat(dom.parse(h).text()))]
+    return K.per_page(pages(spark, sf_dir), "page_id long, text string, score long", of)
+
+
 THREAD_SQL = "SELECT conv_id, count(*) - 1 AS n_comments, least(8, max(turn) - min(turn) - 1) AS max_depth FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) GROUP BY conv_id"
 
 
