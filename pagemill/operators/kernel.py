@@ -18,8 +18,6 @@ from pagemill.functions import scoring as S
 from pagemill.functions import text as T
 from pagemill.functions import urls as U
 
-#: Characters of markup that are read of a page; longer pages are cut there and say so in their warnings.
-PAGE_CHARS = 1_000_000
 CANDIDATES = "page_id long, place int, source string, html string, confidence double, text_length long, heading_coverage double, section_count int, noise boolean, lead boolean, anchors int, repeated int, forms int, vector boolean, density double, paragraphs int, code long, tables int, lists int"
 NODES = "page_id long, node int, parent int, pre int, post int, depth int, tag string, attrs map<string,string>, own_text string"
 PAGE = "page_id long, url string, title string, profile string, confidence double, signals array<string>, published string, updated string, byline string, n_source long, candidates array<struct<place: int, source: string, markdown: string, confidence: double, processing_ms: double, f: struct<text_length: bigint, heading_coverage: double, section_count: int, noise: boolean, lead: boolean, anchors: int, repeated: int, forms: int, vector: boolean, density: double, paragraphs: int, code: bigint, tables: int, lists: int>>>"
@@ -33,12 +31,12 @@ def spread(pages: DataFrame) -> DataFrame:
 
 
 def per_page(pages: DataFrame, schema: str, rows_of: Callable[[int, str, str], list]) -> DataFrame:
-    """Rows made of (page_id, url, html) one page at a time. Null markup counts as empty."""
+    """Rows made of (page_id, url, html) one page at a time, each page whole. Null markup counts as empty."""
     names = [part.split()[0] for part in _split(schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [row for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"], strict=True) for row in rows_of(int(page_id), url or "", (html or "")[:PAGE_CHARS])]
+            rows = [row for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"], strict=True) for row in rows_of(int(page_id), url or "", html or "")]
             yield pd.DataFrame(rows, columns=names)
 
     return spread(pages.select("page_id", "url", "html").filter("page_id IS NOT NULL")).mapInPandas(run, schema)
@@ -88,12 +86,17 @@ def _page(year: int, preset: str):
     return of
 
 
-def extract(pages: DataFrame, captured_at: str, mode: str = "balanced", slider: int = 55, preset: str = "standard", as_of_year: int = 2026) -> DataFrame:
+def extract(pages: DataFrame, captured_at: str, mode: str = "balanced", slider: int = 55, preset: str = "standard", as_of_year: int = 2026, max_chars: int | None = None) -> DataFrame:
     """One row per page: title, page type, the winning source and its Markdown below a citation, metadata and quality.
 
     The kernel parses each page once and emits its candidates; scores, ranking, citation, warnings and quality are
-    column expressions over them. Null and empty pages give a Markdown of nothing but citation and heading.
+    column expressions over them. Null and empty pages give a Markdown of nothing but citation and heading. Pages are
+    read whole, however long, unless max_chars cuts their markup; then the column `warnings` says which were cut.
     """
+    if max_chars is not None:
+        whole = extract(pages.withColumn("html", T.truncate(F.col("html"), max_chars)), captured_at, mode, slider, preset, as_of_year)
+        said = F.when(F.length("html") > max_chars, F.array(F.format_string(f"Content truncated from %d to {max_chars} characters", F.length("html")))).otherwise(F.array().cast("array<string>"))
+        return whole.join(pages.select("page_id", said.alias("warnings")), "page_id")
     parsed = per_page(pages, PAGE, _page(as_of_year, preset))
     mode_, slider_ = F.lit(mode), F.lit(slider)
     w = S.weights(mode_, slider_)

@@ -2,6 +2,7 @@
 
 import pytest
 
+from pagemill.operators import kernel
 from pagemill.plans import catalog
 from pagemill.plans.more_queries import WHOLE
 
@@ -24,3 +25,18 @@ def test_every_page_comes_back(spark, path, name):
 
 def test_scores_of_times_of_pages(spark, path):
     assert {r["page_id"] for r in catalog.queries()["ts_score_pages"](spark, path).collect()} == set(range(7))
+
+
+def test_long_pages_are_read_whole(spark):
+    page = "<body><article><h1>Head</h1>" + "<p>words of a paragraph</p>" * 45_000 + "<p>the last words</p></article></body>"
+    pages = spark.createDataFrame([(1, "https://a.example/", page)], "page_id long, url string, html string")
+    assert len(page) > 1_000_000
+    last = kernel.per_page(pages, "page_id long, tail string", lambda i, u, h: [(i, h[-41:])]).first()["tail"]
+    assert "the last words" in last
+
+
+def test_cut_on_request_is_said(spark):
+    pages = spark.createDataFrame([(1, "https://a.example/", "<article><p>" + "some words " * 30 + "</p><p>end</p></article>"), (2, "https://a.example/2", "<p>short</p>")], "page_id long, url string, html string")
+    rows = {r["page_id"]: r for r in kernel.extract(pages, "2026-01-02T03:04:05.000Z", max_chars=200).collect()}
+    assert rows[1]["warnings"] == ["Content truncated from 366 to 200 characters"] and "end" not in rows[1]["markdown"] and rows[2]["warnings"] == []
+    assert "end" in kernel.extract(pages, "2026-01-02T03:04:05.000Z").filter("page_id = 1").first()["markdown"]
