@@ -1,7 +1,9 @@
 """Operators shown on authored markup also run over whole tables, and nothing cuts a page."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from pagemill.functions import text as T
 from pagemill.operators import kernel
 from pagemill.plans import catalog
 from pagemill.plans.more_queries import WHOLE
@@ -40,3 +42,17 @@ def test_cut_on_request_is_said(spark):
     rows = {r["page_id"]: r for r in kernel.extract(pages, "2026-01-02T03:04:05.000Z", max_chars=200).collect()}
     assert rows[1]["warnings"] == ["Content truncated from 366 to 200 characters"] and "end" not in rows[1]["markdown"] and rows[2]["warnings"] == []
     assert "end" in kernel.extract(pages, "2026-01-02T03:04:05.000Z").filter("page_id = 1").first()["markdown"]
+
+
+def test_semi_joins_by_the_whole_rule(spark, tmp_path):
+    heads = ["the red house by the sea", "A sea, a house and a red boat", "Red", "xxthe red house by the seayy", "other words", "", "ab cd ef gh ij kl mn op", "the 9 z"]
+    items = ["the red house by the sea", "b cd ef gh ij kl mn o", "tiny boats", "said the 9"]
+    spark.createDataFrame([(i, h + "\nboats") for i, h in enumerate(heads)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, h + "\nmore") for i, h in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = spark.createDataFrame([(i, h, g) for i, h in enumerate(heads) for g in items], "i long, a string, b string")
+    a, b = T.normalize_heading(F.col("a")), T.normalize_heading(F.col("b"))
+    want = {r["i"] for r in plain.filter(T.headings_equivalent(a, b)).collect()}
+    got = [r["doc_id"] for r in catalog.queries()["heading_equivalent_semi_join"](spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want) and {0, 1, 3, 6} <= want and 4 not in want
+    found = {r["doc_id"]: r["n"] for r in catalog.queries()["token_contains_all_semi"](spark, str(tmp_path)).collect()}
+    assert found[0] == 2 and found[5] == 1
