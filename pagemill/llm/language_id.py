@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,8 @@ WORDS = re.compile(r"[^\W\d_]+")
 #: Bounds of the fit: labelled documents a language gives on average at most, numbers that the model holds at most, and
 #: how often a word must be seen in a language.
 SAMPLE_DOCS, MODEL_CELLS, LEAST_SEEN = 4_000, 8_000_000, 3
-#: Longest n-gram that an unseen word falls back to, and the longest word that is taken letter by letter.
-LONGEST, WORD_CHARS = 5, 64
+#: Longest n-gram that an unseen word falls back to, and the n-grams of a word that are held at once.
+LONGEST, PIECE = 5, 10_000
 UNKNOWN = "und"
 
 
@@ -35,9 +36,10 @@ class Model:
     scores: np.ndarray
 
 
-def _grams(word: str, size: int) -> list[str]:
-    padded = f"_{word[:WORD_CHARS]}_"
-    return [padded[i : i + size] for i in range(len(padded) - size + 1)]
+def _grams(word: str, size: int) -> Iterator[str]:
+    """All n-grams of the word, however long it is."""
+    padded = f"_{word}_"
+    return (padded[i : i + size] for i in range(len(padded) - size + 1))
 
 
 def fit(documents: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
@@ -61,7 +63,7 @@ def fit(documents: DataFrame, text: str = "text", lang: str = "lang", key: str =
         for batch in batches:
             for name, texts in batch.groupby("lang")["text"]:
                 seen = Counter(w for t in texts for w in WORDS.findall(t.lower()))
-                yield pd.DataFrame({"lang": name, "word": [w[:WORD_CHARS] for w in seen], "n": list(seen.values())})
+                yield pd.DataFrame({"lang": name, "word": list(seen), "n": list(seen.values())})
 
     counted = rows.filter(drawn).select("text", "lang").mapInPandas(count, "lang string, word string, n long")
     summed = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_SEEN).toPandas()
@@ -112,8 +114,13 @@ class Scorer(dict):
             self.update(self.model.words)
             self.used = self.known
         for size in range(LONGEST, 0, -1):
-            if found := [self.model.grams[g] for g in _grams(word, size) if g in self.model.grams]:
-                self.rows[self.used] = self.model.scores[found].mean(axis=0)
+            found = (self.model.grams[g] for g in _grams(word, size) if g in self.model.grams)
+            total, n = np.zeros(len(self.model.languages)), 0
+            while piece := list(islice(found, PIECE)):
+                total += self.model.scores[piece].sum(axis=0, dtype=np.float64)
+                n += len(piece)
+            if n:
+                self.rows[self.used] = total / n
                 break
         else:
             self.rows[self.used] = -math.log(max(1, len(self.model.languages)))

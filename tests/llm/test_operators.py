@@ -126,6 +126,15 @@ def test_layouts_share_pseudonyms_and_neighbours_stay(spark):
 # Language.
 
 
+def test_unbroken_runs_are_read_whole(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "PIECE", 7)
+    rows = [(i, "ababababab", "aa") for i in range(9)] + [(i + 9, "xyxyxyxyxy", "xx") for i in range(9)] + [(i + 18, "q" * 64 + "rst", "xx") for i in range(9)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    scorer = language_id.Scorer(model)
+    assert scorer.predict("ab" * 32 + "xy" * 800)[0] == "xx" and scorer.predict("xy" * 32 + "ab" * 800)[0] == "aa"
+    assert "q" * 64 + "rst" in model.words
+
+
 def test_language_held_out(spark):
     rng = random.Random(4)
     letters = {"aa": "abcdeo", "bb": "klmnoi", "cc": "xyzwue"}
