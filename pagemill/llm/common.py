@@ -54,6 +54,14 @@ def release() -> None:
         pass  # a C library without it
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """A name for a working column that no column of the frame has, in any case of letters."""
+    taken = {c.lower() for c in frame.columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name
+
+
 def words(text: Column) -> Column:
     """The words of a text: what stands between separators. Null gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

@@ -15,12 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from pagemill.llm.common import bounded_batches, release, table
+from pagemill.llm.common import bounded_batches, release, table, unused
 
 WORDS = re.compile(r"[^\W\d_]+")
-#: Bounds of the fit: labelled documents a language gives on average at most, numbers that the model holds at most, and
-#: how often a word must be seen in a language.
-SAMPLE_DOCS, MODEL_CELLS, LEAST_SEEN = 4_000, 8_000_000, 3
+#: Bounds of the labelled rows that the fit reads: documents that a language gives, and characters of all languages together.
+SAMPLE_DOCS, SAMPLE_CHARS = 2_500, 24_000_000
 #: Longest n-gram that an unseen word falls back to, and the n-grams of a word that are held at once.
 LONGEST, PIECE = 5, 10_000
 UNKNOWN = "und"
@@ -45,19 +44,20 @@ def _grams(word: str, size: int) -> Iterator[str]:
 def fit(documents: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """A model of the labelled documents given.
 
-    Every language gives a sample of SAMPLE_DOCS documents in expectation, drawn by a hash of the key, or all it has.
-    Rows without a text or a language teach nothing. Words seen less than LEAST_SEEN times are dropped, and of the rest the
-    most frequent are kept, as many as fit MODEL_CELLS numbers; so what reaches the driver is bounded by these parameters.
+    Every language gives a sample of SAMPLE_DOCS documents and of its part of SAMPLE_CHARS characters in expectation, or
+    all it has; it is drawn by a hash of the key, and its texts are read whole. All words of the sample and all their
+    n-grams enter the model, so the two bounds on labelled rows also bound what reaches the driver. Rows without a text or
+    a language teach nothing; repeated rows count each; no labelled rows give a model that knows no language.
     """
     rows = documents.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{key}`").alias("key"))
     rows = rows.filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: (r["n"], r["chars"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], {}, {}, np.zeros((0, 0), np.float32))
-    cap = max(1, MODEL_CELLS // (2 * len(languages)))
-    shares = F.create_map(*(F.lit(x) for name in languages for x in (name, min(1.0, SAMPLE_DOCS / sizes[name]))))
-    drawn = F.pmod(F.xxhash64(F.lit(4), "key"), F.lit(1 << 20)) < shares[F.col("lang")] * (1 << 20)
+    share = {x: min(1.0, SAMPLE_DOCS / n, SAMPLE_CHARS / len(languages) / max(1, chars)) for x, (n, chars) in sizes.items()}
+    shares = F.create_map(*(F.lit(x) for name in languages for x in (name, share[name])))
+    drawn = F.pmod(F.xxhash64(F.lit(4), "key"), F.lit(1 << 30)) < shares[F.col("lang")] * (1 << 30)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -66,37 +66,40 @@ def fit(documents: DataFrame, text: str = "text", lang: str = "lang", key: str =
                 yield pd.DataFrame({"lang": name, "word": list(seen), "n": list(seen.values())})
 
     counted = rows.filter(drawn).select("text", "lang").mapInPandas(count, "lang string, word string, n long")
-    summed = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_SEEN).toPandas()
-    place = {name: i for i, name in enumerate(languages)}
-    words, grams = {}, {}
-    for name, word, n in summed.sort_values(["word", "lang"]).itertuples(index=False):
-        words.setdefault(word, np.zeros(len(languages)))[place[name]] += n
-        for size in range(1, LONGEST + 1):
-            for gram in _grams(word, size):
-                grams.setdefault(gram, np.zeros(len(languages)))[place[name]] += n
-
-    def rows_of(counts: dict[str, np.ndarray], first: int) -> tuple[dict[str, int], np.ndarray]:
-        kept = sorted(counts, key=lambda x: (-counts[x].sum(), x))[:cap]
-        table_ = np.array([counts[x] for x in kept]).reshape(len(kept), len(languages)) + 0.1
-        return {x: first + i for i, x in enumerate(kept)}, table_
-
-    word_at, word_counts = rows_of(words, 0)
-    gram_at, gram_counts = rows_of(grams, len(word_at))
-    logs = [np.log(word_counts / np.maximum(word_counts.sum(axis=0), 1))]
-    lengths = np.array([len(g) for g in gram_at], np.int64)
-    scaled = np.empty_like(gram_counts)
-    for size in range(1, LONGEST + 1):
-        of = lengths == size
-        scaled[of] = np.log(gram_counts[of] / np.maximum(gram_counts[of].sum(axis=0), 1))
-    logs.append(scaled)
-    both = np.concatenate(logs)
-    both -= np.log(np.exp(both - both.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) + both.max(axis=1, keepdims=True) if len(both) else 0
-    model = Model(languages, word_at, gram_at, both.astype(np.float32))
-    del words, grams, summed, word_counts, gram_counts, scaled, both, logs
+    summed = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
+    words: dict[str, int] = {}
+    grams: dict[str, int] = {}
+    scores = []
+    of = {name: (part["word"].tolist(), part["n"].tolist()) for name, part in summed.sort_values("word").groupby("lang")}
+    for size in range(LONGEST + 1):  # 0: whole words
+        places = grams if size else words
+        first, found = len(places), []
+        for name in languages:
+            seen: Counter[str] = Counter()
+            for word, n in zip(*of.get(name, ((), ())), strict=True):
+                for unit in _grams(word, size) if size else (word,):
+                    seen[unit] += n
+            at = np.fromiter((places.setdefault(x, len(places)) for x in seen), np.int64, len(seen)) - first
+            found.append((at, np.fromiter(seen.values(), np.float64, len(seen))))
+        counts = np.full((len(places) - first, len(languages)), 0.1)
+        for column, (at, n) in enumerate(found):
+            counts[at, column] += n
+        scores.append(_likelihoods(counts))
+    for gram in grams:
+        grams[gram] += len(words)
+    model = Model(languages, words, grams, np.concatenate(scores))
+    del summed, of, scores, found, counts
     release()
     return model
 
 
+def _likelihoods(counts: np.ndarray) -> np.ndarray:
+    """Log shares of the languages in each unit, each language's counts taken relative to their sum."""
+    logs = np.log(counts / counts.sum(axis=0))
+    logs -= logs.max(axis=1, keepdims=True)
+    return (logs - np.log(np.exp(logs).sum(axis=1, keepdims=True))).astype(np.float32)
+
+
 class Scorer(dict):
     """Rows of a growing matrix by word: known words have theirs, unseen ones get the mean of their longest known n-grams."""
 
@@ -149,7 +152,8 @@ def identify(documents: DataFrame, model: Model, text: str = "text") -> DataFram
 
     Texts are read whole; nothing but the text enters the prediction. Null texts and texts without a letter get `und`
     with score 0, as does every text if the model knows no language. Ties go to the language first in the alphabet.
-    Repeated rows get the same prediction each; other columns stay, and columns of the two names are replaced.
+    Repeated rows get the same prediction each; other columns stay, whatever their names, and columns of the two names
+    are replaced. An empty table gives an empty table.
     """
     bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -163,8 +167,9 @@ def identify(documents: DataFrame, model: Model, text: str = "text") -> DataFram
             yield pd.DataFrame([made[0].predict(t) for t in texts], columns=["lang_pred", "score"])
 
     # Marked as not deterministic so that a later filter on the prediction doesn't make Spark predict twice.
-    done = documents.withColumn("_lang", predict.asNondeterministic()(F.col(f"`{text}`")))
-    return done.withColumns({"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")
+    at = unused(documents, "lang")
+    done = documents.withColumn(at, predict.asNondeterministic()(F.col(f"`{text}`")))
+    return done.withColumns({"lang_pred": F.col(f"{at}.lang_pred"), "score": F.col(f"{at}.score")}).drop(at)
 
 
 def held_out(key: str = "doc_id"):

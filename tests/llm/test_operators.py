@@ -135,6 +135,23 @@ def test_unbroken_runs_are_read_whole(spark, monkeypatch):
     assert "q" * 64 + "rst" in model.words
 
 
+def test_every_word_of_the_sample_teaches(spark, monkeypatch):
+    rows = [(i, f"common {w} {w}x", "aa" if i % 2 else "bb") for i, w in enumerate(["uno", "dos", "tres", "chat", "chien", "oiseau"])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(frame)
+    assert set(model.words) == {"common"} | {x for _, t, _ in rows for x in t.split()}
+    assert all(language_id.Scorer(model).predict(t.split()[1])[0] == lang for _, t, lang in rows)
+    monkeypatch.setattr(language_id, "SAMPLE_CHARS", 40)
+    many = frame.crossJoin(spark.range(50).select(F.col("id").alias("doc"))).select(F.col("doc_id") * 100 + F.col("doc"), "text", "lang").toDF("doc_id", "text", "lang")
+    assert len(language_id.fit(many).words) < 13  # rows are bounded, not words
+
+
+def test_unspaced_text_is_read_whole(spark):
+    rows = [(i, "的一是不了人我在" * 3, "zh") for i in range(5)] + [(9 + i, "のはにたをがでて" * 3, "ja") for i in range(5)]
+    scorer = language_id.Scorer(language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert scorer.predict("的" * 64 + "のはにた" * 500)[0] == "ja" and scorer.predict("の" * 64 + "的一是不" * 500)[0] == "zh"
+
+
 def test_language_held_out(spark):
     rng = random.Random(4)
     letters = {"aa": "abcdeo", "bb": "klmnoi", "cc": "xyzwue"}
