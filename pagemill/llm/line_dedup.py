@@ -1,9 +1,11 @@
 """Line dedup by winnowing over line hashes, with built-in expressions only.
 
-Lines that are not blank make a sequence of hashes for each document. In every window of WINDOW lines the least hash is
-its fingerprint, so two equal windows always share one; lines of LONG words or more are fingerprints always. Those that
-occur at one place of the corpus leave the work with their windows. Around the places of the others the match extends
-both ways, window by window, and what stood earlier in the order of documents stays while later runs are deleted.
+Lines that are not blank make a sequence of hashes for each document. Winnowing keeps of every window of WINDOW lines the
+place of its least hash, its fingerprint, so two equal windows always have equal fingerprints; lines of LONG words or more
+are fingerprints always. Places are joined on shared fingerprints; those that occur once in the corpus leave the work.
+From every other place the match is extended to the left and to the right, up to the reach of its fingerprint, and meets
+the earliest place that extends alike. Matches that follow each other on one diagonal of two documents make one run, and
+what stood earlier in the order of documents stays while later runs are deleted.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import cut, let, table
+from pagemill.llm.common import cut, let, table, unused
 
 #: Lines of a window, which is also the shortest run that is deleted, and words of a line that is deleted on its own.
 WINDOW, LONG = 2, 30
@@ -38,48 +40,75 @@ def _sequence(text: Column, long: int) -> Column:
     )
 
 
-def _runs(lines: Column, window: int) -> Column:
-    """Every window of lines, and every long line: its first place, two hashes, the places of its lines and its fingerprint.
+def _fingerprints(lines: Column, window: int) -> Column:
+    """The places that winnowing selects, and those of long lines: place and hashes of the line, and `reach`, the windows of
+    which it is the fingerprint, each with its first line and two hashes of what the match extends over.
 
-    The fingerprint is the least line hash of the window, the last one of several, with its place.
+    The fingerprint of a window is its least line hash, the last one of several.
     """
 
-    def run(x: Column, i: Column) -> Column:
-        part = F.slice(lines, i + 1, window)
+    def extended(start: Column) -> Column:
+        part = F.slice(lines, start + 1, window)
         return F.struct(
-            x["k"].alias("k"),
-            F.xxhash64(F.transform(part, lambda y: y["h"])).alias("h"),
-            F.xxhash64(F.lit(window), F.transform(part, lambda y: y["g"])).alias("g"),
+            start.alias("start"),
+            F.array_min(F.transform(part, lambda y: F.struct(y["h"].alias("h"), y["g"].alias("g"), (-y["k"]).alias("at"))))["at"].alias("at"),
+            F.xxhash64(F.transform(part, lambda y: y["h"])).alias("c"),
+            F.xxhash64(F.lit(window), F.transform(part, lambda y: y["g"])).alias("d"),
             F.transform(part, lambda y: y["pos"]).alias("places"),
-            F.array_min(F.transform(part, lambda y: F.struct(y["h"].alias("h"), y["g"].alias("g"), (-y["k"]).alias("at")))).alias("print"),
         )
 
-    many = F.filter(F.transform(lines, run), lambda r: F.size(r["places"]) == window)
-    one = F.transform(
-        F.filter(lines, lambda x: x["long"]),
-        lambda x: F.struct(x["k"].alias("k"), x["h"].alias("h"), x["g"].alias("g"), F.array(x["pos"]).alias("places"), F.struct(x["h"].alias("h"), x["g"].alias("g"), (-x["k"]).alias("at")).alias("print")),
-    )
-    return F.concat(many, one)
+    def place(x: Column) -> Column:
+        lo, hi = F.greatest(F.lit(0), x["k"] - (window - 1)), F.least(x["k"], F.size(lines) - window)
+        starts = F.when(lo <= hi, F.sequence(lo, F.greatest(lo, hi))).otherwise(F.array().cast("array<int>"))
+        reach = F.transform(F.filter(F.transform(starts, extended), lambda w: w["at"] == -x["k"]), lambda w: F.struct(*(w[n].alias(n) for n in ("start", "c", "d", "places"))))
+        alone = F.when(x["long"], F.array(F.struct(x["k"].alias("start"), x["h"].alias("c"), x["g"].alias("d"), F.array(x["pos"]).alias("places"))))
+        return F.struct(x["k"].alias("k"), x["h"].alias("h"), x["g"].alias("g"), F.concat(reach, F.coalesce(alone, F.slice(reach, 1, 0))).alias("reach"))
+
+    return F.filter(F.transform(lines, place), lambda p: F.size(p["reach"]) > 0)
+
+
+def _stitched(matches: Column) -> Column:
+    """Sorted matches (from_id, from_hash, n, diagonal, start, places) as runs: matches on one diagonal that touch are one."""
+
+    def same(x: Column, y: Column) -> Column:
+        return (x["from_id"] == y["from_id"]) & (x["from_hash"] == y["from_hash"]) & (x["n"] == y["n"]) & (x["diagonal"] == y["diagonal"]) & (y["start"] <= x["start"] + x["n"])
+
+    def of(m: Column) -> Column:
+        begins = F.filter(m, lambda x, i: (i == 0) | ~same(F.get(m, i - 1), x))
+        ends = F.filter(m, lambda x, i: (i == F.size(m) - 1) | ~same(x, F.get(m, i + 1)))
+        return F.zip_with(
+            begins, ends, lambda x, y: F.struct(x["start"].alias("start"), (y["start"] + y["n"]).alias("stop"), x["from_id"].alias("from_id"), (x["start"] - x["diagonal"]).alias("from_start"))
+        )
+
+    return let(matches, of)
+
+
+def _keys(doc_id: str, text: str, names: tuple[str, str] = ("_id", "_hash")) -> list[Column]:
+    """The order of documents: by doc_id, those without one last, then by the leading bits of the text's MD5."""
+    return [F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit((1 << 63) - 1)).alias(names[0]), F.conv(F.substring(F.md5(F.col(f"`{text}`").cast("binary")), 1, 15), 16, 10).cast("long").alias(names[1])]
 
 
 def mark_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, long: int = LONG) -> DataFrame:
-    """One row per document with deleted lines: its keys _id and _hash, and `dropped`, the places of those lines from 0.
+    """One row per document with deleted lines: its keys _id and _hash, `dropped`, the places of those lines from 0, and
+    `runs`, what was found repeated: start and stop among the lines that are not blank, and where the run stood first.
 
-    A line goes if it lies in a run of `window` lines, or is a line of `long` words or more, that equals a run earlier
-    in the order of doc_id, text hash and place. Blank lines separate nothing and are never dropped.
+    A line goes if it lies in a run of `window` lines or more, or is a line of `long` words or more, that equals a run
+    earlier in the order of doc_id, text and place. Blank lines separate nothing and are never dropped.
     """
-    keys = [F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_hash")]
-    lines = documents.filter(F.col(f"`{text}`").isNotNull()).select(*keys, _sequence(F.col(f"`{text}`"), long).alias("lines"))
-    runs = lines.select("_id", "_hash", F.explode(let(F.col("lines"), lambda x: _runs(x, window))).alias("run")).select("_id", "_hash", "run.*")
-    runs = cut(runs)
-    at = F.struct("_id", "_hash", F.col("print.at").alias("at"))
-    # What is joined to runs is written first: a join of two plain exchanges can be split where one line is very common.
-    shared = cut(runs.groupBy(F.col("print.h").alias("ph"), F.col("print.g").alias("pg")).agg(F.min(at).alias("lo"), F.max(at).alias("hi")).filter("lo != hi").select("ph", "pg"))
-    matched = runs.join(shared, (F.col("print.h") == F.col("ph")) & (F.col("print.g") == F.col("pg")), "left_semi").drop("print")
-    first = cut(matched.groupBy("h", "g").agg(F.min(F.struct("_id", "_hash", "k")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "g", "first"))
-    later = matched.join(first, ["h", "g"]).filter(F.struct("_id", "_hash", "k") > F.col("first"))
-    places = later.select("_id", "_hash", F.explode("places").alias("pos"))
-    return places.groupBy("_id", "_hash").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+    lines = documents.filter(F.col(f"`{text}`").isNotNull()).select(*_keys(doc_id, text), _sequence(F.col(f"`{text}`"), long).alias("lines"))
+    places = cut(lines.select("_id", "_hash", F.explode(let(F.col("lines"), lambda x: _fingerprints(x, window))).alias("p")).select("_id", "_hash", "p.*"))
+    at = F.struct("_id", "_hash", "k")
+    # What is joined to places is written first: a join of two plain exchanges can be split where one line is very common.
+    shared = cut(places.groupBy("h", "g").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).filter("lo != hi").select("h", "g"))
+    joined = places.join(shared, ["h", "g"], "left_semi")
+    matched = joined.select("_id", "_hash", F.explode("reach").alias("m")).select("_id", "_hash", "m.*")
+    here = F.struct("_id", "_hash", "start")
+    first = cut(matched.groupBy("c", "d").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("c", "d", "first"))
+    later = matched.join(first, ["c", "d"]).filter(here > F.col("first"))
+    match = F.struct(F.col("first._id").alias("from_id"), F.col("first._hash").alias("from_hash"), F.size("places").alias("n"), (F.col("start") - F.col("first.start")).alias("diagonal"), "start", "places")
+    per = later.groupBy("_id", "_hash").agg(F.sort_array(F.collect_list(match)).alias("m"))
+    dropped = F.array_sort(F.array_distinct(F.flatten(F.transform("m", lambda x: x["places"]))))
+    return per.select("_id", "_hash", dropped.alias("dropped"), _stitched(F.col("m")).alias("runs"))
 
 
 def _without(text: Column, dropped: Column) -> Column:
@@ -97,17 +126,20 @@ def _without(text: Column, dropped: Column) -> Column:
 def dedup_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, long: int = LONG) -> DataFrame:
     """The documents with later repeated runs of lines deleted from the text, and n_dropped, the number of lines deleted.
 
-    Lines are compared without white space at their ends. The first occurrence in the order of doc_id, text hash and
-    place stays, wherever it stands. Null texts stay null and drop nothing; so do empty texts. Rows equal in doc_id and
-    text are one place in that order: they lose the same lines. Rows without a doc_id come first. All columns stay;
-    n_dropped is replaced. Documents that lose all their lines keep an empty text. An empty table gives an empty table.
+    Lines are compared without white space at their ends. The first occurrence in the order of doc_id, text and place
+    stays, wherever it stands. Null texts stay null and drop nothing; so do empty texts. Rows equal in doc_id and text are
+    one document in that order, held more than once: they lose the same lines. Rows without a doc_id come last. All
+    columns stay, whatever their names; n_dropped is replaced. Documents that lose all their lines keep an empty text. An
+    empty table gives an empty table.
     """
-    dropped = mark_repeats(documents, doc_id, text, window, long)
-    keyed = documents.withColumns({"_id": F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(1 << 63))), "_hash": F.xxhash64(F.col(f"`{text}`"))})
-    joined = keyed.join(dropped, ["_id", "_hash"], "left")
-    cleaned = F.when(F.col("dropped").isNotNull() & F.col(f"`{text}`").isNotNull(), _without(F.col(f"`{text}`"), F.col("dropped"))).otherwise(F.col(f"`{text}`"))
-    lost = F.when(F.col(f"`{text}`").isNotNull(), F.coalesce(F.size("dropped"), F.lit(0))).otherwise(0).cast("long")
-    return joined.withColumns({text: cleaned, "n_dropped": lost}).drop("_id", "_hash", "dropped")
+    names = unused(documents, "id"), unused(documents, "hash")
+    gone = unused(documents, "gone")
+    dropped = mark_repeats(documents, doc_id, text, window, long).select(F.col("_id").alias(names[0]), F.col("_hash").alias(names[1]), F.col("dropped").alias(gone))
+    keyed = documents.withColumns(dict(zip(names, _keys(doc_id, text, names), strict=True)))
+    joined = keyed.join(dropped, list(names), "left")
+    cleaned = F.when(F.col(gone).isNotNull() & F.col(f"`{text}`").isNotNull(), _without(F.col(f"`{text}`"), F.col(gone))).otherwise(F.col(f"`{text}`"))
+    lost = F.when(F.col(f"`{text}`").isNotNull(), F.coalesce(F.size(gone), F.lit(0))).otherwise(0).cast("long")
+    return joined.withColumns({text: cleaned, "n_dropped": lost}).drop(*names, gone)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,17 +148,17 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, ('0x' || substr(md5(text), 1, 15))::BIGINT AS h, string_split(text, chr(10)) AS ls FROM documents),
 ln AS (
-  SELECT rid, doc_id, pos, line, row_number() OVER (PARTITION BY rid ORDER BY pos) AS k
-  FROM (SELECT rid, doc_id, i - 1 AS pos, regexp_replace(ls[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line
-        FROM (SELECT rid, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)) WHERE line <> ''
+  SELECT rid, doc_id, h, pos, line, row_number() OVER (PARTITION BY rid ORDER BY pos) AS k
+  FROM (SELECT rid, doc_id, h, i - 1 AS pos, regexp_replace(ls[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line
+        FROM (SELECT rid, doc_id, h, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)) WHERE line <> ''
 ), runs AS (
-  SELECT rid, doc_id, k, 2 AS n, line || chr(10) || lead(line) OVER w AS g, pos, lead(pos) OVER w AS pos2 FROM ln WINDOW w AS (PARTITION BY rid ORDER BY k)
+  SELECT rid, doc_id, h, k, 2 AS n, line || chr(10) || lead(line) OVER w AS g, pos, lead(pos) OVER w AS pos2 FROM ln WINDOW w AS (PARTITION BY rid ORDER BY k)
   UNION ALL
-  SELECT rid, doc_id, k, 1, line, pos, pos FROM ln WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= {LONG}
+  SELECT rid, doc_id, h, k, 1, line, pos, pos FROM ln WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= {LONG}
 ), later AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n, g ORDER BY doc_id, k) AS rn FROM runs WHERE g IS NOT NULL) WHERE rn > 1
+  SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY n, g ORDER BY doc_id NULLS LAST, h, k) AS rn FROM runs WHERE g IS NOT NULL) WHERE rn > 1
 ), gone AS (SELECT DISTINCT rid, pos FROM (SELECT rid, pos FROM later UNION ALL SELECT rid, pos2 FROM later)),
 kept AS (
   SELECT d.rid, string_agg(d.ls[i], chr(10) ORDER BY i) AS t, count(*) AS n

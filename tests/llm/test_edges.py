@@ -44,7 +44,7 @@ def operators(docs, bench):
         "sharding": lambda d: sharding.interleave(d.select("doc_id", "source", "shard"), ["doc_id"]),
         "pseudonyms": lambda d: pseudonyms.pseudonymise(d),
         "language": lambda d: language_id.identify(d, language_id.fit(d)),
-        "lines": lambda d: line_dedup.dedup_lines(d.drop("_id")),
+        "lines": lambda d: line_dedup.dedup_lines(d),
         "segmentation": lambda d: segmentation.encode_samples(d, MODEL),
         "overlaps": lambda d: decontamination.find_overlaps(d, bench),
         "decontaminate": lambda d: decontamination.decontaminate(d.drop("found"), bench),
@@ -84,7 +84,7 @@ def test_defined_results_of_nulls(spark, docs, bench):
     found = {(r["doc_id"], r["text"]): r["found"] for r in decontamination.find_overlaps(docs, bench).collect()}
     assert found[(2, None)]["n_words"] == 0 and found[(None, "a text without an id")]["items"] == ["1"]
     assert found[(1, ROWS[0][1])]["items"] == [""]
-    lines = {(r["doc_id"], r["n_chars"]): r for r in line_dedup.dedup_lines(docs.drop("_id")).collect()}
+    lines = {(r["doc_id"], r["n_chars"]): r for r in line_dedup.dedup_lines(docs).collect()}
     assert lines[(2, 0)]["text"] is None and lines[(3, 0)]["text"] == ""
 
 

@@ -263,6 +263,31 @@ def test_line_dedup(spark, window):
     assert [r["text"] for r in out] == plain_lines(docs, window, line_dedup.LONG)
 
 
+def test_runs_are_maximal_and_say_where_they_come_from(spark):
+    docs = [(1, "a\nb\nc\nd\ne\nf\ng"), (2, "x\nb\n\nc\nd\ny\nf\ng\nz"), (3, "a\nb\nc\nx\nb")]
+    rows = {r["_id"]: r for r in line_dedup.mark_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    runs = {i: sorted((r["start"], r["stop"], r["from_id"], r["from_start"]) for r in row["runs"]) for i, row in rows.items()}
+    assert runs == {2: [(1, 4, 1, 1), (5, 7, 1, 5)], 3: [(0, 3, 1, 0), (3, 5, 2, 0)]}
+    assert rows[2]["dropped"] == [1, 3, 4, 6, 7] and rows[3]["dropped"] == [0, 1, 2, 3, 4]
+
+
+def test_line_order_of_repeats_and_nulls_as_in_sql(spark):
+    import duckdb
+
+    rng = random.Random(12)
+    pool = [text_of(rng, n) for n in (2, 3, 4, 35)]
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice([None, "", "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 6)))])) for _ in range(60)]
+    rows += [(None, "p\nq"), (None, "p\nq"), (1, "p\nq"), (1, "p\nq"), (None, "r\ns"), (None, "r\ns")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    connection = duckdb.connect()
+    connection.register("documents", frame.toPandas().astype({"doc_id": "Int64"}))
+    want = connection.execute(line_dedup.ORACLE).fetchall()
+    out = [tuple(r) for r in line_dedup.dedup_lines(frame).select("doc_id", "text", "n_dropped").collect()]
+    key = lambda r: tuple((x is not None, x) if x is not None else (False, 0 if i != 1 else "") for i, x in enumerate(r))
+    assert sorted(out, key=key) == sorted(want, key=key)
+    assert out.count((None, "r\ns", 0)) == 2 and out.count((1, "p\nq", 0)) == 2 and out.count((None, "", 2)) >= 2
+
+
 # Decontamination.
 
 
