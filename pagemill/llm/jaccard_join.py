@@ -32,8 +32,10 @@ from pagemill.llm.components import connected
 CHUNK_SHINGLES, CHUNK_DOCS, BUCKET_KEYS = 500_000, 60_000, 1_000_000
 #: Bits of a key; keys are the leading bits of 64-bit shingle hashes.
 KEY_BITS = 52
-#: Keys that a block of a zone holds, and pivots a zone is compared with.
-BLOCK_KEYS, PIVOTS = 200_000, 4
+#: Keys and documents that a block of a zone holds, and pivots a zone is compared with.
+BLOCK_KEYS, BLOCK_DOCS, PIVOTS = 200_000, 1_000, 4
+#: Documents of a key up to which the product adds its pairs one by one; keys of more go through panels of the incidence matrix.
+LIGHT = 12
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MANY = 0xFFFF
 #: One document of a chunk.
@@ -112,12 +114,11 @@ def _chunks(n_buckets: int, size: int):
         unique, field = keys[first], np.where(counts > 1, MANY, owner[first]).astype("<u2")
         again = np.repeat(counts > 1, counts)
         out = [(-1 - chunk, chunk, 1, _meta(rows), keys[again].astype("<u8").tobytes(), owner[again].astype("<u2").tobytes())]
-        edges = np.searchsorted(unique, (np.arange(n_buckets + 1, dtype=object) * (1 << KEY_BITS) // n_buckets).astype(np.uint64))
-        for bucket in range(n_buckets):
-            lo, hi = edges[bucket], edges[bucket + 1]
-            if lo < hi:
-                many = counts[lo:hi]
-                out.append((bucket, chunk, 0, _pack(unique[lo:hi]), field[lo:hi].tobytes(), many[many > 1].astype("<u4").tobytes()))
+        bucket = unique // np.uint64(-(-(1 << KEY_BITS) // n_buckets))
+        starts = np.flatnonzero(np.diff(bucket, prepend=np.uint64(1 << 63)) != 0) if len(unique) else np.empty(0, np.int64)
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(unique)], strict=False):
+            many = counts[lo:hi]
+            out.append((int(bucket[lo]), chunk, 0, _pack(unique[lo:hi]), field[lo:hi].tobytes(), many[many > 1].astype("<u4").tobytes()))
         yield pd.DataFrame(out, columns=["part", "chunk", "kind", "a", "b", "c"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,8 +216,35 @@ def linked(n: Column, m: Column, overlap: Column, threshold: int) -> Column:
     return overlap * 100 >= (n + m - overlap) * threshold
 
 
+def _overlaps(owner: np.ndarray, column: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """The product of an incidence matrix of n documents with its transpose, above the diagonal: entries are (owner, column),
+    and count holds the documents of each column.
+
+    Columns of few documents add their pairs one by one, so that a sparse block costs what it holds; the others are
+    multiplied in dense panels of bounded size. Columns of one document are in no pair.
+    """
+    order = np.lexsort((owner, column))
+    owner, column = owner[order], column[order]
+    size, cells = count[column], [np.empty(0, np.int64)]
+    for k in range(2, LIGHT + 1):
+        rows = owner[size == k].reshape(-1, k)
+        for i in range(k - 1):
+            cells.append((rows[:, i : i + 1] * n + rows[:, i + 1 :]).ravel())
+    overlap = np.bincount(np.concatenate(cells), minlength=n * n).astype(np.int32).reshape(n, n)
+    heavy = size > LIGHT
+    owner, column = owner[heavy], np.searchsorted(np.flatnonzero(count > LIGHT), column[heavy])
+    width, step = int((count > LIGHT).sum()), max(256, 2_000_000 // max(1, n))
+    for lo in range(0, width, step):
+        x, y = np.searchsorted(column, (lo, lo + step))
+        panel = np.zeros((n, min(step, width - lo)), np.float32)
+        panel[owner[x:y], column[x:y] - lo] = 1
+        overlap += np.triu(panel @ panel.T, 1).astype(np.int32)
+    return overlap
+
+
 def _product(threshold: int):
-    """Step 4: links of one task's zones; the shared keys of two documents are counted by products of incidence blocks."""
+    """Step 4: links of one task's zones; the shared keys of two documents are counted by sparse products of incidence blocks,
+    and pairs below the bound that follows from their sizes are discarded."""
 
     def links(zone: pd.DataFrame) -> list[tuple[bytes, bytes]]:
         sets, n, side = list(zone["keys"]), zone["n_shingles"].to_numpy(np.int64), zone["side"].to_numpy()
@@ -225,18 +253,7 @@ def _product(threshold: int):
         label = np.array([code[x] for x in labels])
         keys, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         unique, column, count = np.unique(keys, return_inverse=True, return_counts=True)
-        again = count[column] > 1
-        owner, column = owner[again], np.searchsorted(np.flatnonzero(count > 1), column[again])
-        order = np.argsort(column, kind="stable")
-        owner, column, width = owner[order], column[order], int((count > 1).sum())
-        overlap = np.zeros((len(sets), len(sets)), np.float32)
-        step = max(256, 4_000_000 // max(1, len(sets)))
-        for lo in range(0, width, step):
-            x, y = np.searchsorted(column, (lo, lo + step))
-            block = np.zeros((len(sets), min(step, width - lo)), np.float32)
-            block[owner[x:y], column[x:y] - lo] = 1
-            overlap += block @ block.T
-        shared = overlap.astype(np.int64)
+        shared = _overlaps(owner, column, count, len(sets))
         close = 100 * shared >= threshold * (n[:, None] + n[None, :] - shared)
         close &= label[:, None] != label[None, :]
         if (side != side[0]).any():
@@ -297,7 +314,9 @@ def jaccard_classes(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     near = cut(near)
     own = chosen.select(F.col("pivot").alias("sid"), "pivot")
     labels = near.unionByName(own).groupBy("sid").agg(F.min("pivot").alias("label"))
-    labelled = members.select("sid", "zone", "n_shingles", F.size("keys").alias("n_keys")).join(labels, "sid", "left")
+    # A document weighs its keys, and at least so much that a block holds no more than BLOCK_DOCS: short texts share few keys.
+    weight = F.greatest(F.size("keys"), F.lit(-(-BLOCK_KEYS // BLOCK_DOCS)))
+    labelled = members.select("sid", "zone", "n_shingles", weight.alias("n_keys")).join(labels, "sid", "left")
     sums = labelled.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("n_labelled"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n_keys").alias("zone_keys"))
     open_zones = sums.filter("n > n_labelled OR lo != hi").select("zone", "zone_keys")
     tiered = labelled.join(open_zones, "zone").withColumn("tier", F.when(F.col("zone_keys") <= BLOCK_KEYS, -1).otherwise(F.floor(F.log(whole) / math.log(100 / threshold))).cast("int"))

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -434,13 +435,38 @@ def near_copies(rng, n):
 @pytest.mark.parametrize("small", [False, True])
 def test_jaccard_components(spark, monkeypatch, small):
     if small:  # tiny chunks, buckets and blocks, one pivot: every path of the join runs
-        for name, value in (("CHUNK_SHINGLES", 300), ("BUCKET_KEYS", 200), ("BLOCK_KEYS", 60), ("PIVOTS", 1)):
+        for name, value in (("CHUNK_SHINGLES", 300), ("BUCKET_KEYS", 200), ("BLOCK_KEYS", 60), ("BLOCK_DOCS", 9), ("PIVOTS", 1), ("LIGHT", 3)):
             monkeypatch.setattr(jaccard_join, name, value)
     docs = near_copies(random.Random(9), 14)
     out = jaccard_join.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == plain_components(docs)
 
 
+def test_sparse_product(monkeypatch):
+    rng = np.random.default_rng(1)
+    for n, light in ((1, 12), (7, 2), (40, 12), (40, 1)):
+        monkeypatch.setattr(jaccard_join, "LIGHT", light)
+        matrix = rng.random((n, 90)) < rng.random(90)
+        owner, column = np.nonzero(matrix)
+        made = jaccard_join._overlaps(owner, column, matrix.sum(axis=0), n)
+        assert (made == np.triu(matrix.astype(int) @ matrix.T, 1)).all()
+
+
+def test_chunks_send_only_buckets_that_hold_keys(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    batch = pd.DataFrame({"id": range(50), "missing": False, "text": [f"name{i} commented on your post yesterday at noon" for i in range(50)]})
+    few, many = (next(jaccard_join._chunks(n, 5)(iter([batch]))) for n in (8, 50_000_000))
+    keys = lambda out: sorted(int(k) for a in out.loc[out["kind"] == 0, "a"] for k in jaccard_join._unpack(a))
+    assert keys(few) == keys(many) and len(many) <= len(keys(many)) + 1
+
+
+def test_many_short_texts_in_bounded_blocks(spark):
+    rows = [(i, f"name{i} commented on your post yesterday at noon") for i in range(2500)] + [(i, f"name{i - 2500} said that all of the old words of this one stand here at noon") for i in range(2500, 2900)]
+    out = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    # 3 of 4 shingles are shared by texts of the first form, 10 of 11 by those of the second: below and above the bound.
+    assert {r["doc_id"]: r["component_id"] for r in out} == {i: i if i < 2500 else 2500 for i, _ in rows}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(25)] + [(7, 7)]
