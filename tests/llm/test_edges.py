@@ -21,6 +21,8 @@ ROWS = [
     (6, "x" * 30_000, "en", "b"),
     (9, "m@" + "a." * 20_000 + " 1." * 9000 + "|" * 9000, "en", "b"),
     (7, "1234 5678 !!! 99", "de", "c"),
+    (10, "<div>" * 3000 + "deep" + '<a title="foo>x</a>' * 300, "en", "https://a.example/"),
+    (11, "l" * 65 + "@x.com " + "b" * 64 + "c" * 5000, "en", "b"),
     (8, "émoji 😀 und ß, 中文 字\u0000 done", "de", "c"),
 ]
 RANKS = token_counts.load_ranks(f"{token_counts.TOKENIZERS}/byte_bpe_50k.tiktoken")

@@ -495,13 +495,13 @@ wrapped.</p><ul><li>one {i}</li><li>two</li></ul><div class="ad">Buy {i}</div><f
 
 
 def want(i):
-    return f"Title & {i}\nFirst bold line of {i}.\nSecond para {i} <x> wrapped.\none {i}\ntwo"
+    return f"Title & {i}\nFirst bold line of {i}.\nSecond para {i} <x> wrapped.\none {i}\ntwo\nFollow our desk"
 
 
 def test_article_without_chrome(spark):
     rows = [(i, f"https://news.example.com/{i}", PAGE.format(i=i)) for i in range(12)] + [(50, "https://one.example.com/", "<p>Only text</p>"), (51, None, None), (52, "x", "")]
     out = {r["page_id"]: r["text"] for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(out[i] == want(i) for i in range(12))  # the strap stands on every page of the host alike: template
+    assert all(out[i] == want(i) for i in range(12))  # the strap is the same on every page, but in the article
     assert out[50] == "Only text" and out[51] == "" and out[52] == ""
 
 
@@ -516,11 +516,58 @@ def test_wrappers_do_not_depend_on_partitions(spark, monkeypatch):
 
 
 def test_alignment_finds_optional_and_repeated_groups():
+    pages = ["<div><h1>a</h1><p>x</p><p>y</p></div>", "<div><h1>b</h1><p>x</p><ul></ul><p>z</p><ul></ul></div>", "<div><h1>c</h1></div>", "<div><h1>d</h1><b>same</b></div>", "<div><h1>e</h1><b>same</b></div>"]
+    shown = set()
+    for order in (pages, pages[::-1]):
+        wrapper, halves = html_wrappers.new_wrapper(), [html_wrappers.new_wrapper() for _ in range(2)]
+        for i, page in enumerate(order):
+            html_wrappers.add_page(wrapper, html_wrappers.parse(page))
+            html_wrappers.add_page(halves[i % 2], html_wrappers.parse(page))
+        html_wrappers.merge(halves[0], halves[1])
+        shown |= {html_wrappers.expression(w) for w in (wrapper, halves[0])}
+    assert {frozenset(x[6:-1].split(" ")) for x in shown} == {frozenset(["<h1>(#)", "<p>(#)*", "<ul>()?", "<ul:2>()?", "=?"])}
+
+
+def wrapper_of(pages):
     wrapper = html_wrappers.new_wrapper()
-    for page in ("<div><h1>a</h1><p>x</p><p>y</p></div>", "<div><h1>b</h1><p>x</p><ul></ul><p>z</p><ul></ul></div>", "<div><h1>c</h1></div>"):
+    for page in pages:
         html_wrappers.add_page(wrapper, html_wrappers.parse(page))
-    items = {i[html_wrappers.SIG]: i for i in wrapper[html_wrappers.ITEMS][0][html_wrappers.ITEMS]}
-    assert not items["h1"][html_wrappers.OPTIONAL] and items["p"][html_wrappers.OPTIONAL] and items["p"][html_wrappers.REPEATED] and items["ul"][html_wrappers.REPEATED]
+    return html_wrappers.Group(wrapper)
+
+
+#: Pages of hosts without article elements or telling names: markup with slots, and the text that is the article.
+TEMPLATES = {
+    "plain": ("<body><div><a href='/'>Home</a> Our paper</div><div><h1>Head {i}</h1><p>Abstract</p><p>First {i}</p><p>Second {i}</p></div><div>All rights</div></body>", "Head {i}\nAbstract\nFirst {i}\nSecond {i}"),
+    "table": ("<table><tr><td>Menu: one, two</td><td><div><h2>H {i}</h2>Body {i}<br>goes on</div><div><b>Call us now</b></div></td></tr></table>", "H {i}\nBody {i} goes on"),
+    "misnamed": ("<body><div class='banner'><h1>Head {i}</h1><p>Long body of the text {i} {i}</p></div><div class='x'><p>By the way: subscribe</p></div><div class='sidebar'>More {i}</div></body>", "Head {i}\nLong body of the text {i} {i}"),
+    "links": ("<body><ul><li><a href='/{i}'>Story number {i}</a></li><li><a href='/b{i}'>Other {i}</a></li></ul><div><p>Text {i} of the page</p></div></body>", "Text {i} of the page"),
+    "two": ("<body><article><p>Join the club</p></article><article><p>Text {i}</p><h3>Abstract</h3></article></body>", "Text {i}\nAbstract"),
+}
+
+
+@pytest.mark.parametrize("host", TEMPLATES)
+@pytest.mark.parametrize("n", [2, 7, 9])
+def test_wrappers_choose_the_article(host, n):
+    page, text = TEMPLATES[host]
+    pages = [page.replace("{i}", f"w{i}") for i in range(n)]
+    group = wrapper_of(pages)
+    assert [html_wrappers.main_text(p, group) for p in pages] == [text.replace("{i}", f"w{i}") for i in range(n)]
+    assert html_wrappers.main_text(pages[0], None) != text.replace("{i}", "w0")  # not without the wrapper
+    assert html_wrappers.main_text(pages[0], wrapper_of(pages[:1] * 3)) == html_wrappers.main_text(pages[0], None)  # copies show no template
+
+
+def test_deep_and_broken_pages():
+    deep = "<div>" * 100_000 + "one<p>two</p><script>no</script>" + "</div>" * 50_000 + "three"
+    assert html_wrappers.main_text(deep, wrapper_of([deep, deep.replace("one", "1")])).split() == ["one", "two", "three"]
+    assert html_wrappers.main_text('<a title="foo>x</a> ' * 20_000 + "<p class=it's>y</p>", None).split() == ["x"] * 20_000 + ["y"]
+    for start in ("<a ", "<!", "<![CDATA[", "</a ", "<a x='", "<script "):
+        assert len(html_wrappers.main_text(start * 30_000 + "x", None)) <= 30_000 * len(start) + 1
+    assert html_wrappers.main_text('<p title="a > b" data-x="<b>no</b>">yes</p>', None) == "yes"
+
+
+@pytest.mark.parametrize("block", ['<div class="story-related-topics">{}</div>', '<p class="copyright-law">{}</p>', '<section class="search-results-study"><p>{}</p></section>', '<div id="legal">{}</div>'])
+def test_names_alone_take_nothing_from_an_article(block):
+    assert html_wrappers.main_text(f"<article><p>first</p>{block.format('kept')}</article>", None) == "first\nkept"
 
 
 def test_wrappers_named_after_chrome():
