@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from pagemill.llm.common import bounded_batches, table
+from pagemill.llm.common import bounded_batches, cut, table, unused
 
-#: Words of a benchmark that one automaton holds; a larger benchmark is cut into blocks with an automaton each.
-BLOCK_WORDS = 1_000_000
+#: Words of a benchmark that one automaton holds; a larger benchmark is cut into blocks that go out one after another.
+BLOCK_WORDS = 500_000
 #: Letters A to Z become small, all other bytes but digits, small letters and those beyond ASCII become separators.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
@@ -193,31 +193,33 @@ def _united(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), F.array().cast(kind), step)
 
 
-def find_overlaps(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
-    """The documents with the struct `found`: n_words, spans of hit words (word places and character offsets), items.
+def find_overlaps(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, into: str = "found") -> DataFrame:
+    """The documents with the struct `found` (or `into`): n_words, spans of hit words (word places and character offsets), items.
 
     A window is `window` consecutive words of an item, or a whole item of fewer words; a word of a document is hit if
     it lies inside an occurrence of a window. Null, empty and wordless texts have no words and no hits; items without
     words have no windows. Items that share an id count as one; one without an id goes by the empty string. Repeated
-    rows get the same result each; extra columns stay, and one named found is replaced. An empty benchmark hits
-    nothing. The benchmark is the stated query set: it goes out in blocks of at most about BLOCK_WORDS words, each an
-    automaton of its own, and every document passes all of them in one stage without a shuffle. Texts are taken whole.
+    rows get the same result each; extra columns stay, whatever their names, and one named like the result is replaced. An
+    empty table gives an empty table, an empty benchmark hits nothing. The benchmark is the stated query set: it goes out in
+    blocks of at most about BLOCK_WORDS words, each an automaton of its own, and a worker holds one at a time. One block
+    is one stage without a shuffle; more of them read the documents once each, with what was found so far written to a
+    checkpoint between them. Texts are taken whole.
     """
     spark = documents.sparkSession
     bounded_batches(spark)
     rows = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("name"), F.col(f"`{item_text}`").alias("body"))
     n_bytes = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n_blocks = max(1, math.ceil(n_bytes / 5 / BLOCK_WORDS))
-    parts = []
+    done, at = documents, unused(documents, "parts")
     for block in range(n_blocks):
         of_block = rows if n_blocks == 1 else rows.filter(F.pmod(F.xxhash64("body"), F.lit(n_blocks)) == block)
         items = [(r["name"], r["body"]) for r in of_block.toLocalIterator()]
-        parts.append(_finder(spark, items, window)(F.col(f"`{text}`")))
-    if n_blocks == 1:
-        return documents.withColumn("found", parts[0])
-    each = documents.withColumn("found", F.array(*parts))
-    first = F.get("found", F.lit(0))
-    return each.withColumn("found", F.struct(first["n_words"].alias("n_words"), _united(F.flatten(F.transform("found", lambda f: f["spans"]))).alias("spans"), F.flatten(F.transform("found", lambda f: f["items"])).alias("items")))
+        part = _finder(spark, items, window)(F.col(f"`{text}`"))
+        if n_blocks == 1:
+            return documents.withColumn(into, part)
+        done = cut(done.withColumn(at, F.concat(F.col(at), F.array(part)) if block else F.array(part)))
+    spans, names = _united(F.flatten(F.transform(at, lambda f: f["spans"]))), F.flatten(F.transform(at, lambda f: f["items"]))
+    return done.withColumn(into, F.struct(F.get(at, F.lit(0))["n_words"].alias("n_words"), spans.alias("spans"), names.alias("items"))).drop(at)
 
 
 def n_hit(found: Column) -> Column:
@@ -226,14 +228,15 @@ def n_hit(found: Column) -> Column:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, max_coverage: float = 0.5) -> DataFrame:
     """The documents without benchmark passages: hit spans leave the text, and a document of which more than max_coverage
-    of the words are hit leaves whole. Other columns and untouched texts stay as they are."""
-    found = find_overlaps(documents, benchmark, text=text, window=window)
-    hit = found.withColumn("_hit", n_hit(F.col("found"))).filter(F.col("_hit") <= F.lit(max_coverage) * F.col("found.n_words"))
-    source, spans = F.col(f"`{text}`"), F.col("found.spans")
+    of the words are hit leaves whole. Null, empty and wordless texts have no hits and stay; repeated rows are treated
+    alike. Other columns, whatever their names, and untouched texts stay as they are. An empty table gives an empty table."""
+    at = unused(documents, "found")
+    hit = find_overlaps(documents, benchmark, text=text, window=window, into=at).filter(n_hit(F.col(at)) <= F.lit(max_coverage) * F.col(f"{at}.n_words"))
+    source, spans = F.col(f"`{text}`"), F.col(f"{at}.spans")
     starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["stop"]))
     stops = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(source)))
     kept = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda p: F.substring(source, p["a"] + 1, p["b"] - p["a"]))
-    return hit.withColumn(text, F.when(F.size(spans) > 0, F.array_join(kept, " ")).otherwise(source)).drop("found", "_hit")
+    return hit.withColumn(text, F.when(F.size(spans) > 0, F.array_join(kept, " ")).otherwise(source)).drop(at)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

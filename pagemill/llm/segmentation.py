@@ -399,8 +399,9 @@ def encode_samples(documents: DataFrame, model: bytes, key: str = "doc_id", text
     first, with n_pieces, log_prob and inclusion, the chance of a segmentation to be among the k given the threshold.
 
     Whole texts are encoded, and decoding any sample gives the text back exactly. Null and empty texts have one sample
-    without pieces. Rows with the same key and text get the same samples; a null key counts as 0. Extra columns stay,
-    and one named samples is replaced.
+    without pieces. Rows with the same key and text get the same samples, and ties of scores go by the order of the search;
+    a null key counts as 0. Extra columns stay, whatever their names, and one named samples is replaced. An empty table
+    gives an empty table.
     """
     return documents.withColumn("samples", _udf(documents.sparkSession, model, k, False)(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(0)), F.col(f"`{text}`")))
 

@@ -91,7 +91,8 @@ def attribute_tokens(documents: DataFrame, ranks: dict[bytes, int], text: str =
     to sections by their character spans. A token that crosses a bound counts where it starts (`start`), where it ends
     (`end`), where most of its characters lie, the earlier section on a tie (`majority`), or in parts in proportion to
     them (`split`), so the counts of the sections always sum up to n_tokens. Null and empty texts have no tokens and no
-    lines. Repeated rows are counted one by one; extra columns stay, and one named tokens is replaced.
+    lines. Repeated rows are counted one by one and alike; extra columns stay, whatever their names, and one named tokens is
+    replaced. An empty table gives an empty table.
     """
     bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(ranks)

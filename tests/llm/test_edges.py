@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from pagemill.llm import decontamination, html_wrappers, jaccard_join, language_id, line_dedup, pseudonyms, quality_rules, segmentation, sharding, token_counts
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tokens string, found string, samples string, counts string, kinds string, label string, keys string, shard string, _id string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tokens string, found string, samples string, counts string, kinds string, label string, keys string, shard string, _id string, _hash string, _gone string, _hit string, _lang string, _done string, _host string, _wrapper string, _parts string"
 LONG = "the cat sat on the mat. " * 4000
 ROWS = [
     (1, "the quick brown fox\njumps over it", "en", "a"),
@@ -31,7 +31,7 @@ MODEL = segmentation.read_model()
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(*r, len(r[1] or ""), *["clash"] * 9) for r in ROWS], SCHEMA)
+    return spark.createDataFrame([(*r, len(r[1] or ""), *["clash"] * 17) for r in ROWS], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +40,6 @@ def bench(spark):
 
 
 def operators(docs, bench):
-    clean = docs.drop("found")
     return {
         "rules": lambda d: quality_rules.apply_rules(d),
         "sharding": lambda d: sharding.interleave(d.select("doc_id", "source", "shard"), ["doc_id"]),
@@ -49,11 +48,11 @@ def operators(docs, bench):
         "lines": lambda d: line_dedup.dedup_lines(d),
         "segmentation": lambda d: segmentation.encode_samples(d, MODEL),
         "overlaps": lambda d: decontamination.find_overlaps(d, bench),
-        "decontaminate": lambda d: decontamination.decontaminate(d.drop("found"), bench),
+        "decontaminate": lambda d: decontamination.decontaminate(d, bench),
         "tokens": lambda d: token_counts.attribute_tokens(d, RANKS),
         "jaccard": lambda d: jaccard_join.jaccard_classes(d),
         "html": lambda d: html_wrappers.extract(d.withColumnRenamed("text", "html").withColumnRenamed("source", "url")),
-    }, clean
+    }
 
 
 NAMES = ["rules", "sharding", "pseudonyms", "language", "lines", "segmentation", "overlaps", "tokens", "jaccard", "html"]
@@ -61,17 +60,31 @@ NAMES = ["rules", "sharding", "pseudonyms", "language", "lines", "segmentation",
 
 @pytest.mark.parametrize("name", NAMES)
 def test_every_row_comes_back(spark, docs, bench, name):
-    made, _ = operators(docs, bench)
+    made = operators(docs, bench)
     rows = made[name](docs).collect()
     assert len(rows) == len(ROWS)
 
 
 @pytest.mark.parametrize("name", [*NAMES, "decontaminate"])
 def test_empty_tables(spark, docs, bench, name):
-    made, _ = operators(docs, bench)
+    made = operators(docs, bench)
     assert made[name](docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("name", ["rules", "pseudonyms", "language", "lines", "segmentation", "overlaps", "decontaminate", "tokens", "html"])
+@pytest.mark.parametrize("blocks", [False, True])
+def test_columns_of_any_name_stay(spark, docs, bench, name, blocks, monkeypatch):
+    if blocks and name not in ("overlaps", "decontaminate", "html"):
+        pytest.skip("one path only")
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 2 if blocks else 10**6)
+    monkeypatch.setattr(html_wrappers, "BROADCAST_BYTES", 0 if blocks else 16 << 20)
+    out = operators(docs, bench)[name](docs)
+    made = {"rules": "counts", "segmentation": "samples", "overlaps": "found", "tokens": "tokens", "pseudonyms": "kinds"}.get(name)
+    kept = [c for c in docs.columns if dict(docs.dtypes)[c] == "string" and c not in ("text", "lang", "source", made)]
+    assert set(kept) <= set(out.columns) and len(set(out.columns)) == len(out.columns)
+    assert all(r[c] == "clash" for r in out.select(*kept).collect() for c in kept)
+
+
 def test_sharding_handles_clashing_names(spark, docs):
     rows = sharding.interleave(docs.select("doc_id", "source", "shard"), ["doc_id"], n_shards=5).collect()
     assert sorted(r["slot"] for r in rows if r["shard"] == 0) == list(range(len([r for r in rows if r["shard"] == 0])))
