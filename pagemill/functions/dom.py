@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import escape
@@ -14,6 +15,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = frozenset("ul ol dl table select body html div section article main".split())
 BLOCKS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SILENT = frozenset("script style noscript template".split())
+#: Levels of nesting beyond which elements stand side by side, so that no page, however deep, exhausts the stack.
+DEPTH = 200
 
 
 class Node:
@@ -156,11 +159,30 @@ def _matches(node: Node, rule: tuple) -> bool:
     return outer < 0
 
 
+def remove_all(nodes: list[Node]) -> None:
+    """Removes elements in time in proportion to them and their siblings, however many share a parent."""
+    gone = {id(n) for n in nodes}
+    for parent in {id(n.parent): n.parent for n in nodes if n.parent is not None}.values():
+        parent.kids = [k for k in parent.kids if isinstance(k, str) or id(k) not in gone]
+    for node in nodes:
+        node.parent = None
+
+
 class _Builder(HTMLParser):
+    """Elements below the level DEPTH hang, with what they hold, on the element of that level, in their order."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#document")
         self.open = [self.root]
+        self.names: Counter[str] = Counter()
+
+    def _top(self) -> Node:
+        return self.open[min(len(self.open) - 1, DEPTH)]
+
+    def _cut(self, depth: int) -> None:
+        self.names.subtract(n.tag for n in self.open[depth:])
+        del self.open[depth:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in CLOSES:
@@ -168,15 +190,18 @@ class _Builder(HTMLParser):
         elif tag in BLOCKS:
             self._close({"p"}, BLOCKS | SCOPES - {"p"})
         node = Node(tag, {k: v if v is not None else "" for k, v in attrs})
-        self.open[-1].append(node)
+        self._top().append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.names[tag] += 1
 
     def _close(self, tags: set, stops) -> None:
+        if not any(self.names[t] > 0 for t in tags):
+            return
         for depth in range(len(self.open) - 1, 0, -1):
             tag = self.open[depth].tag
             if tag in tags:
-                del self.open[depth:]
+                self._cut(depth)
                 return
             if tag in stops:
                 return
@@ -184,16 +209,14 @@ class _Builder(HTMLParser):
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag == tag:
-                del self.open[depth:]
-                return
+        if self.names[tag] > 0:
+            self._cut(next(depth for depth in range(len(self.open) - 1, 0, -1) if self.open[depth].tag == tag))
 
     def handle_data(self, data: str) -> None:
-        kids = self.open[-1].kids
+        kids = self._top().kids
         if kids and isinstance(kids[-1], str):
             kids[-1] += data
         else:

@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
-from pagemill.functions.dom import Node, body_of, flat
+from pagemill.functions.dom import Node, body_of, flat, remove_all
 
 # Selectors of what is no content, keyword patterns and signals of page types.
 DEFAULT_UNWANTED = "script,style,noscript,template,iframe,object,embed,nav,header,footer,.ad,.sidebar,.menu,.social,.share,.comments"
@@ -171,13 +171,13 @@ def clean(root: Node, base: str | None = None, selectors: str = NOISE, defaults:
     """The tree without chrome, hidden and empty elements, with addresses made absolute. The tree given is changed."""
     from urllib.parse import urljoin
 
-    for node in root.select(f"{DEFAULT_UNWANTED},{selectors}" if defaults else f"script,style,noscript,template,{selectors}"):
-        node.remove()
-    for node in [n for n in root.walk() if HIDDEN.search(n.get("style"))]:
-        node.remove()
+    remove_all(root.select(f"{DEFAULT_UNWANTED},{selectors}" if defaults else f"script,style,noscript,template,{selectors}"))
+    remove_all([n for n in root.walk() if HIDDEN.search(n.get("style"))])
+    gone: dict[int, Node] = {}
     for node in reversed(root.select("p,div,span,section,li,ul,ol")):
-        if not node.children() and not node.text().strip():
-            node.remove()
+        if all(not k.strip() if isinstance(k, str) else id(k) in gone for k in node.kids):
+            gone[id(node)] = node
+    remove_all(list(gone.values()))
     if base:
         for node in root.walk():
             for name in ("href", "src"):
@@ -236,13 +236,13 @@ def candidates(root: Node, thread: Node | None = None) -> list[Candidate]:
         if (node := body.first(selector)) is not None and len(flat(node.text())) >= 120:
             pool.append(Candidate("semantic", node, 0.6))
             break
-    taken: list[Node] = []
+    taken: set[int] = set()
     for node in body.select(GENERIC):
-        if any(t in _ancestors(node) for t in taken):
+        if any(id(a) in taken for a in _ancestors(node)):
             continue
         length, paragraphs = len(flat(node.text())), len(node.select("p"))
         if length >= 140:
-            taken.append(node)
+            taken.add(id(node))
             confidence = min(1.0, 0.2 + min(0.4, length / 4000) + min(0.3, paragraphs * 0.05) - min(0.3, link_density(node) * 0.3))
             pool.append(Candidate(f"generic:{node.tag}", node, max(0.0, confidence)))
     best, _ = best_node(body)

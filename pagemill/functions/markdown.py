@@ -39,6 +39,7 @@ UI_TRIMMED = [
     r"^-->$", r"^[*•]$", r"<path d=|stroke-width=|stroke-linecap=|stroke-linejoin=|transform=\"translate\(|</svg>", r"^\[skip to content\]\(#.+\)$",
     r"^\[(sponsor|star)\]\(", r"^\]\(/[^)]+\)\[?$", r"^built by\s*\[?$", r"^make us preferred source on google$",
 ]
+UI_CHIP = r"^[A-Za-z][A-Za-z0-9 .&:/'()-]{1,70}\s+\+\d{1,3}$"
 FOOTER = r"privacy policy|cookie policy|legal documents|cookies settings|all rights reserved|terms|contact us|careers|press and media|community|company|products|solutions|industries|events|slack"
 BREADCRUMBS = r"^(home|news|latest|india news|world news|technology|business|sports|markets|opinion)$"
 
@@ -166,12 +167,12 @@ UI_WORDS = ("cookie", "preferences", "popup", "search", "reddit", "view more:",
 VECTOR_WORDS = ("<path d=", "stroke-width=", "stroke-linecap=", "stroke-linejoin=", 'transform="translate(', "</svg>")
 
 
-def _at_start(patterns: list[str]) -> str:
+def at_start(patterns: list[str]) -> str:
     """The patterns that are tied to the start of a line as one, which is then tried at the start alone."""
     return "(?i)^(?:" + "|".join(p[1:] for p in patterns if p.startswith("^")) + ")"
 
 
-def _anywhere(patterns: list[str]) -> str:
+def anywhere(patterns: list[str]) -> str:
     return "|".join(p for p in patterns if not p.startswith("^"))
 
 
@@ -182,16 +183,16 @@ def _has_any(x: Column, words: tuple[str, ...]) -> Column:
 @once
 def is_ui_noise(line: Column) -> Column:
     """Whether a line of prose is interface chrome; headings and blank lines never are."""
-    chip = r"^[A-Za-z][A-Za-z0-9 .&:/'()-]{1,70}\s+\+\d{1,3}$"
+    chip = UI_CHIP
 
     def of(x: Column) -> Column:
         plain, trimmed = x["plain"], x["trimmed"]
         is_short = F.length(plain) <= 200
-        worded = _has_any(plain, UI_WORDS) & ((is_short & plain.rlike(_anywhere(UI_SHORT))) | plain.rlike(_anywhere(UI_STRONG)))
-        fixed = (is_short & plain.rlike(_at_start(UI_SHORT))) | plain.rlike(_at_start(UI_STRONG)) | F.contains(plain, F.lit("data:image/"))
+        worded = _has_any(plain, UI_WORDS) & ((is_short & plain.rlike(anywhere(UI_SHORT))) | plain.rlike(anywhere(UI_STRONG)))
+        fixed = (is_short & plain.rlike(at_start(UI_SHORT))) | plain.rlike(at_start(UI_STRONG)) | F.contains(plain, F.lit("data:image/"))
         bulletless = F.regexp_replace(F.regexp_replace(trimmed, r"^[-*+]\s+", ""), r"^\d+\.\s+", "")
-        listed = trimmed.rlike(r"^(?:[-*+]|\d+\.)\s") & let(F.trim(bulletless), lambda b: b.rlike(_at_start(UI_EXACT)) | b.rlike(chip))
-        own = trimmed.rlike(_at_start(UI_EXACT)) | trimmed.rlike(_at_start(UI_TRIMMED)) | trimmed.rlike(chip) | _has_any(F.lower(trimmed), VECTOR_WORDS)
+        listed = trimmed.rlike(r"^(?:[-*+]|\d+\.)\s") & let(F.trim(bulletless), lambda b: b.rlike(at_start(UI_EXACT)) | b.rlike(chip))
+        own = trimmed.rlike(at_start(UI_EXACT)) | trimmed.rlike(at_start(UI_TRIMMED)) | trimmed.rlike(chip) | _has_any(F.lower(trimmed), VECTOR_WORDS)
         return (plain != "") & ~trimmed.rlike(r"^#{1,6}\s") & (worded | fixed | own | listed)
 
     return let(F.struct(F.lower(normalize_line(line)).alias("plain"), F.trim(line).alias("trimmed")), of)
@@ -348,8 +349,8 @@ def heading_jumps(md: Column) -> Column:
     return let(F.transform(F.regexp_extract_all(md, F.lit(r"(?m)^(#{1,6})\s"), F.lit(1)), lambda h: F.length(h)), of)
 
 
-def light_canonical(md: Column, title: Column) -> Column:
-    """The short chain of passes that delivered Markdown goes through."""
+def light_canonical(md: Column, title: Column, noise: Callable[[Column], Column] = strip_ui_noise) -> Column:
+    """The short chain of passes that delivered Markdown goes through; noise is the pass that takes interface lines."""
     md = strip_citation(strip_highlight(unwrap_fence(normalize_unicode_spaces(md))))
-    md = inline_code_spacing(spacing(strip_ui_noise(sanitize(md))))
+    md = inline_code_spacing(spacing(noise(sanitize(md))))
     return primary_heading(spacing(md), title)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pagemill.functions.text import ENTITIES
+from pagemill.functions import markdown as M
+from pagemill.functions.text import ENTITIES, WIDE_SPACES, ZERO_WIDTH
 
 _FENCE = re.compile(r"^\s*```")
 # Commands that begin a line of shell, and words that name interface chrome in a code block.
@@ -33,6 +34,53 @@ def on_prose(md: str, change: Callable[[list[str]], list[str]]) -> str:
     return "\n".join(line for code, lines in _segments(md) for line in (lines if code else change(lines)))
 
 
+def _pattern(java: str) -> re.Pattern:
+    """A pattern of the column functions as they read it: classes are of ASCII, and the end may have a line end behind it."""
+    return re.compile(java.replace("$", r"(?=(?:\r\n|[\n\r\u0085\u2028\u2029])?\Z)"), re.A)
+
+
+_START_SHORT, _START_STRONG, _START_EXACT, _START_TRIMMED = (_pattern(M.at_start(p)) for p in (M.UI_SHORT, M.UI_STRONG, M.UI_EXACT, M.UI_TRIMMED))
+_ANY_SHORT, _ANY_STRONG, _CHIP = _pattern(M.anywhere(M.UI_SHORT)), _pattern(M.anywhere(M.UI_STRONG)), _pattern(M.UI_CHIP)
+_LISTED, _TITLE, _BULLET, _NUMBER = (re.compile(p, re.A) for p in (r"(?:[-*+]|\d+\.)\s", r"#{1,6}\s", r"[-*+]\s+", r"\d+\.\s+"))
+_UNEVEN = re.compile(r"\s\s|[\t\n\x0b\f\r]", re.A)
+_SPACES = str.maketrans(dict.fromkeys(ZERO_WIDTH, "") | dict.fromkeys(WIDE_SPACES, " "))
+
+
+def normal_line(line: str) -> str:
+    """A line for comparison: no comments, no CDATA, one kind of space."""
+    if "<!" in line or "-->" in line:
+        line = re.sub(r"(?is)<!\[cdata\[.*?\]\]>", " ", re.sub(r"(?s)<!--.*?-->", " ", line)).replace("-->", " ")
+    if not line.isascii():
+        line = line.translate(_SPACES)
+    return re.sub(r"\s+", " ", line, flags=re.A).strip(" ") if _UNEVEN.search(line) else line.strip(" ")
+
+
+def is_ui_noise(line: str) -> bool:
+    """The same as the column function of this name, for use inside an Arrow pass."""
+    trimmed = line.strip(" ")
+    plain = normal_line(line).lower()
+    if not plain or _TITLE.match(trimmed):
+        return False
+    brief = len(plain) <= 200
+    if _START_STRONG.match(plain) or "data:image/" in plain or (brief and _START_SHORT.match(plain)):
+        return True
+    if any(w in plain for w in M.UI_WORDS) and ((brief and _ANY_SHORT.search(plain)) or _ANY_STRONG.search(plain)):
+        return True
+    if _START_EXACT.match(trimmed) or _START_TRIMMED.match(trimmed) or _CHIP.match(trimmed) or any(w in trimmed.lower() for w in M.VECTOR_WORDS):
+        return True
+    if not _LISTED.match(trimmed):
+        return False
+    bare = _NUMBER.sub("", _BULLET.sub("", trimmed, count=1), count=1) if _BULLET.match(trimmed) else _NUMBER.sub("", trimmed, count=1)
+    return bool(_START_EXACT.match(bare.strip(" ")) or _CHIP.match(bare.strip(" ")))
+
+
+def strip_ui_noise(md: str) -> str:
+    """The text without interface chrome between its code fences."""
+    parts, fences = re.split(M.FENCE, md), re.findall(M.FENCE, md)
+    kept = ["\n".join(x for x in part.split("\n") if not is_ui_noise(x)) if i % 2 == 0 else part for i, part in enumerate(parts)]
+    return "".join(part + fence for part, fence in zip(kept, [*fences, ""], strict=True))
+
+
 def normalize_headings(md: str) -> str:
     """Broken headings joined, no level skipped, early second titles one level down, blank lines around."""
     state = {"titled": False, "locked": False, "level": 0}

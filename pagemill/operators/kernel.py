@@ -21,25 +21,32 @@ from pagemill.functions import urls as U
 CANDIDATES = "page_id long, place int, source string, html string, confidence double, text_length long, heading_coverage double, section_count int, noise boolean, lead boolean, anchors int, repeated int, forms int, vector boolean, density double, paragraphs int, code long, tables int, lists int"
 NODES = "page_id long, node int, parent int, pre int, post int, depth int, tag string, attrs map<string,string>, own_text string"
 PAGE = "page_id long, url string, title string, profile string, confidence double, signals array<string>, published string, updated string, byline string, n_source long, candidates array<struct<place: int, source: string, markdown: string, confidence: double, processing_ms: double, f: struct<text_length: bigint, heading_coverage: double, section_count: int, noise: boolean, lead: boolean, anchors: int, repeated: int, forms: int, vector: boolean, density: double, paragraphs: int, code: bigint, tables: int, lists: int>>>"
+#: Bytes of input for a core below which pages in few files are dealt out.
+SPLIT_BYTES = 32 << 20
 FEATURES = ("text_length", "heading_coverage", "section_count", "noise", "lead", "anchors", "repeated", "forms", "vector", "density", "paragraphs", "code", "tables", "lists")
 
 
 def spread(pages: DataFrame) -> DataFrame:
-    """The pages over all cores if they come in fewer files; a large input keeps its splits and moves nowhere."""
+    """The pages over all cores if they come in a few small files; a large input keeps its splits and moves nowhere."""
     cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages.repartition(cores) if len(pages.inputFiles()) < cores else pages
+    small = pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < cores * SPLIT_BYTES
+    return pages.repartition(cores) if small and len(pages._jdf.inputFiles()) < cores else pages
 
 
-def per_page(pages: DataFrame, schema: str, rows_of: Callable[[int, str, str], list]) -> DataFrame:
-    """Rows made of (page_id, url, html) one page at a time, each page whole. Null markup counts as empty."""
+def per_page(pages: DataFrame, schema: str, rows_of: Callable[..., list], extra: tuple[str, ...] = ()) -> DataFrame:
+    """Rows made of (page_id, url, html) and the extra columns one page at a time, each page whole. Null markup counts as
+    empty; a page without an id keeps none; repeated pages are worked on one by one."""
     names = [part.split()[0] for part in _split(schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [row for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"], strict=True) for row in rows_of(int(page_id), url or "", html or "")]
-            yield pd.DataFrame(rows, columns=names)
+            rows = []
+            for page_id, url, html, *more in zip(*(batch[c] for c in batch.columns), strict=True):
+                rows += rows_of(None if page_id is None else int(page_id), url or "", html or "", *more)
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
-    return spread(pages.select("page_id", "url", "html").filter("page_id IS NOT NULL")).mapInPandas(run, schema)
+    # Ids travel as text: a batch with a missing whole number would come as floating point and lose digits.
+    return spread(pages.select(F.col("page_id").cast("string"), "url", "html", *extra)).mapInPandas(run, schema)
 
 
 def _split(schema: str) -> list[str]:
@@ -68,8 +75,8 @@ def candidate_rows(pages: DataFrame) -> DataFrame:
     return per_page(pages, CANDIDATES, of)
 
 
-def _page(year: int, preset: str):
-    def of(page_id: int, url: str, html: str) -> list:
+def _page(year: int, preset: str, keep_html: bool = False):
+    def of(page_id: int | None, url: str, html: str, whole: int = 0) -> list:
         root = dom.parse(html)
         profile, confidence, signals = features.page_type(root, url)
         found = metadata.metadata(root, year)
@@ -81,23 +88,23 @@ def _page(year: int, preset: str):
             {"place": i, "source": c.source, "markdown": repair.normalize_headings(repair.repair_fences(convert.to_markdown(c.node, preset))), "confidence": float(c.confidence), "processing_ms": None, "f": c.features}
             for i, c in enumerate(pool)
         ]
-        return [(page_id, url, title or url, profile, confidence, signals, found["published"], found["updated"], found["byline"], source, made)]
+        return [(page_id, url, title or url, profile, confidence, signals, found["published"], found["updated"], found["byline"], source, made, int(whole), html if keep_html else None)]
 
     return of
 
 
-def extract(pages: DataFrame, captured_at: str, mode: str = "balanced", slider: int = 55, preset: str = "standard", as_of_year: int = 2026, max_chars: int | None = None) -> DataFrame:
+def extract(pages: DataFrame, captured_at: str, mode: str = "balanced", slider: int = 55, preset: str = "standard", as_of_year: int = 2026, max_chars: int | None = None, keep_html: bool = False) -> DataFrame:
     """One row per page: title, page type, the winning source and its Markdown below a citation, metadata and quality.
 
     The kernel parses each page once and emits its candidates; scores, ranking, citation, warnings and quality are
     column expressions over them. Null and empty pages give a Markdown of nothing but citation and heading. Pages are
-    read whole, however long, unless max_chars cuts their markup; then the column `warnings` says which were cut.
+    read whole, however long, unless max_chars cuts their markup; then the column `warnings` says which were cut. With
+    keep_html the markup comes along as `html`, for `assess`.
     """
+    given = pages
     if max_chars is not None:
-        whole = extract(pages.withColumn("html", T.truncate(F.col("html"), max_chars)), captured_at, mode, slider, preset, as_of_year)
-        said = F.when(F.length("html") > max_chars, F.array(F.format_string(f"Content truncated from %d to {max_chars} characters", F.length("html")))).otherwise(F.array().cast("array<string>"))
-        return whole.join(pages.select("page_id", said.alias("warnings")), "page_id")
-    parsed = per_page(pages, PAGE, _page(as_of_year, preset))
+        given = pages.select("page_id", "url", T.truncate(F.col("html"), max_chars).alias("html"), F.coalesce(F.length("html"), F.lit(0)).alias("whole"))
+    parsed = per_page(given, PAGE + ", whole int, html string", _page(as_of_year, preset, keep_html), () if max_chars is None else ("whole",))
     mode_, slider_ = F.lit(mode), F.lit(slider)
     w = S.weights(mode_, slider_)
 
@@ -114,9 +121,11 @@ def extract(pages: DataFrame, captured_at: str, mode: str = "balanced", slider:
     pool = F.when(F.size(viable) > 0, viable).otherwise(some)
     ranked = parsed.withColumn("w", w).withColumn("pool", pool).withColumn("ranked", F.array_sort(F.transform("pool", scored)))
     best = ranked.withColumn("best", F.get("ranked", F.lit(0)))
-    light = M.light_canonical(F.coalesce("best.markdown", F.lit("")), F.col("title"))
+    light = M.light_canonical(F.coalesce("best.markdown", F.lit("")), F.col("title"), text_pass(repair.strip_ui_noise))
     delivered = best.withColumn("body", light)
     cited = M.cite_first(F.col("body"), F.col("title"), F.col("url"), F.lit(captured_at), T.content_hash(F.col("body")), F.col("published"), F.col("updated"), F.col("byline"))
+    cut = F.when(F.col("whole") > (max_chars or 0), F.array(F.format_string(f"Content truncated from %d to {max_chars} characters", "whole"))).otherwise(F.array().cast("array<string>"))
+    more = ([cut.alias("warnings")] if max_chars is not None else []) + (["html"] if keep_html else [])
     return delivered.select(
         "page_id",
         "url",
@@ -133,16 +142,16 @@ def extract(pages: DataFrame, captured_at: str, mode: str = "balanced", slider:
         "updated",
         "byline",
         F.col("n_source").alias("source_chars"),
+        *more,
     )
 
 
-def assess(extracted: DataFrame, pages: DataFrame) -> DataFrame:
-    """The extracted pages with the quality metrics of their Markdown against the markup, joined by page."""
-    joined = extracted.join(pages.select("page_id", F.col("html").alias("_html")), "page_id")
-    md, html = F.col("markdown"), F.col("_html")
-    measured = joined.withColumns({"preserved": S.preservation(md, html), "structured": S.structure(md, html), "formatted": S.markdown_quality(md), "readable": S.readability(md), "complete": S.completeness(md)})
+def assess(extracted: DataFrame) -> DataFrame:
+    """Pages extracted with keep_html, with the quality metrics of their Markdown against the markup: one projection."""
+    md, html = F.col("markdown"), F.coalesce("html", F.lit(""))
+    measured = extracted.withColumns({"preserved": S.preservation(md, html), "structured": S.structure(md, html), "formatted": S.markdown_quality(md), "readable": S.readability(md), "complete": S.completeness(md)})
     overall = S.overall(F.col("preserved"), F.col("structured"), F.col("formatted"), F.col("readable"), F.col("complete.score"))
-    return measured.withColumn("overall", overall).withColumn("grade", S.grade(F.col("overall"))).drop("_html")
+    return measured.withColumn("overall", overall).withColumn("grade", S.grade(F.col("overall"))).drop("html")
 
 
 def text_pass(function: Callable[[str], str]):
@@ -170,8 +179,8 @@ def _stateful(md: str) -> str:
 
 
 def canonicalise(md: Column, title: Column) -> Column:
-    """The long chain of passes: column expressions around one Arrow pass for those that carry state."""
-    head = M.spacing(M.strip_media(M.strip_ui_noise(M.sanitize(M.strip_citation(M.strip_highlight(M.unwrap_fence(T.normalize_unicode_spaces(md))))))))
+    """The long chain of passes: column expressions around Arrow passes for those that carry state or try many patterns a line."""
+    head = M.spacing(M.strip_media(text_pass(repair.strip_ui_noise)(M.sanitize(M.strip_citation(M.strip_highlight(M.unwrap_fence(T.normalize_unicode_spaces(md))))))))
     whole = M.strip_navigation(text_pass(_stateful)(head))
     tail = M.strip_ui_noise(M.merge_headings(M.inline_code_spacing(M.token_boundaries(M.collapse_words(whole)))))
     return M.primary_heading(M.strip_footer(tail), title)

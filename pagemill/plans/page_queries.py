@@ -25,8 +25,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("kernel_extract")
 def kernel_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page to its Markdown with type, winner and quality: the whole path from capture to report."""
-    source = pages(spark, sf_dir)
-    done = K.assess(K.extract(source, AT), source)
+    done = K.assess(K.extract(pages(spark, sf_dir), AT, keep_html=True))
     return done.select("page_id", "url", "title", "profile", "winner", "score", "n_candidates", "markdown", "preserved", "structured", "formatted", "readable", c("complete.status").alias("completeness"), "overall", "grade")
 
 
@@ -184,7 +183,7 @@ def thread_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     grouped = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
     post = F.struct(F.lit("t3").alias("kind"), F.struct(F.get("turns", F.lit(0))["text"].alias("title"), F.lit("").alias("selftext"), F.get("turns", F.lit(0))["role"].alias("author")).alias("data"))
-    rest = F.transform(F.slice("turns", 2, 10_000), lambda t: F.struct(F.lit("t1").alias("kind"), F.struct(F.concat(F.lit("c"), t["turn"].cast("string")).alias("id"), t["role"].alias("author"), t["text"].alias("body"), t["turn"].alias("score"), F.lit("").alias("replies")).alias("data")))
+    rest = F.transform(F.slice("turns", F.lit(2), F.greatest(F.size("turns") - 1, F.lit(0))), lambda t: F.struct(F.lit("t1").alias("kind"), F.struct(F.concat(F.lit("c"), t["turn"].cast("string")).alias("id"), t["role"].alias("author"), t["text"].alias("body"), t["turn"].alias("score"), F.lit("").alias("replies")).alias("data")))
     listing = lambda kids: F.to_json(F.struct(F.struct(kids.alias("children")).alias("data")))
     return grouped.select("conv_id", F.concat(F.lit("["), listing(F.array(post)), F.lit(","), listing(rest), F.lit("]")).alias("json"))
 

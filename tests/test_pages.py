@@ -176,7 +176,7 @@ PAGES = [(1, "https://blog.example.com/post", ARTICLE), (2, "https://example.com
 def test_extract_keeps_its_promises(spark):
     """What holds for every page: a citation first, one heading at least, balanced fences, the body of the article kept."""
     frame = spark.createDataFrame(PAGES, "page_id long, url string, html string")
-    out = {r["page_id"]: r for r in K.assess(K.extract(frame, "2026-01-02T03:04:05.000Z"), frame).collect()}
+    out = {r["page_id"]: r for r in K.assess(K.extract(frame, "2026-01-02T03:04:05.000Z", keep_html=True)).collect()}
     assert set(out) == {1, 2, 3, 4, 5}
     for r in out.values():
         md = r["markdown"]
@@ -188,6 +188,34 @@ def test_extract_keeps_its_promises(spark):
     assert "short page" in out[2]["markdown"] and out[3]["winner"] == "none"
 
 
+def test_repeated_pages_and_pages_without_an_id(spark):
+    big = (1 << 53) + 1
+    frame = spark.createDataFrame([PAGES[0]] * 3 + [(None, "https://example.com/n", "<p>page without an id</p>"), (big, "https://example.com/b", "<p>page</p>")], "page_id long, url string, html string")
+    ids = [r["page_id"] for r in K.assess(K.extract(frame, "2026-01-02T03:04:05.000Z", keep_html=True)).collect()]
+    assert sorted(ids, key=lambda i: (i is None, i)) == [1, 1, 1, big, None]
+
+
+def test_deep_and_broken_pages(spark):
+    pages = ["<div>" * 100_000 + "the words" + "</div>" * 100_000, "<b>" * 1_500 + "the words", "<ul><li>" * 3_000 + "the words", "<p><a title='x>" * 2_000 + "the words", "<section>" + "<div></div>" * 50_000 + "the words</section>"]
+    frame = spark.createDataFrame([(i, "https://example.com/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    out = {r["page_id"]: r["markdown"] for r in K.assess(K.extract(frame, "2026-01-02T03:04:05.000Z", keep_html=True)).collect()}
+    assert set(out) == set(range(5)) and all("the words" in out[i] for i in (0, 1, 2, 4))
+    assert K.nodes(frame.filter("page_id = 0")).agg({"depth": "max"}).first()[0] <= 201
+
+
+def test_noise_pass_equals_the_column_function(spark):
+    from pyspark.sql import functions as F
+
+    from pagemill.functions import markdown as M
+    from pagemill.functions import repair
+    from pagemill.plans.markdown_queries import BACK, EXTRAS, FRONT
+
+    lines = ["", " ", "Share", "- Share", "1. 42", "* 1. Save", "# 42", "Accept all the cookies", "accept all \u00a0 cookie <!-- x -->", "x" * 190 + " join reddit", "x" * 201 + " join reddit", "Python +12", "3) no", "-->", "*", "<path d=1", "[Sponsor](", "Raw  input", "raw input\r", "data:image/png", "words"]
+    texts = ["\n".join([a, e, b]) for a in FRONT for e in EXTRAS for b in BACK] + lines + ["\n".join(lines), "Share\n```\nShare\n```\nShare\n```\nShare"]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", M.strip_ui_noise(F.col("t")).alias("v")).collect()
+    assert all(repair.strip_ui_noise(r["t"]) == r["v"] for r in out)
+
+
 def test_post_process_and_canonicalise(spark):
     from pyspark.sql import functions as F
 
