@@ -24,12 +24,7 @@ from pagemill.plans.scoring_queries import SQL_F, SQL_HTML, features as feature_
 from pagemill.plans.text_queries import sql_collapse, sql_normal
 
 c = F.col
-LONG = "Words of a paragraph that goes on for long enough to count as content here. "
-
-
-def authored(spark: SparkSession, cases: list[tuple[str, str]]) -> DataFrame:
-    """Pages of (url, html) with their places as ids."""
-    return spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(cases)], "page_id long, url string, html string")
+LONG = "Words§ of a paragraph that goes on for long enough to count as content here. "
 
 
 def _literal(value: object) -> str:
@@ -41,15 +36,18 @@ WHOLE: dict[str, str] = {}
 
 
 def golden(name: str, cases: list[tuple[str, str, object]], of, whole=None, whole_kind: str | None = None) -> None:
-    """A query over authored pages (url, html, expected): one text or number per page, by of(root, url); and, as
-    name_pages, one over every page of the table, by whole(root, url) where the cases' selectors fit only them."""
+    """A query over every page of the table, each with the authored markup whose turn it is, in which `§` stands for the
+    page's id: one text or number per page, by of(root, url). Cases are (url, markup, expected). And, as name_pages, a query
+    over the markup of the pages themselves, by whole(root, url) where the cases' selectors fit only them."""
     kind = "string" if any(isinstance(x[2], str) for x in cases) else "boolean" if isinstance(cases[0][2], bool) else "double" if isinstance(cases[0][2], float) else "long"
     cast = {"string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE", "long": "BIGINT"}[kind]
-    values = ", ".join(f"({i}::BIGINT, {_literal(x[2])}::{cast})" for i, x in enumerate(cases))
+    said = " ".join(f"WHEN {i} THEN " + (f"replace({_literal(x[2])}, '§', page_id::VARCHAR)" if isinstance(x[2], str) else _literal(x[2])) for i, x in enumerate(cases))
 
-    @query(name, f"SELECT * FROM (VALUES {values}) AS v(page_id, value)")
+    @query(name, f"SELECT page_id, CAST(CASE page_id % {len(cases)} {said} END AS {cast}) AS value FROM pages")
     def _query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return K.per_page(authored(spark, [x[:2] for x in cases]), f"page_id long, value {kind}", lambda i, u, h: [(i, of(dom.parse(h), u))])
+        turn = lambda at: F.get(F.array(*(F.lit(x[at]) for x in cases)), F.pmod(c("page_id"), F.lit(len(cases))).cast("int"))
+        given = table(spark, sf_dir, "pages").select("page_id", turn(0).alias("url"), F.replace(turn(1), F.lit("§"), c("page_id").cast("string")).alias("html"))
+        return K.per_page(given, f"page_id long, value {kind}", lambda i, u, h: [(i, of(dom.parse(h), u))])
 
     WHOLE[name] = f"{name}_pages"
 
@@ -63,34 +61,34 @@ def text(root: dom.Node) -> str:
 
 
 U = "https://example.com/a/b"
-golden("parse_dom", [(U, "<p>a<p>b<ul><li>c<li>d</ul>", "<p>a</p><p>b</p><ul><li>c</li><li>d</li></ul>"), (U, "<b>x</i></b>&lt;", "<b>x</b>&lt;")], lambda r, u: r.html())
-golden("ensure_base", [(U, "<html><head></head><body>x</body></html>", '<html><head><base href="https://example.com/a/b"></head><body>x</body></html>'), (U, '<head><base href="/z"></head>', '<head><base href="/z"></head>')], lambda r, u: P.ensure_base(r, u).html())
+golden("parse_dom", [(U, "<p>a§<p>b<ul><li>c<li>d</ul>", "<p>a§</p><p>b</p><ul><li>c</li><li>d</li></ul>"), (U, "<b>x§</i></b>&lt;", "<b>x§</b>&lt;")], lambda r, u: r.html())
+golden("ensure_base", [(U, "<html><head></head><body>x§</body></html>", '<html><head><base href="https://example.com/a/b"></head><body>x§</body></html>'), (U, '<head><base href="/z"></head>', '<head><base href="/z"></head>')], lambda r, u: P.ensure_base(r, u).html())
 golden("mark_hidden", [(U, '<p style="display:none">a</p><p hidden>b</p><p>c</p>', 2)], lambda r, u: len(P.mark_hidden(r).select("[data-hidden=true]")))
-golden("dom_flatten_shadow", [(U, '<x-y><template shadowrootmode="open"><h1>T</h1><slot></slot></template><p>light</p></x-y>', "Tlight")], lambda r, u: text(P.flatten_shadow(r)))
-golden("metadata_html_capture", [(U, '<head><meta name="author" content="A"><style>x</style></head><time>t</time>', '<meta name="author" content="A"><time>t</time>')], lambda r, u: P.metadata_markup(r))
-golden("sponsored_clusters", [(U, '<body><div><a rel="sponsored">x</a><a rel="sponsored">y</a></div><article>keep <div><a rel="sponsored">z</a><a rel="sponsored">w</a></div></article></body>', "keep zw")], lambda r, u: text(P.remove_sponsored(r)))
+golden("dom_flatten_shadow", [(U, '<x-y><template shadowrootmode="open"><h1>T</h1><slot></slot></template><p>light§</p></x-y>', "Tlight§")], lambda r, u: text(P.flatten_shadow(r)))
+golden("metadata_html_capture", [(U, '<head><meta name="author" content="A§"><style>x</style></head><time>t</time>', '<meta name="author" content="A§"><time>t</time>')], lambda r, u: P.metadata_markup(r))
+golden("sponsored_clusters", [(U, '<body><div><a rel="sponsored">x</a><a rel="sponsored">y</a></div><article>keep <div><a rel="sponsored">z</a><a rel="sponsored">w§</a></div></article></body>', "keep zw§")], lambda r, u: text(P.remove_sponsored(r)))
 golden("keyword_noise_blocks", [(U, '<div class="cookie">We use cookie tracking, accept all to continue <button>ok</button></div><p>' + LONG + "</p>", LONG.strip())], lambda r, u: text(P.remove_keyword_blocks(r)))
-golden("ad_labels", [(U, "<p>Advertisement</p><p>Sponsored</p><p>Advertisement prices rose</p>", "Advertisement prices rose")], lambda r, u: text(P.remove_ad_labels(r)))
+golden("ad_labels", [(U, "<p>Advertisement</p><p>Sponsored</p><p>Advertisement prices rose §</p>", "Advertisement prices rose §")], lambda r, u: text(P.remove_ad_labels(r)))
 golden("image_banners", [(U, "<div>" + "<a><img></a>" * 3 + "</div><p>x</p>", 0), (U, "<article>" + "<a><img></a>" * 3 + "</article>", 3)], lambda r, u: len(P.remove_banners(r).select("img")))
-golden("hidden_cleanup", [(U, '<p hidden>a</p><pre><span hidden>b</span></pre><p style="visibility: hidden">c</p>d', "bd")], lambda r, u: text(P.remove_hidden(r)))
+golden("hidden_cleanup", [(U, '<p hidden>a</p><pre><span hidden>b</span></pre><p style="visibility: hidden">c</p>d§', "bd§")], lambda r, u: text(P.remove_hidden(r)))
 golden("visual_noise", [(U, '<svg><path></path></svg><img src="data:image/png;base64,x"><img src="a.png"><pre><svg></svg></pre>', 2)], lambda r, u: len(P.remove_visual(r).select("img,svg")))
-golden("empty_cleanup", [(U, "<div><p> </p><span></span></div><p>x</p>", "<p>x</p>")], lambda r, u: P.remove_empty(r).html())
+golden("empty_cleanup", [(U, "<div><p> </p><span></span></div><p>x§</p>", "<p>x§</p>")], lambda r, u: P.remove_empty(r).html())
 golden("inline_spacing", [(U, "<h2><span>into</span><span>precise</span></h2>", "into precise"), (U, "<h2>" + "".join(f"<i>{x}</i>" for x in "lettersaway") + "</h2>", "lettersaway")], lambda r, u: text(P.inline_spacing(r)))
-golden("raw_example_isolate", [(U, "<div><p>Raw input</p><div><b>x</b></div></div>", "<div><p>Raw input</p><pre>&lt;div&gt;&lt;b&gt;x&lt;/b&gt;&lt;/div&gt;</pre></div>")], lambda r, u: P.isolate_examples(r).html())
+golden("raw_example_isolate", [(U, "<div><p>Raw input</p><div><b>x§</b></div></div>", "<div><p>Raw input</p><pre>&lt;div&gt;&lt;b&gt;x§&lt;/b&gt;&lt;/div&gt;</pre></div>")], lambda r, u: P.isolate_examples(r).html())
 golden("coverage_root", [(U, f"<body><div id=content>{LONG * 3}</div><main>{LONG * 4}</main></body>", "main"), (U, f"<body><p>{LONG}</p></body>", "body")], lambda r, u: P.coverage_root(r).tag)
 golden("coverage_low", [(U, f"<body><p>{LONG * 5}</p><div class=x>{LONG}</div></body>", True), (U, f"<body><div class=x>{LONG * 5}</div></body>", False)], lambda r, u: P.coverage_low(r.first(".x"), r), lambda r, u: sum(P.coverage_low(n, r) for n in r.select("div,section,article,main")), "long")
 golden("usable_adapter_content", [(U, f"<div>{LONG * 2}</div>", True), (U, "<div><p>too short</p></div>", False)], lambda r, u: P.usable(r.first("div")), lambda r, u: sum(P.usable(n) for n in r.select("div,section,article,main")), "long")
 golden("expand_candidate", [(U, f"<body><section><div><p>{LONG}</p></div><p>more</p></section></body>", "section")], lambda r, u: P.expand(r.first("div p")).tag, lambda r, u: ",".join(P.expand(n).tag for n in r.select("p")))
 golden("semantic_content", [(U, f"<div class=content>{LONG * 8}</div>", "div"), (U, f"<article>{LONG}</article>", None)], lambda r, u: n.tag if (n := P.semantic(r)) is not None else None)
 golden("feed_candidates", [(U, "<ul class=feed>" + f'<li><a href="#">{LONG}</a></li>' * 9 + "</ul>", 1), (U, "<ul><li>x</li></ul>", 0)], lambda r, u: len(P.feeds(r)))
-golden("landing_candidate", [(U, '<body><h1>Me</h1><span class="chip">py</span><span class="chip">sql</span><label for="e">Mail</label><input id="e"><footer><a href="https://github.com/x">gh</a></footer></body>', "# Me\n\nMail\n\nMail\n\n[gh](https://github.com/x)\n\n- py\n- sql\n\n## Links\n\n[gh](https://github.com/x)")], lambda r, u: convert.to_markdown(P.landing(r)))
-golden("label_for", [(U, '<label for="a">Name</label><input id="a"><label for="z">No</label>', "Name=input")], lambda r, u: ",".join(f"{a}={b}" for a, b in P.label_of(r)))
+golden("landing_candidate", [(U, '<body><h1>Me §</h1><span class="chip">py</span><span class="chip">sql</span><label for="e">Mail</label><input id="e"><footer><a href="https://github.com/x">gh</a></footer></body>', "# Me §\n\nMail\n\nMail\n\n[gh](https://github.com/x)\n\n- py\n- sql\n\n## Links\n\n[gh](https://github.com/x)")], lambda r, u: convert.to_markdown(P.landing(r)))
+golden("label_for", [(U, '<label for="a">Name§</label><input id="a"><label for="z">No</label>', "Name§=input")], lambda r, u: ",".join(f"{a}={b}" for a, b in P.label_of(r)))
 golden("site_adapters", [(U, f'<div class="thread">{LONG * 2}</div>', "thread:used"), (U, "<p>x</p>", "")], lambda r, u: ",".join(f"{n}:{e}" for n, _, e in P.adapted(r, u)))
 golden("thread_dom_body", [(U, f'<div id="thread">{LONG * 2}</div>', (LONG * 2).strip()), (U, '<div id="thread">x</div>', None)], lambda r, u: text(n) if (n := P.thread_body(r)) is not None else None)
 golden("thread_shell", [("https://www.reddit.com/r/x/comments/1/y", "<p>loading</p>", True), (U, "<p>loading</p>", False)], lambda r, u: P.is_shell(r, u))
-golden("thread_noise_filter", [(U, "<p>12 upvotes</p>", ""), (U, "<pre># Title\nA real line here\nA real line here\n5 hours ago\nReply\n</pre>", "# Title\n\nA real line here")], lambda r, u: P.thread_lines(r.text()))
+golden("thread_noise_filter", [(U, "<p>12 upvotes</p>", ""), (U, "<pre># Title §\nA real line here\nA real line here\n5 hours ago\nReply\n</pre>", "# Title §\n\nA real line here")], lambda r, u: P.thread_lines(r.text()))
 golden("thread_quality", [(U, f"<p>{LONG * 6}</p>", 80)], lambda r, u: P.thread_quality(text(r), text(r) + "x" * 20), lambda r, u: P.thread_quality(P.thread_lines(r.text()), r.text()))
-golden("boilerplate_rules", [(U, '<nav>N</nav><div class="ad">A</div><div class="comments">C</div><header><h1>H</h1></header>x', "N<h1>H</h1>x"), (U, '<div class="modal"><h2>API reference</h2></div>', '<div class="modal"><h2>API reference</h2></div>')], lambda r, u: P.apply_rules(r).html())
+golden("boilerplate_rules", [(U, '<nav>N</nav><div class="ad">A</div><div class="comments">C</div><header><h1>H</h1></header>x§', "N<h1>H</h1>x§"), (U, '<div class="modal"><h2>API reference §</h2></div>', '<div class="modal"><h2>API reference §</h2></div>')], lambda r, u: P.apply_rules(r).html())
 golden("preserve_element", [(U, '<div data-spec="1"></div>', True), (U, "<div>x</div>", False)], lambda r, u: P.preserved(r.first("div")), lambda r, u: sum(P.preserved(n) for n in r.walk()), "long")
 golden("sanitize_candidate", [(U, f"<nav>n</nav><p>{LONG}</p><svg></svg><div></div>", f"<p>{LONG}</p>")], lambda r, u: P.remove_empty(P.remove_visual(features.clean(r))).html())
 golden("readability_quality", [(U, "<p>subscribe to our newsletter, accept the cookie</p>", 20)], lambda r, u: P.readability_check(r.html(), len(r.html()))[0], lambda r, u: P.readability_check(features.clean(r.copy()).html(), len(r.html()))[0])
@@ -99,14 +97,14 @@ golden("stage0_thread", [(U, f'<div class="thread">{LONG * 2}</div>', True), (U,
 golden("stage1_semantic", [(U, f"<main>{LONG * 2}</main>", "main"), (U, f"<p>{LONG}</p>", None)], lambda r, u: next((n.tag for s, n, _ in P.stages(r) if s == "semantic"), None))
 golden("stage2_readability", [(U, f"<body><div><p>{LONG * 4}</p><p>{LONG * 4}</p></div></body>", True), (U, "<p>x</p>", False)], lambda r, u: any(s == "readability" for s, _, _ in P.stages(r)))
 golden("stage3_heuristic", [(U, f"<body><nav><a>{LONG}</a></nav><article><p>{LONG * 3}</p></article></body>", (LONG * 3).strip())], lambda r, u: next(text(n) for s, n, _ in P.stages(r) if s == "heuristic"), lambda r, u: next((text(n) for s, n, _ in P.stages(r) if s == "heuristic"), None))
-golden("jsonld_extract", [(U, '<script type="application/ld+json">[{"@graph":[{"author":{"name":"Ann"},"datePublished":"2024-01-02"}]}]</script>', "2024-01-02|Ann"), (U, '<script type="application/ld+json">{broken</script>', "|")], lambda r, u: "|".join(",".join(x) for x in (metadata._linked_data(r)[0], metadata._linked_data(r)[2])))
+golden("jsonld_extract", [(U, '<script type="application/ld+json">[{"@graph":[{"author":{"name":"Ann§"},"datePublished":"2024-01-02"}]}]</script>', "2024-01-02|Ann§"), (U, '<script type="application/ld+json">{broken</script>', "|")], lambda r, u: "|".join(",".join(x) for x in (metadata._linked_data(r)[0], metadata._linked_data(r)[2])))
 golden("ts_fragments", [(U, "<p>posted 10:30 IST Nov 5, 2025 by x</p>", "10:30 IST Nov 5, 2025|10:30 IST"), (U, "<p>none</p>", "")], lambda r, u: "|".join(metadata.fragments(text(r))))
 golden("ts_parse", [(U, "2025-11-05T10:00:00+02:00", "2025-11-05T08:00:00.000Z"), (U, "5 Nov 2025", "2025-11-05T00:00:00.000Z"), (U, "soon", None)], lambda r, u: metadata.iso(m) if (m := metadata.parse_time(text(r))) else None, lambda r, u: "|".join(metadata.iso(m) if (m := metadata.parse_time(x)) else "" for x in metadata.fragments(text(r))))
 golden("byline_pick", [(U, "Staff|x|By Ann Lee", "Ann Lee"), (U, "News", None)], lambda r, u: metadata.pick_byline(text(r).split("|")), lambda r, u: metadata.pick_byline([text(n) for n in r.select("[rel=author],.byline,.author")]))
 golden("unique_timestamps", [(U, "2025-01-02|2025-01-02| 2024-01-02 ", "2025-01-02")], lambda r, u: metadata.pick_time(r.text().split("|"), 2026)[0], lambda r, u: t[0] if (t := metadata.pick_time(metadata.fragments(text(r)), 2026)) else None)
 golden("json_brace_delta", [(U, '{"a": "}", [', 2), (U, "]}", -2)], lambda r, u: repair.brace_balance(r.text()))
 golden("hash_cyrb53", [(U, "a", P.cyrb53("a")), (U, "page", P.cyrb53("page"))], lambda r, u: P.cyrb53(r.text()))
-golden("recovery_strategies", [(U, "12", "12|number|"), (U, "x", "X|upper|number: ValueError")], lambda r, u: "|".join([(o := P.recover([("number", lambda: str(int(r.text()))), ("upper", lambda: r.text().upper())]))[0], o[1], ";".join(o[2])]))
+golden("recovery_strategies", [(U, "1§", "1§|number|"), (U, "x§", "X§|upper|number: ValueError")], lambda r, u: "|".join([(o := P.recover([("number", lambda: str(int(r.text()))), ("upper", lambda: r.text().upper())]))[0], o[1], ";".join(o[2])]))
 
 
 def pages_pass(name: str, schema: str, of) -> None:
@@ -436,3 +434,29 @@ def preset_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("collapse_text", f"SELECT doc_id, {sql_collapse('text')} AS text FROM documents")
 def collapse_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.collapse(c("text")).alias("text"))
+
+
+@query(
+    "source_settings",
+    """SELECT event_id, CASE WHEN event_type = 'click' THEN 'ai' ELSE 'offline' END AS mode, 3 AS version,
+       CASE WHEN user_id % 2 = 0 THEN 'u' || user_id ELSE 'anon_' || substr(sha256(event_id::VARCHAR), 1, 12) END AS user_id, 'openrouter' AS provider,
+       CASE WHEN event_id % 5 = 0 THEN 'minimal' ELSE 'standard' END AS preset, least(100.0, greatest(0.0, CASE WHEN event_id % 5 = 0 THEN round(value) ELSE 55 END))::DOUBLE AS slider,
+       NOT (event_id % 4 = 3 AND event_type = 'click' AND user_id % 2 = 0 AND event_id % 5 = 0 AND round(value) BETWEEN 0 AND 100) AS migrated FROM events""",
+)
+def source_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored settings of many versions, made of the events, in their present form."""
+    from pagemill.sources.settings import migrate
+
+    tuned = F.when(c("event_id") % 5 == 0, F.struct(F.lit("minimal").alias("preset"), F.round("value").alias("slider")))
+    user = F.when(c("user_id") % 2 == 0, F.struct(F.concat(F.lit("u"), c("user_id").cast("string")).alias("id")))
+    mode = F.when(c("event_type") == "click", "ai").when(c("event_type") == "view", "offline-legacy").otherwise("smart")
+    raw = F.to_json(F.struct(mode.alias("mode"), (c("event_id") % 4).alias("settingsSchemaVersion"), user.alias("user"), tuned.alias("processing")))
+    return table(spark, sf_dir, "events").select("event_id", migrate(raw, c("event_id")).alias("s")).select("event_id", "s.*")
+
+
+@query("source_http_extract")
+def source_http_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page by a provider outside of the kernel; here a plain converter stands in for the service."""
+    from pagemill.sources.extractors import provided
+
+    return provided(table(spark, sf_dir, "pages"), lambda html, url: convert.simple_markdown(features.clean(dom.parse(html), url)) or None)

@@ -149,9 +149,15 @@ META_PAGES = [
 ]
 
 
-@query("metadata_extract", "SELECT * FROM (VALUES (1::BIGINT, '2025-11-05T10:00:00.000Z', NULL, 'Ann Lee'), (2, '2025-01-02T00:00:00.000Z', NULL, 'Bob Ray'), (3, '2024-03-04T00:00:00.000Z', '2024-05-06T00:00:00.000Z', 'Cy Dee'), (4, NULL, NULL, NULL)) AS t(page_id, published, updated, byline)")
+_META = {1: ("2025-11-05T10:00:00.000Z", None, "Ann Lee"), 2: ("2025-01-02T00:00:00.000Z", None, "Bob Ray"), 3: ("2024-03-04T00:00:00.000Z", "2024-05-06T00:00:00.000Z", "Cy Dee"), 0: (None, None, None)}
+_META_SQL = ", ".join("CASE page_id % 4 " + " ".join(f"WHEN {i} THEN {repr(v[at]) if v[at] else 'NULL'}" for i, v in _META.items()) + f" END AS {name}" for at, name in enumerate(("published", "updated", "byline")))
+
+
+@query("metadata_extract", f"SELECT page_id, {_META_SQL} FROM pages")
 def metadata_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, "https://example.com/", h) for i, h in META_PAGES], "page_id long, url string, html string")
+    """The metadata of every page, whose head is given the markup whose turn it is before its own whole content."""
+    turn = F.get(F.array(*(F.lit(h) for _, h in [META_PAGES[3], *META_PAGES[:3]])), F.pmod(c("page_id"), F.lit(4)).cast("int"))
+    rows = pages(spark, sf_dir).select("page_id", "url", F.concat(turn, F.coalesce("html", F.lit(""))).alias("html"))
 
     def of(i: int, u: str, h: str) -> list:
         m = metadata.metadata(dom.parse(h), 2026)
@@ -163,9 +169,15 @@ def metadata_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 TIMES = ["2025-11-05", "5 Nov 2025 10:30", "Updated 10:30 IST", "Nov 5, 2014", "soon", "1736899200"]
 
 
-@query("ts_score", "SELECT * FROM (VALUES ('2025-11-05', 36::BIGINT), ('5 Nov 2025 10:30', 76), ('Updated 10:30 IST', 52), ('Nov 5, 2014', 14), ('soon', 0), ('1736899200', 28)) AS t(text, score)")
+POINTS = [36, 76, 52, 14, 0, 28]
+
+
+@query("ts_score", "SELECT event_id, CASE event_id % 6 " + " ".join(f"WHEN {i} THEN {n}" for i, n in enumerate(POINTS)) + " END::BIGINT AS score FROM events")
 def ts_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(t, metadata.score_time(t, metadata.parse_time(t), 2026)) for t in TIMES], "text string, score long")
+    """The score of a time for every event, written in the way whose turn it is."""
+    turn = F.get(F.array(*map(F.lit, TIMES)), F.pmod(c("event_id"), F.lit(len(TIMES))).cast("int"))
+    score = K.text_pass(lambda t: str(metadata.score_time(t, metadata.parse_time(t), 2026)))
+    return table(spark, sf_dir, "events").select("event_id", score(turn).cast("long").alias("score"))
 
 
 @query("ts_score_pages")

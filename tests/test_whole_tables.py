@@ -56,3 +56,56 @@ def test_semi_joins_by_the_whole_rule(spark, tmp_path):
     assert set(got) == want and len(got) == len(want) and {0, 1, 3, 6} <= want and 4 not in want
     found = {r["doc_id"]: r["n"] for r in catalog.queries()["token_contains_all_semi"](spark, str(tmp_path)).collect()}
     assert found[0] == 2 and found[5] == 1
+
+
+def test_a_service_extracts_and_failures_give_nothing(spark):
+    import http.server
+    import json
+    import threading
+
+    from pagemill.sources import extractors
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            broken = "bad" in asked["html"]
+            self.send_response(500 if broken else 200)
+            self.end_headers()
+            self.wfile.write(b"" if broken else json.dumps({"success": True, "markdown": f"# {asked['url']}"}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>"), (2, "v", "bad"), (3, None, None)], "page_id long, url string, html string")
+    ask = extractors.http_provider(f"http://127.0.0.1:{server.server_port}/", 5)
+    assert {r["page_id"]: r["provided"] for r in extractors.provided(pages, ask).collect()} == {1: "# u", 2: None, 3: "# "}
+    server.shutdown()
+    picked = spark.createDataFrame([("l", 60.0, "r"), ("l", 70.0, "r"), ("l", 10.0, None)], "a string, s double, b string").select(extractors.chosen(F.col("a"), F.col("s"), F.col("b")).alias("v")).collect()
+    assert [r["v"] for r in picked] == ["r", "l", "l"]
+
+
+def test_settings_of_any_kind_are_read(spark):
+    from pagemill.sources.settings import migrate
+
+    raws = [None, "", "{broken", "[]", "{}", '{"mode":"ai","settingsSchemaVersion":3,"user":{"id":"a"},"processing":{"slider":40}}', '{"mode":"ai","settingsSchemaVersion":3,"user":{"id":"a"},"processing":{"slider":40},"credits":5}']
+    rows = spark.createDataFrame(list(enumerate(raws)), "i long, raw string").select("i", migrate(F.col("raw"), F.col("i")).alias("s")).collect()
+    said = {r["i"]: r["s"] for r in rows}
+    assert all(said[i]["mode"] == "offline" and said[i]["migrated"] and said[i]["user_id"].startswith("anon_") for i in range(5))
+    assert said[5]["mode"] == "ai" and said[5]["user_id"] == "a" and not said[5]["migrated"] and said[6]["migrated"]
+
+
+def test_poll_publishes_states(spark, tmp_path):
+    import time
+
+    from pagemill.streaming import events
+
+    spark.createDataFrame([(1.0, "error"), (900.0, "view")], "value double, kind string").withColumn("ts", F.lit("2024-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    stream, got = events.stream_table(spark, str(tmp_path), "events"), []
+    query = events.poll(events.health(stream, "ts", "value", "kind"), lambda rows, n: got.extend(rows.collect()), f"{tmp_path}/state")
+    until = time.time() + 60
+    while not got and time.time() < until:
+        time.sleep(0.2)
+    query.stop()
+    assert got and got[0]["n"] == 2 and got[0]["errors"] == 1 and got[0]["health"] == "critical"
