@@ -7,7 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from pagemill.llm.common import bounded_batches, release, table, unused
+from pagemill.llm.common import bounded_batches, cut, release, table, unused
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Bounds of the labelled rows that the fit reads: documents that a language gives, and characters of all languages together.
@@ -66,33 +66,47 @@ def fit(documents: DataFrame, text: str = "text", lang: str = "lang", key: str =
                 yield pd.DataFrame({"lang": name, "word": list(seen), "n": list(seen.values())})
 
     counted = rows.filter(drawn).select("text", "lang").mapInPandas(count, "lang string, word string, n long")
-    summed = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
-    words: dict[str, int] = {}
-    grams: dict[str, int] = {}
-    scores = []
-    of = {name: (part["word"].tolist(), part["n"].tolist()) for name, part in summed.sort_values("word").groupby("lang")}
-    for size in range(LONGEST + 1):  # 0: whole words
-        places = grams if size else words
-        first, found = len(places), []
-        for name in languages:
-            seen: Counter[str] = Counter()
-            for word, n in zip(*of.get(name, ((), ())), strict=True):
-                for unit in _grams(word, size) if size else (word,):
-                    seen[unit] += n
-            at = np.fromiter((places.setdefault(x, len(places)) for x in seen), np.int64, len(seen)) - first
-            found.append((at, np.fromiter(seen.values(), np.float64, len(seen))))
-        counts = np.full((len(places) - first, len(languages)), 0.1)
-        for column, (at, n) in enumerate(found):
-            counts[at, column] += n
-        scores.append(_likelihoods(counts))
-    for gram in grams:
-        grams[gram] += len(words)
-    model = Model(languages, words, grams, np.concatenate(scores))
-    del summed, of, scores, found, counts
+    columns = [f"c{i}" for i in range(len(languages))]
+    of = [F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).cast("double").alias(column) for name, column in zip(languages, columns, strict=True)]
+    known = cut(counted.groupBy(F.col("word").alias("unit")).agg(*of))
+    schema = "unit string, " + ", ".join(f"{column} double" for column in columns)
+    parts = known.mapInPandas(_gram_counts, schema)
+    words, scores = _learnt(known, columns)
+    grams, gram_scores = _learnt(parts.groupBy("unit").agg(*(F.sum(column).alias(column) for column in columns)), columns, by_length=True)
+    model = Model(languages, words, {gram: at + len(words) for gram, at in grams.items()}, np.concatenate([scores, gram_scores]))
+    del grams, scores, gram_scores
     release()
     return model
 
 
+def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The n-grams of words, with the counts of the words by language."""
+    for batch in batches:
+        columns, places, found = list(batch.columns[1:]), {}, []
+        for owner, word in enumerate(batch["unit"]):
+            for size in range(1, LONGEST + 1):
+                grams = _grams(word, size)
+                # A long run of letters holds few different n-grams, many times each.
+                for gram, times in Counter(grams).items() if len(word) > 100 else zip(grams, repeat(1), strict=False):
+                    found.append((places.setdefault(gram, len(places)), owner, times))
+        at, owners, times = np.array(found, np.int64).reshape(-1, 3).T
+        sums = np.zeros((len(places), len(columns)))
+        np.add.at(sums, at, batch[columns].to_numpy(np.float64)[owners] * times[:, None])
+        yield pd.concat([pd.DataFrame({"unit": list(places)}), pd.DataFrame(sums, columns=columns)], axis=1)
+
+
+def _learnt(counted: DataFrame, columns: list[str], by_length: bool = False) -> tuple[dict[str, int], np.ndarray]:
+    """Words or n-grams by place, and the log shares of the languages in them; n-grams are set against those of their length."""
+    found = counted.toArrow().sort_by("unit")
+    units = found["unit"].to_pylist()
+    counts = np.column_stack([found[column].to_numpy() for column in columns]) + 0.1
+    scores = np.empty(counts.shape, np.float32)
+    kinds = np.array([len(u) for u in units], np.int64) if by_length else np.zeros(len(units), np.int64)
+    for kind in np.unique(kinds):
+        scores[kinds == kind] = _likelihoods(counts[kinds == kind])
+    return {unit: i for i, unit in enumerate(units)}, scores
+
+
 def _likelihoods(counts: np.ndarray) -> np.ndarray:
     """Log shares of the languages in each unit, each language's counts taken relative to their sum."""
     logs = np.log(counts / counts.sum(axis=0))
