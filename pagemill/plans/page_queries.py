@@ -271,26 +271,67 @@ def md_post_process(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown(spark, sf_dir).select("doc_id", K.post_process(c("md"), contents=True).alias("md"))
 
 
+# Markup that the given pages lack, by page id, and whether only a decoded address shows its protocol.
+ODD_MARKUP = (
+    ("", False),
+    ('<a href="jav&#x09;ascript:run()">x</a>', True),
+    ("<p>&lt;script&gt;</p>", False),
+    ("<!-- alert(1) -->", False),
+    ('<input name="submit">', False),
+    ('<i style="width:0;height:0"></i>', False),
+    ("<table><tr><td>1</table>", False),
+    ("<h2>open<li>item", False),
+    ('<b a="1"c="2">q</b>', False),
+    ("</b>", False),
+    ('<a href="&#106;&#97;vascript:run()">x</a>', True),
+    ("<a href='java\nscript:run()'>x</a>", True),
+)
+ODD = "SELECT page_id, html || CASE page_id % {} {} END AS html, page_id % {} AS turn FROM pages".format(len(ODD_MARKUP), " ".join("WHEN {} THEN '{}'".format(i, m.replace("'", "''")) for i, (m, _) in enumerate(ODD_MARKUP)), len(ODD_MARKUP))
+# The open tags, the last one first, tag by tag.
+SHAPE = rf"""WITH RECURSIVE t AS (SELECT *, regexp_extract_all(html, '</?[a-zA-Z][a-zA-Z0-9:-]*(?:\s[^>]*)?>') AS tags FROM ({ODD})),
+tag AS (SELECT page_id, i, lower(regexp_extract(tags[i], '^</?([a-zA-Z][a-zA-Z0-9:-]*)', 1)) AS name, tags[i][2] = '/' AS closing, regexp_matches(tags[i], '/>\s*$') AS alone FROM (SELECT page_id, tags, unnest(range(1, len(tags) + 1)) AS i FROM t)),
+fold AS (SELECT page_id, 0::BIGINT AS i, []::VARCHAR[] AS open, 0::BIGINT AS bad FROM t UNION ALL
+SELECT fold.page_id, tag.i, CASE WHEN closing THEN CASE WHEN list_contains(open, name) THEN list_concat(open[:list_position(open, name) - 1], open[list_position(open, name) + 1:]) ELSE open END
+WHEN alone OR name IN ({", ".join(f"'{v}'" for v in W.VOID)}) THEN open ELSE list_prepend(name, open) END, bad + (closing AND coalesce(open[1], '') <> name)::BIGINT FROM fold JOIN tag ON tag.page_id = fold.page_id AND tag.i = fold.i + 1)
+SELECT t.*, len(open)::BIGINT AS unclosed, bad AS mismatched, len(list_filter(open, lambda x: regexp_matches(x, '^h[1-6]$')))::BIGINT AS unclosed_headings,
+(SELECT count(*) FROM tag WHERE tag.page_id = t.page_id AND NOT closing AND NOT alone AND name IN ({", ".join(f"'{v}'" for v in W.VOID)})) AS bare_void,
+len(list_filter(tags, lambda x: regexp_matches(x, '(?i)^</?(?:{"|".join(W.TABLE)})[\s>]'))) > 0 AS table_seen, len(list_filter(tags, lambda x: regexp_matches(x, '(?i)^</?(?:{"|".join(W.LIST)})[\s>]'))) > 0 AS list_seen
+FROM t JOIN fold ON fold.page_id = t.page_id AND fold.i = len(tags)"""
+
+
+def odd_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = c("page_id") % len(ODD_MARKUP)
+    added = F.get(F.array(*(F.lit(m) for m, _ in ODD_MARKUP)), turn.cast("int"))
+    return pages(spark, sf_dir).select("page_id", F.concat("html", added).alias("html"))
+
+
 def _warnings_sql() -> str:
-    cases = ", ".join("CASE WHEN regexp_matches(html, '{}') THEN '{}' END".format(p.replace("'", "''"), n) for n, p in W.RULES)
-    return f"list_filter([{cases}], lambda x: x IS NOT NULL)"
+    hidden = ", ".join(str(i) for i, (_, shown) in enumerate(ODD_MARKUP) if shown)
+    found = lambda p: "regexp_matches(html, '{}')".format(p.replace("'", "''"))
+    cases = [(n, " OR ".join("({})".format(" AND ".join(map(found, way))) for way in ways) + (f" OR turn IN ({hidden})" if n == W.PROTOCOL else "")) for n, ways in W.RULES]
+    broken = "(unclosed > 0 OR mismatched > 0)"
+    tests = ("unclosed > 0", "unclosed_headings > 0", "mismatched > 0", "bare_void > 0", f"table_seen AND {broken}", f"list_seen AND {broken}")
+    cases += [(name, test) for (name, _), test in zip(W.STRUCTURE, tests, strict=True)]
+    listed = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in cases)
+    return f"SELECT page_id, list_filter([{listed}], lambda x: x IS NOT NULL) AS w FROM ({SHAPE})"
 
 
-@query("input_warnings", f"WITH w AS (SELECT page_id, {_warnings_sql()} AS w FROM pages) SELECT page_id, len(w)::BIGINT AS n, array_to_string(w, '|') AS warnings, len(list_filter(w, lambda x: regexp_matches(x, '{W.RISK}'))) > 0 AS risky FROM w")
+@query("input_warnings", f"WITH w AS ({_warnings_sql()}) SELECT page_id, len(w)::BIGINT AS n, array_to_string(w, '|') AS warnings, len(list_filter(w, lambda x: regexp_matches(x, '{W.RISK}'))) > 0 AS risky FROM w")
 def input_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = pages(spark, sf_dir).select("page_id", W.input_warnings(c("html")).alias("w"))
+    w = odd_pages(spark, sf_dir).select("page_id", W.input_warnings(c("html")).alias("w"))
     return w.select("page_id", F.size("w").cast("long").alias("n"), F.array_join("w", "|").alias("warnings"), W.has_security_signal(c("w")).alias("risky"))
 
 
-@query("security_signal", f"SELECT page_id, len(list_filter({_warnings_sql()}, lambda x: regexp_matches(x, '{W.RISK}'))) > 0 AS risky FROM pages")
+@query("security_signal", f"WITH w AS ({_warnings_sql()}) SELECT page_id, len(list_filter(w, lambda x: regexp_matches(x, '{W.RISK}'))) > 0 AS risky FROM w")
 def security_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages(spark, sf_dir).select("page_id", W.has_security_signal(W.input_warnings(c("html"))).alias("risky"))
+    return odd_pages(spark, sf_dir).select("page_id", W.has_security_signal(W.input_warnings(c("html"))).alias("risky"))
 
 
-@query("tag_structure", f"SELECT page_id, {n_tags('meta')} + {n_tags('br')} AS bare_void, 0::BIGINT AS unclosed_headings FROM pages")
+@query("tag_structure", f"SELECT page_id, bare_void, unclosed, mismatched, unclosed_headings, table_seen, list_seen FROM ({SHAPE})")
 def tag_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = pages(spark, sf_dir).select("page_id", W.tag_structure(c("html")).alias("s"))
-    return s.select("page_id", c("s.bare_void").cast("long").alias("bare_void"), c("s.unclosed_headings").cast("long").alias("unclosed_headings"))
+    s = odd_pages(spark, sf_dir).select("page_id", W.tag_structure(c("html")).alias("s"))
+    numbers = [c(f"s.{n}").cast("long").alias(n) for n in ("bare_void", "unclosed", "mismatched", "unclosed_headings")]
+    return s.select("page_id", *numbers, "s.table_seen", "s.list_seen")
 
 
 @query("ui_noise_signal", r"SELECT page_id, regexp_matches(html || CASE WHEN page_id % 3 = 0 THEN ' Accept all the cookies' ELSE '' END, '(?i)accept all .*cookie|cookie settings|tracking cookies?|popup ad|manage preferences|allow all cookies|limit my search|advanced search: by author|search faq') AS noisy FROM pages")

@@ -121,7 +121,29 @@ def test_tag_structure(spark, html, unclosed, bad, heads):
 def test_warnings(spark):
     names = value(spark, W.input_warnings, '<a onclick="x()" href="javascript:y">z</a><script>alert(1)</script>')
     assert "event handler XSS removed" in names and "protocol XSS sanitized" in names and "script XSS content removed" in names
-    assert value(spark, W.input_warnings, "<p>fine</p>") == []
+    assert value(spark, W.input_warnings, "<p>fine</p>") == [] and value(spark, W.input_warnings, "") == []
+    assert value(spark, W.input_warnings, None) == []
+
+
+@pytest.mark.parametrize(
+    ("html", "names"),
+    [
+        ('<a href="jav&#x0A;ascript:x">z</a>', ["protocol XSS sanitized", "encoded XSS sanitized"]),
+        ('<a href="&#x26;#106;avascript:x">z</a>', ["protocol XSS sanitized", "encoded XSS sanitized"]),
+        ('<a href="java\\script&#99999999999999999999;:x">z</a>', ["encoded XSS sanitized"]),
+        ('<a href="java&Tab;script&#8195;:x">z</a>', ["protocol XSS sanitized", "encoded XSS sanitized"]),
+        ("<!-- alert (1) -->", ["comment CDATA suspicious content detected"]),
+        ("<p name=action>z</p>", ["DOM clobber name collision risk detected", "DOM clobber conflict detected", "attribute quote malformed normalization applied"]),
+        ('<b a="1"c="2">z</b>', ["attribute quote malformed normalization applied"]),
+        ("<p style='width:0; height : 0'>z</p>", ["hidden invisible content detected"]),
+        ("<p style='width:0'>z</p>", []),
+        ("<h3>z<hr>", ["unclosed tag structure detected", "unclosed heading structure detected", "self-closing tag normalization applied"]),
+        ("<tr><td>z</tr>", ["unclosed tag structure detected", "mismatched closing tag detected", "table malformed structure detected"]),
+        ("<ul><li>z</ul>", ["unclosed tag structure detected", "mismatched closing tag detected", "list structure orphaned items detected"]),
+    ],
+)
+def test_warnings_of_patterns_probe_and_structure(spark, html, names):
+    assert value(spark, W.input_warnings, html) == names
 
 
 def test_weights_and_floor(spark):
