@@ -152,12 +152,18 @@ def source_bonus(source: Column, confidence: Column) -> Column:
     return by.when(source == "landing", 45.0).when(source == "feed", 18.0).when(source == "semantic", 5.0).when(source == "body", -10.0).otherwise(0.0)
 
 
-def profile_bonus(profile: Column, a: Column) -> Column:
-    """Points for how a candidate suits the type of its page."""
+def profile_bonus(profile: Column, a: Column, source: Column) -> Column:
+    """Points for how a candidate and where it comes from suit the type of its page."""
+    name = F.lower(source)
+    whole = name.isin("readability", "body", "primary-root")
+    forum = F.when(name.isin("adapter:thread", "thread:whole"), 45).when(name == "thread:post", 0).when(name == "thread:comments", 10).when(name.contains("comment"), -20)
+    forum = forum.when(name.startswith("thread:") | name.contains("forum-main"), 25).when(whole, -30).otherwise(0)
     return (
-        F.when(profile == "article", F.when(a["paragraphs"] >= 4, 8).otherwise(0) + F.when(a["density"] < 0.25, 6).otherwise(0) - F.when(a["density"] > 0.55, 12).otherwise(0))
+        F.when(profile == "article", F.when(a["paragraphs"] >= 4, 8).otherwise(0) + F.when(a["density"] < 0.25, 6).otherwise(0) - F.when(a["density"] > 0.55, 12).otherwise(0) - F.when(name.contains("sidebar") | name.contains("comment"), 15).otherwise(0))
         .when(profile == "documentation", F.when(a["code"] >= 120, 10).otherwise(0) - F.when(a["density"] > 0.75, 8).otherwise(0))
         .when(profile == "code-heavy", F.when(a["code"] >= 200, 15).otherwise(0) + F.when(a["code"] >= 800, 10).otherwise(0))
+        .when(profile == "forum", forum)
+        .when(profile == "landing-page", F.when(name == "landing", 35).when(whole, -12).otherwise(0))
         .when(profile == "product", F.when(a["tables"] > 0, 8).otherwise(0) + F.when(a["lists"] >= 4, 6).otherwise(0))
         .otherwise(0)
     )

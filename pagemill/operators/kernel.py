@@ -112,7 +112,7 @@ def extract(pages: DataFrame, captured_at: str, mode: str = "balanced", slider:
         f = c["f"]
         feed = S.feed_like(f["repeated"], f["anchors"], f["forms"], f["density"])
         base = S.candidate_score(f, F.col("n_source"), f["density"], S.default_penalty(f), feed, f["forms"] >= 3, F.col("w"))
-        total = base + S.source_bonus(c["source"], c["confidence"]) + S.profile_bonus(F.col("profile"), f)
+        total = base + S.source_bonus(c["source"], c["confidence"]) + S.profile_bonus(F.col("profile"), f, c["source"])
         score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), total))
         return F.struct((-score).alias("a"), (-S.default_retention(f)).alias("b"), S.default_penalty(f).alias("c"), c["place"].alias("d"), c["source"].alias("source"), c["markdown"].alias("markdown"))
 

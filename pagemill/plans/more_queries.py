@@ -20,7 +20,7 @@ from pagemill.plans.markdown_queries import SQL_LINES, SQL_MD, markdown
 from pagemill.plans.metrics_queries import SQL_RUNS, runs
 from pagemill.plans.page_queries import ARTICLE, sql_text, thread_json
 from pagemill.plans.registry import query, table
-from pagemill.plans.scoring_queries import SQL_F, SQL_HTML, features as feature_rows, n_of, pairs
+from pagemill.plans.scoring_queries import SQL_F, SQL_HTML, SQL_PROFILE, features as feature_rows, n_of, pairs
 from pagemill.plans.text_queries import sql_collapse, sql_normal
 
 c = F.col
@@ -103,10 +103,23 @@ golden("ts_parse", [(U, "2025-11-05T10:00:00+02:00", "2025-11-05T08:00:00.000Z")
 golden("byline_pick", [(U, "Staff|x|By Ann Lee", "Ann Lee"), (U, "News", None)], lambda r, u: metadata.pick_byline(text(r).split("|")), lambda r, u: metadata.pick_byline([text(n) for n in r.select("[rel=author],.byline,.author")]))
 golden("unique_timestamps", [(U, "2025-01-02|2025-01-02| 2024-01-02 ", "2025-01-02")], lambda r, u: metadata.pick_time(r.text().split("|"), 2026)[0], lambda r, u: t[0] if (t := metadata.pick_time(metadata.fragments(text(r)), 2026)) else None)
 golden("json_brace_delta", [(U, '{"a": "}", [', 2), (U, "]}", -2)], lambda r, u: repair.brace_balance(r.text()))
-golden("hash_cyrb53", [(U, "a", P.cyrb53("a")), (U, "page", P.cyrb53("page"))], lambda r, u: P.cyrb53(r.text()))
 golden("recovery_strategies", [(U, "1§", "1§|number|"), (U, "x§", "X§|upper|number: ValueError")], lambda r, u: "|".join([(o := P.recover([("number", lambda: str(int(r.text()))), ("upper", lambda: r.text().upper())]))[0], o[1], ";".join(o[2])]))
 
 
+# The two 32-bit states, unit by unit of an ASCII address, and how they are mixed.
+CYRB53 = """WITH RECURSIVE t AS (SELECT page_id, url, length(url) AS n FROM pages),
+f AS (SELECT page_id, 0::BIGINT AS i, xor(3735928559::BIGINT, n) AS a, xor(1103547991::BIGINT, n) AS b FROM t
+  UNION ALL SELECT t.page_id, i + 1, (xor(a, unicode(substr(url, i + 1, 1))::BIGINT)::HUGEINT * 2654435761 % 4294967296)::BIGINT, (xor(b, unicode(substr(url, i + 1, 1))::BIGINT)::HUGEINT * 1597334677 % 4294967296)::BIGINT FROM f JOIN t USING (page_id) WHERE i < n),
+m AS (SELECT page_id, b, xor((xor(a, a >> 16)::HUGEINT * 2246822507 % 4294967296)::BIGINT, (xor(b, b >> 13)::HUGEINT * 3266489909 % 4294967296)::BIGINT) AS a FROM f JOIN t USING (page_id) WHERE i = n)
+SELECT page_id, 4294967296 * (xor((xor(b, b >> 16)::HUGEINT * 2246822507 % 4294967296)::BIGINT, (xor(a, a >> 13)::HUGEINT * 3266489909 % 4294967296)::BIGINT) & 2097151) + a AS value FROM m"""
+
+
+@query("hash_cyrb53", CYRB53)
+def hash_cyrb53(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = table(spark, sf_dir, "pages").select("page_id", K.text_pass(P.cyrb53)("url").alias("h"))
+    return hashed.select("page_id", F.conv("h", 36, 10).cast("long").alias("value"))
+
+
 def pages_pass(name: str, schema: str, of) -> None:
     """A query over every page of the table."""
 
@@ -121,9 +134,22 @@ def prepared_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.per_page(table(spark, sf_dir, "pages"), "page_id long, text string", lambda i, u, h: [(i, text(dom.body_of(P.prepare(dom.parse(h), u))))])
 
 
-@query("repeated_items", "SELECT page_id, 0::BIGINT AS forms, 0::BIGINT AS repeated FROM pages")
+LISTED = """SELECT page_id, html, repeat('<article><a href="#">' || repeat('word ', 9) || '</a></article>', (page_id % 45)::INT) || repeat('<form><input></form>', (page_id % 4)::INT) || '<li>no link here, however long the item of the list may be</li><li><a>short</a></li>' AS added FROM pages"""
+
+
+@query("repeated_items", f"SELECT page_id, 2 * (page_id % 4) AS forms, least(40, page_id % 45) AS repeated, len(regexp_extract_all(html, '(?i)<(?:form|input|select|textarea)[ >]'))::BIGINT AS own_forms FROM ({LISTED})")
 def repeated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.per_page(table(spark, sf_dir, "pages"), "page_id long, forms long, repeated long", lambda i, u, h: [(i, features.form_blocks(r := features.clean(dom.parse(h))), len([x for x in r.select("li,[class*=card],[class*=item]") if x.first("a")]))])
+    """Items and forms of an authored list, which grows with the page's id, and the forms of the page itself."""
+    item, form = '<article><a href="#">' + "word " * 9 + "</a></article>", "<form><input></form>"
+    times = lambda text, most: F.repeat(F.lit(text), (c("page_id") % most).cast("int"))
+    added = F.concat(times(item, 45), times(form, 4), F.lit("<li>no link here, however long the item of the list may be</li><li><a>short</a></li>"))
+    given = table(spark, sf_dir, "pages").select("page_id", "url", "html", added.alias("added"))
+
+    def of(page_id: int, url: str, html: str, added: str) -> list:
+        listed = dom.parse(added)
+        return [(page_id, features.form_blocks(listed), features.repeated_items(listed), len(dom.parse(html).select("form,input,select,textarea")))]
+
+    return K.per_page(given, "page_id long, forms long, repeated long, own_forms long", of, ("added",))
 
 
 pages_pass("substantial_sections", "page_id long, n int", lambda i, u, h: [(i, features.sections(dom.body_of(dom.parse(h))))])
@@ -271,9 +297,10 @@ def min_len_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_rows(spark, sf_dir).select("doc_id", S.min_length(c("source_length"), F.lit("balanced"), F.lit(55)).alias("least_length"))
 
 
-@query("profile_delta", f"WITH {SQL_F} SELECT profile, count(*) AS n FROM t GROUP BY profile")
+@query("profile_delta", f"WITH {SQL_F} SELECT profile, source, count(*) AS n, sum({SQL_PROFILE})::BIGINT AS points FROM t GROUP BY profile, source")
 def profile_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feature_rows(spark, sf_dir).withColumn("points", S.profile_bonus(c("profile"), c("a"))).groupBy("profile").agg(F.count("points").alias("n"))
+    given = feature_rows(spark, sf_dir).withColumn("points", S.profile_bonus(c("profile"), c("a"), c("source")))
+    return given.groupBy("profile", "source").agg(F.count("points").alias("n"), F.sum("points").cast("long").alias("points"))
 
 
 ISSUES = [("content", 7), ("formatting", 3), ("structure", 9), ("content", 5)]

@@ -340,9 +340,15 @@ def ui_noise_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", text.rlike("(?i)accept all .*cookie|cookie settings|tracking cookies?|popup ad|manage preferences|allow all cookies|limit my search|advanced search: by author|search faq").alias("noisy"))
 
 
-@query("timestamp_like", r"SELECT event_id, true AS looks FROM events")
+@query(
+    "timestamp_like",
+    "SELECT event_id, event_id % 6 IN (0, 1, 2) AS looks FROM events",
+)
 def timestamp_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.date_format("ts", "yyyy-MM-dd HH:mm")
+    """Whether texts made of the events' times look like times: whole, day and clock alone, and three that do not."""
+    day, clock = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm")
+    made = F.array(F.concat_ws(" ", day, clock), day, clock, F.date_format("ts", "'event' yyyy"), F.lit("1:2"), F.concat(day, F.repeat(F.lit(" later"), 20)))
+    text = F.get(made, (c("event_id") % 6).cast("int"))
     looks = F.length(text).between(4, 80) & (text.rlike(r"\d{4}-\d{2}-\d{2}") | text.rlike(r"\b\d{1,2}:\d{2}\b"))
     return table(spark, sf_dir, "events").select("event_id", looks.alias("looks"))
 

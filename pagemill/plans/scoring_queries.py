@@ -14,9 +14,9 @@ from pagemill.plans.text_queries import sql_collapse, sql_heading, sql_quality
 
 c = F.col
 MODES = ["balanced", "max_retention", "max_cleanliness", "odd"]
-SOURCES = ["adapter:thread", "generic:main", "landing", "feed", "semantic", "body"]
+SOURCES = ["adapter:thread", "generic:main", "landing", "feed", "semantic", "body", "readability", "thread:post", "thread:comments", "generic:comment-list", "thread:summary"]
 STAGES = ["thread", "semantic", "readability", "heuristic"]
-PROFILES = ["article", "documentation", "code-heavy", "product", "generic"]
+PROFILES = ["article", "documentation", "code-heavy", "product", "generic", "forum", "landing-page"]
 
 
 def _pick(parts: list[str], key: Column) -> Column:
@@ -138,19 +138,22 @@ def boilerplate_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_SOURCE = """CASE WHEN source LIKE 'adapter:%' THEN 35 + confidence * 8 WHEN source LIKE 'generic:%' THEN confidence * 15 WHEN source = 'landing' THEN 45 WHEN source = 'feed' THEN 18 WHEN source = 'semantic' THEN 5 WHEN source = 'body' THEN -10 ELSE 0 END"""
-SQL_PROFILE = """CASE profile WHEN 'article' THEN CASE WHEN paragraphs >= 4 THEN 8 ELSE 0 END + CASE WHEN density < 0.25 THEN 6 ELSE 0 END - CASE WHEN density > 0.55 THEN 12 ELSE 0 END
+SQL_PROFILE = """CASE profile WHEN 'article' THEN CASE WHEN paragraphs >= 4 THEN 8 ELSE 0 END + CASE WHEN density < 0.25 THEN 6 ELSE 0 END - CASE WHEN density > 0.55 THEN 12 ELSE 0 END - CASE WHEN source LIKE '%comment%' OR source LIKE '%sidebar%' THEN 15 ELSE 0 END
   WHEN 'documentation' THEN CASE WHEN code >= 120 THEN 10 ELSE 0 END - CASE WHEN density > 0.75 THEN 8 ELSE 0 END WHEN 'code-heavy' THEN CASE WHEN code >= 200 THEN 15 ELSE 0 END + CASE WHEN code >= 800 THEN 10 ELSE 0 END
-  WHEN 'product' THEN CASE WHEN tables > 0 THEN 8 ELSE 0 END + CASE WHEN lists >= 4 THEN 6 ELSE 0 END ELSE 0 END"""
+  WHEN 'product' THEN CASE WHEN tables > 0 THEN 8 ELSE 0 END + CASE WHEN lists >= 4 THEN 6 ELSE 0 END
+  WHEN 'forum' THEN CASE WHEN source IN ('adapter:thread', 'thread:whole') THEN 45 WHEN source = 'thread:post' THEN 0 WHEN source = 'thread:comments' THEN 10 WHEN source LIKE '%comment%' THEN -20 WHEN source LIKE 'thread:%' OR source LIKE '%forum-main%' THEN 25
+    WHEN source IN ('readability', 'body', 'primary-root') THEN -30 ELSE 0 END
+  WHEN 'landing-page' THEN CASE WHEN source = 'landing' THEN 35 WHEN source IN ('readability', 'body', 'primary-root') THEN -12 ELSE 0 END ELSE 0 END"""
 
 
 @query("source_adjust", f"WITH {SQL_F} SELECT doc_id, round(({SQL_SOURCE})::DOUBLE, 6) AS source_points, ({SQL_PROFILE})::BIGINT AS profile_points FROM t")
 def source_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).select("doc_id", F.round(S.source_bonus(c("source"), c("confidence")), 6).alias("source_points"), S.profile_bonus(c("profile"), c("a")).cast("long").alias("profile_points"))
+    return features(spark, sf_dir).select("doc_id", F.round(S.source_bonus(c("source"), c("confidence")), 6).alias("source_points"), S.profile_bonus(c("profile"), c("a"), c("source")).cast("long").alias("profile_points"))
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir).withColumn("text_length", c("a.text_length"))
-    total = F.greatest(F.lit(0.0), F.least(F.lit(100.0), c("score") + S.source_bonus(c("source"), c("confidence")) + S.profile_bonus(c("profile"), c("a"))))
+    total = F.greatest(F.lit(0.0), F.least(F.lit(100.0), c("score") + S.source_bonus(c("source"), c("confidence")) + S.profile_bonus(c("profile"), c("a"), c("source"))))
     return s.select("doc_id", "page", "source", "text_length", F.round(total, 6).alias("score"), F.round(S.default_retention(c("a")), 6).alias("retention"), S.default_penalty(c("a")).alias("penalty"), F.when(c("doc_id") % 4 != 0, c("doc_id") % 17 * 1.0).alias("processing_ms"), c("doc_id").alias("place"), S.min_length(c("source_length"), c("mode"), c("slider")).alias("least_length"))
 
 
