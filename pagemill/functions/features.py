@@ -222,14 +222,12 @@ def _features(node: Node, source_heads: list[str], lead: str) -> dict:
     }
 
 
-def candidates(root: Node, thread: Node | None = None) -> list[Candidate]:
-    """Extractions of a cleaned page in pool order: readable, semantic, generic, heuristic, feed and the whole body."""
+def candidates(root: Node, first: list[Candidate] | tuple = ()) -> list[Candidate]:
+    """Extractions of a cleaned page in pool order: those given, readable, semantic, generic, heuristic, feed and the whole body."""
     body = body_of(root)
     heads = headings(body)
     lead = heads[0] if heads else ""
-    pool: list[Candidate] = []
-    if thread is not None:
-        pool.append(Candidate("adapter:thread", thread, 0.95))
+    pool: list[Candidate] = [*first]
     if (node := readable(body)) is not None:
         pool.append(Candidate("readability", node, 0.8))
     for selector in ("article", "main", "[role=main]", "[role=article]"):

@@ -367,6 +367,24 @@ def adapted(root: Node, url: str, adapters: list[Adapter] | None = None) -> list
     return out
 
 
+def pool(root: Node, url: str, profile: str, adapters: list[Adapter] | None = None) -> list[features.Candidate]:
+    """All candidates of a page as it was captured, which is cleaned here: a landing page rewritten as an article, the outermost
+    posts of a forum, what the site adapters extract, and those of every page. The tree given is changed."""
+    first: list[features.Candidate] = []
+    if profile == "landing-page" and len(flat((node := remove_empty(remove_visual(landing(root)))).text())) >= 120:
+        first.append(features.Candidate("landing", node, 0.9))
+    features.clean(root, url)
+    if profile == "forum":
+        taken: set[int] = set()
+        for node in body_of(root).select(".post,[class*=post],[slot=text-body],article,main"):
+            inside = node.parent is not None and any(id(a) in taken for a in features._ancestors(node.parent))
+            if not inside and not re.search("comment|reply", node.names(), re.I) and len(flat(node.text())) >= 50:
+                taken.add(id(node))
+                first.append(features.Candidate("generic:forum-main", node, 0.65))
+    first += [features.Candidate(f"adapter:{name}", node, 0.95) for name, node, event in adapted(root, url, adapters) if event == "used"]
+    return features.candidates(root, first)
+
+
 def stages(root: Node, url: str = "") -> list[tuple[str, Node, dict]]:
     """The stages of the degrading chain that give something, with what the gate measures: thread, semantic, readability, heuristic."""
     body, out = body_of(root), []

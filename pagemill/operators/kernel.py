@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from pagemill.functions import convert, dom, features, metadata, repair
+from pagemill.functions import convert, dom, features, metadata, page_ops, repair
 from pagemill.functions import markdown as M
 from pagemill.functions import scoring as S
 from pagemill.functions import text as T
@@ -69,13 +69,14 @@ def candidate_rows(pages: DataFrame) -> DataFrame:
     """The candidate extractions of every page with their features."""
 
     def of(page_id: int, url: str, html: str) -> list:
-        pool = features.candidates(features.clean(dom.parse(html), url))
+        root = dom.parse(html)
+        pool = page_ops.pool(root, url, features.page_type(root, url)[0])
         return [(page_id, i, c.source, c.node.html(), c.confidence, *(c.features[n] for n in FEATURES)) for i, c in enumerate(pool)]
 
     return per_page(pages, CANDIDATES, of)
 
 
-def _page(year: int, preset: str, keep_html: bool = False):
+def _page(year: int, preset: str, keep_html: bool = False, adapters: list[page_ops.Adapter] | None = None):
     def of(page_id: int | None, url: str, html: str, whole: int = 0) -> list:
         root = dom.parse(html)
         profile, confidence, signals = features.page_type(root, url)
@@ -83,7 +84,7 @@ def _page(year: int, preset: str, keep_html: bool = False):
         head = root.first("title") or root.first("h1")
         title = dom.flat(head.text()) if head is not None else ""
         source = len(dom.flat(dom.body_of(root).text()))
-        pool = features.candidates(features.clean(root, url))
+        pool = page_ops.pool(root, url, profile, adapters)
         made = [
             {"place": i, "source": c.source, "markdown": repair.normalize_headings(repair.repair_fences(convert.to_markdown(c.node, preset))), "confidence": float(c.confidence), "processing_ms": None, "f": c.features}
             for i, c in enumerate(pool)
@@ -93,18 +94,18 @@ def _page(year: int, preset: str, keep_html: bool = False):
     return of
 
 
-def extract(pages: DataFrame, captured_at: str, mode: str = "balanced", slider: int = 55, preset: str = "standard", as_of_year: int = 2026, max_chars: int | None = None, keep_html: bool = False) -> DataFrame:
+def extract(pages: DataFrame, captured_at: str, mode: str = "balanced", slider: int = 55, preset: str = "standard", as_of_year: int = 2026, max_chars: int | None = None, keep_html: bool = False, adapters: list[page_ops.Adapter] | None = None) -> DataFrame:
     """One row per page: title, page type, the winning source and its Markdown below a citation, metadata and quality.
 
     The kernel parses each page once and emits its candidates; scores, ranking, citation, warnings and quality are
     column expressions over them. Null and empty pages give a Markdown of nothing but citation and heading. Pages are
     read whole, however long, unless max_chars cuts their markup; then the column `warnings` says which were cut. With
-    keep_html the markup comes along as `html`, for `assess`.
+    keep_html the markup comes along as `html`, for `assess`. Site adapters other than the registered ones can be given.
     """
     given = pages
     if max_chars is not None:
         given = pages.select("page_id", "url", T.truncate(F.col("html"), max_chars).alias("html"), F.coalesce(F.length("html"), F.lit(0)).alias("whole"))
-    parsed = per_page(given, PAGE + ", whole int, html string", _page(as_of_year, preset, keep_html), () if max_chars is None else ("whole",))
+    parsed = per_page(given, PAGE + ", whole int, html string", _page(as_of_year, preset, keep_html, adapters), () if max_chars is None else ("whole",))
     mode_, slider_ = F.lit(mode), F.lit(slider)
     w = S.weights(mode_, slider_)
 

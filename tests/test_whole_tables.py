@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill.functions import dom, page_ops
 from pagemill.functions import text as T
 from pagemill.operators import kernel
 from pagemill.plans import catalog
@@ -109,3 +110,26 @@ def test_poll_publishes_states(spark, tmp_path):
         time.sleep(0.2)
     query.stop()
     assert got and got[0]["n"] == 2 and got[0]["errors"] == 1 and got[0]["health"] == "critical"
+
+
+PARAGRAPH = "A sentence of some length, with a comma, that says what a page of this kind would say. "
+
+
+def test_pool_holds_adapters_landing_pages_and_forum_posts():
+    sources = lambda html, url, profile, adapters=None: [x.source for x in page_ops.pool(dom.parse(html), url, profile, adapters)]
+    thread = f'<body><div class="thread"><p>{PARAGRAPH * 3}</p></div></body>'
+    assert sources(thread, "", "generic")[0] == "adapter:thread" and "adapter:thread" not in sources(thread, "", "generic", [])
+    own = page_ops.Adapter("own", lambda root, url: "own.example" in url, lambda root: root.first("p"))
+    assert sources(thread, "https://own.example/", "generic", [own])[0] == "adapter:own"
+    chips = f'<body><h1>Ann</h1><p>{PARAGRAPH * 2}</p><span class="chip">sql</span></body>'
+    assert sources(chips, "", "landing-page")[0] == "landing" and "landing" not in sources(chips, "", "article")
+    assert sources("<body><p>short</p></body>", "", "landing-page")[0] != "landing"
+    forum = f'<body><div class="post"><div class="post-body">{PARAGRAPH}</div></div><div class="post comment">{PARAGRAPH}</div><div class="post">x</div></body>'
+    assert [x for x in sources(forum, "", "forum") if x == "generic:forum-main"] == ["generic:forum-main"]
+
+
+def test_extract_takes_given_adapters_to_the_workers(spark):
+    own = page_ops.Adapter("own", lambda root, url: True, lambda root: root.first("section"))
+    html = f"<html><head><title>T</title></head><body><section><p>{PARAGRAPH * 6}</p></section></body></html>"
+    pages = spark.createDataFrame([(1, "https://own.example/a", html)], "page_id long, url string, html string")
+    assert kernel.extract(pages, "T", adapters=[own]).first()["winner"] == "adapter:own"
