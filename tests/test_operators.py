@@ -78,3 +78,15 @@ def test_streams_equal_batches(spark, tmp_path):
     want = {(r["user_id"], r["day"]): (min(2, r["n"]), max(0, r["n"] - 2)) for r in frame.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n")).collect()}
     assert quota == want
     assert E.drain(E.sessions(stream(), "user_id", "ts", "1 hour", "30 days"), "complete").agg(F.sum("n")).first()[0] == 60
+
+
+def test_quota_lets_go_of_days_behind_the_watermark(spark, tmp_path):
+    for i, day in enumerate(("2024-01-01", "2024-01-20", "2024-01-21", "2024-01-25")):
+        spark.sql(f"SELECT 1L AS who, timestamp'{day} 10:00:00' AS ts FROM range(3)").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        rows = spark.readStream.schema("who long, ts timestamp").parquet(str(tmp_path / "in"))
+        seen = {}
+        keep = lambda batch, _: seen.update({r["day"]: (r["used"], r["refused"]) for r in batch.collect()})
+        run = E.daily_quota(rows, "who", "ts", 2, "1 day").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).foreachBatch(keep).trigger(availableNow=True).start()
+        run.awaitTermination()
+        assert seen == {day: (2, 1)}
+        assert run.lastProgress["stateOperators"][0]["numRowsTotal"] == (1, 1, 2, 1)[i]
