@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import markdown as M
 from pagemill.functions import text as T
+from pagemill.operators.kernel import spread
 from pagemill.plans.registry import query, table
 from pagemill.plans.text_queries import sql_collapse, sql_heading, sql_normal
 
@@ -27,15 +28,15 @@ FRONT = ["", "> Source: [t](u)\n> Captured: now\n> Hash: abc\n\n", f"{TICKS}mark
 BACK = ["", "", f"\n{TICKS}\n", ""]
 
 
-def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as Markdown: a heading, the text with its sentences on lines, and an extra."""
-    docs = table(spark, sf_dir, "documents")
+def markdown(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Documents as Markdown: a heading, the text with its sentences on lines, and an extra; and more columns of theirs."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     pick = lambda parts, key: F.element_at(F.array(*map(F.lit, parts)), (key % len(parts) + 1).cast("int"))
     title = F.concat("source", F.lit(" document number "), c("doc_id").cast("string"))
     # One document in four is a whole-document fence; those get the fence alone around plain text.
     body = F.concat(F.lit("# "), title, F.lit("\n\n"), F.replace("text", F.lit(". "), F.lit(".\n")))
     extra = F.when(c("doc_id") % 4 == 2, F.lit("")).otherwise(pick(EXTRAS, F.floor(c("doc_id") / 4)))
-    return docs.select("doc_id", title.alias("title"), F.concat(pick(FRONT, c("doc_id")), body, extra, pick(BACK, c("doc_id"))).alias("md"))
+    return docs.select("doc_id", title.alias("title"), F.concat(pick(FRONT, c("doc_id")), body, extra, pick(BACK, c("doc_id"))).alias("md"), *more)
 
 
 def _literal(text: str) -> str:

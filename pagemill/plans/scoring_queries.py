@@ -232,7 +232,7 @@ SQL_HTML = "(SELECT m.doc_id, m.title, m.md, '<html><h1>' || m.title || '</h1><u
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown with a page that it could come from."""
     html = F.concat(F.lit("<html><h1>"), c("title"), F.lit("</h1><ul><li>"), c("text"), F.lit("</li></ul><h2>x</h2><h2>y</h2>"), F.when(c("doc_id") % 2 == 0, "<pre>z</pre>").otherwise(""), F.repeat(F.lit("<i>pad</i>"), (c("doc_id") % 60 * 20).cast("int")), F.lit("</html>"))
-    return markdown(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "title", "md", html.alias("html"))
+    return markdown(spark, sf_dir, "text").select("doc_id", "title", "md", html.alias("html"))
 
 
 def n_of(text: str, pattern: str) -> str:
