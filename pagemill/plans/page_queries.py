@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import convert, dom, features, metadata, repair, threads
@@ -227,13 +227,36 @@ def thread_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return thread_json(spark, sf_dir).select("conv_id", K.text_pass(render)("json").alias("html"))
 
 
-@query("thread_diagnostics", "SELECT conv_id, least(80, count(*) FILTER (rn > 1 AND trim(text) <> '')) AS n_comments, 0 AS max_depth FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) GROUP BY conv_id")
+def nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as listings: flat where the id is odd, and else every turn a reply to the one before it."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    grouped = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    rest = F.slice("turns", F.lit(2), F.greatest(F.size("turns") - 1, F.lit(0)))
+
+    def comment(t: Column, replies: Column) -> Column:
+        own = F.to_json(F.struct(F.concat(F.lit("c"), t["turn"].cast("string")).alias("id"), t["role"].alias("author"), t["text"].alias("body")))
+        return F.concat(F.lit('{"kind":"t1","data":'), F.regexp_replace(own, r"\}\z", ""), F.lit(',"replies":'), replies, F.lit("}}"))
+
+    listing = lambda kids: F.concat(F.lit('{"data":{"children":['), kids, F.lit("]}}"))
+    chain = F.aggregate(F.reverse(rest), F.lit('""'), lambda below, t: listing(comment(t, below)))
+    flat = listing(F.array_join(F.transform(rest, lambda t: comment(t, F.lit('""'))), ","))
+    post = F.lit('[{"data":{"children":[{"kind":"t3","data":{"title":"x","selftext":""}}]}},')
+    replies = F.when(F.size(rest) == 0, flat).when(c("conv_id") % 2 == 1, flat).otherwise(chain)
+    return grouped.select("conv_id", F.concat(post, replies, F.lit("]")).alias("json"))
+
+
+@query(
+    "thread_diagnostics",
+    f"""WITH t AS (SELECT conv_id, trim(text) <> '' AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+    n AS (SELECT conv_id, count(*) FILTER (rn > 1 AND said) AS flat, coalesce(min(rn) FILTER (rn > 1 AND NOT said), max(rn) + 1) - 2 AS chain FROM t GROUP BY conv_id)
+    SELECT conv_id, CASE WHEN conv_id % 2 = 1 THEN least({threads.MOST}, flat) ELSE least({threads.MOST}, {threads.DEEPEST} + 1, chain) END AS n_comments, CASE WHEN conv_id % 2 = 1 THEN 0 ELSE greatest(0, least({threads.DEEPEST} + 1, chain) - 1) END AS max_depth FROM n""",
+)
 def thread_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     def measure(payload: str) -> str:
         _, rows, omitted = threads.flatten(payload)
         return json.dumps({"n": len(rows), "depth": max((r["depth"] for r in rows), default=0), "omitted": omitted})
 
-    made = thread_json(spark, sf_dir).withColumn("d", F.from_json(K.text_pass(measure)("json"), "n long, depth int, omitted int"))
+    made = nested_json(spark, sf_dir).withColumn("d", F.from_json(K.text_pass(measure)("json"), "n long, depth int, omitted int"))
     return made.select("conv_id", c("d.n").alias("n_comments"), c("d.depth").alias("max_depth"))
 
 
