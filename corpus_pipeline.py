@@ -42,10 +42,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: every document with the piece ids, log probability and inclusion score of its first sampled segmentation."""
-    done = encode_samples(docs, read_model(), k=1)
-    first = lambda name: F.get(f"samples.{name}", F.lit(0))
-    return done.select("doc_id", "lang", "source", first("ids").alias("ids"), first("n_pieces").alias("n_pieces"), first("log_prob").alias("log_prob"), first("inclusion").alias("inclusion"))
+    """Operator 6: every document with the piece ids, log probability and inclusion score of its first sampled segmentation,
+    and in `others` those of its further ones, as many as operator 6 draws."""
+    done = encode_samples(docs, read_model())
+    of = ["ids", "n_pieces", "log_prob", "inclusion"]
+    samples = F.arrays_zip(*(F.col(f"samples.{name}").alias(name) for name in of))
+    first = [F.get(f"samples.{name}", F.lit(0)).alias(name) for name in of]
+    return done.select("doc_id", "lang", "source", *first, F.slice(samples, F.lit(2), F.greatest(F.size(samples) - 1, F.lit(0))).alias("others"))
 
 
 def _counted(done: DataFrame, docs: DataFrame) -> DataFrame:

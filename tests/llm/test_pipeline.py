@@ -76,6 +76,19 @@ def test_segmentation_stage(spark, corpus, folder):
     assert len(out) == len(texts) and all(pieces.decode(r["ids"]) == texts[r["doc_id"]] and r["n_pieces"] == len(r["ids"]) for r in out)
 
 
+def test_segmentation_stage_gives_every_sample(spark, corpus, folder):
+    pieces = segmentation.Pieces(segmentation.read_model())
+    texts = {i: t for i, t, *_ in corpus[0]} | {-1: "", -2: None}
+    docs = spark.createDataFrame(corpus[0] + [(-1, "", "en", "s", 0), (-2, None, "en", "s", None)], SCHEMA)
+    out = STAGES["segmentation"](spark, docs, folder).collect()
+    for r in out:
+        samples = [tuple(r["ids"]), *(tuple(x["ids"]) for x in r["others"])]
+        assert len(samples) == len(set(samples)) == (segmentation.SAMPLES if texts[r["doc_id"]] else 1)
+        assert all(pieces.decode(ids) == (texts[r["doc_id"]] or "") for ids in samples)
+        assert all(x["n_pieces"] == len(x["ids"]) and x["log_prob"] < 0 and 0 <= x["inclusion"] <= 1 for x in r["others"])
+    assert len(out) == len(texts) and segmentation.SAMPLES > 1
+
+
 def test_run(spark, corpus, folder):
     pieces = segmentation.Pieces(segmentation.read_model())
     out = {r["doc_id"]: pieces.decode(r["ids"]) for r in corpus_pipeline.run(spark, folder).collect()}
