@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +27,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pagemill-"))
 
 
+@contextlib.contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of an action go when the action ends, and not whenever the driver collects its garbage.
+    For actions whose result is all that is read again; Spark recomputes what is asked for once more."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(frame: DataFrame) -> DataFrame:
-    """The frame, written to the shared checkpoint folder: lost executors cost no recomputation of what lies before."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """The frame, written to the shared checkpoint folder: lost executors cost no recomputation of what lies before, and the
+    shuffle files that led to it go."""
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    with brief_shuffles(spark):
+        # Planned here: a frame that has run already keeps the setting of its first run.
+        return frame.select("*").checkpoint(eager=True)
 
 
 #: Rows of an Arrow batch where the session has no setting of its own: texts are long, and a worker holds a batch twice.

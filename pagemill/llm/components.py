@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import cut
+from pagemill.llm.common import brief_shuffles, cut
 
 
 def _toward_least(links: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = stars.filter("dst != least").select(F.col("dst").alias("src"), F.col("least").alias("dst")).unionByName(stars.select("src", F.col("least").alias("dst"))).distinct()
         changed = cut(small)
         # A star forest has every node under one least node only, and no least node under another.
-        done = changed.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty() and changed.join(changed.select(F.col("src").alias("dst")), "dst", "left_semi").isEmpty()
+        with brief_shuffles(links.sparkSession):
+            done = changed.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty() and changed.join(changed.select(F.col("src").alias("dst")), "dst", "left_semi").isEmpty()
         links = changed
         if done:
             roots = links.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()

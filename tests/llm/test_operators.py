@@ -600,3 +600,23 @@ def test_whole_body_without_article():
 def test_broken_markup():
     assert html_wrappers.main_text("<p>a<p>b<div>c</span></p><script>x", None) == "a\nb\nc"
     assert html_wrappers.main_text('<p>q "quote <b x="1>">in</b> <!-- c', None) == 'q "quote in'
+
+
+# Checkpoints.
+
+
+def test_shuffle_files_go_with_the_checkpoint(spark):
+    import time
+
+    from pagemill.llm.common import cut
+
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in files.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffled(), spark.conf.get(key)
+    counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    done, until = cut(counted), time.time() + 20
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(key) == setting
+    assert sum(r["n"] for r in done.collect()) == 1000 == sum(r["n"] for r in counted.collect())
