@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.functions import urls as U
+from pagemill.operators import lookups
 from pagemill.operators import metrics as M
 from pagemill.operators import ranking as R
 from pagemill.operators import stateful as S
@@ -278,29 +279,11 @@ def token_contains_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(F.array(*map(F.lit, words)).cast("array<string>"), lambda w: F.contains(c("text"), w))).cast("long").alias("n"))
 
 
-def _heading_keys(h, inner: bool):
-    """Keys of which two equivalent headings share one: the whole, every longer word, and for containment the first 20
-    characters of the inner heading and every 20 characters of the outer one. Each may be inner or outer, so they take turns."""
-    starts = F.when(F.length(h) >= 20, F.sequence(F.lit(1), F.length(h) - 19)).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(starts, lambda i: F.xxhash64(F.lit("in" if inner else "out"), F.substring(h, i, F.lit(20))))
-    first = F.when(F.length(h) >= 20, F.array(F.xxhash64(F.lit("out" if inner else "in"), F.substring(h, 1, 20)))).otherwise(F.array().cast("array<bigint>"))
-    words = F.transform(T.heading_tokens(h), lambda w: F.xxhash64(F.lit("word"), w))
-    return F.array_distinct(F.concat(F.array(F.xxhash64(F.lit("whole"), h)), words, grams, first))
-
-
-def equivalent_headings(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The distinct values of left.h that are equivalent to a value of right.h, as a theta join over shared keys."""
-    a = left.select("h").filter("h != ''").distinct().withColumn("k", F.explode(_heading_keys(c("h"), True)))
-    b = right.select(c("h").alias("g")).filter("g != ''").distinct().withColumn("k", F.explode(_heading_keys(c("g"), False)))
-    return a.join(b, "k").filter(T.headings_equivalent(c("h"), c("g"))).select("h").distinct()
-
-
 @query("heading_equivalent_semi_join")
 def heading_equivalent_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose first line is equivalent to the first line of a benchmark text, by the whole rule of headings."""
-    heads = lambda name, *columns: table(spark, sf_dir, name).select(*columns, T.normalize_heading(F.get(F.split("text", "\n"), F.lit(0))).alias("h"))
-    docs = heads("documents", "doc_id")
-    return docs.join(equivalent_headings(docs, heads("benchmark")), "h", "left_semi").select("doc_id")
+    heads = lambda name, *columns: table(spark, sf_dir, name).select(*columns, T.normalize_heading(F.substring_index("text", "\n", 1)).alias("h"))
+    return lookups.equivalent_headings(heads("documents", "doc_id"), heads("benchmark")).select("doc_id")
 
 
 @query("token_contains_all_semi")

@@ -1,5 +1,8 @@
 """Operators shown on authored markup also run over whole tables, and nothing cuts a page."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +62,36 @@ def test_semi_joins_by_the_whole_rule(spark, tmp_path):
     assert found[0] == 2 and found[5] == 1
 
 
+@pytest.fixture(scope="module")
+def lookup_folder(spark, tmp_path_factory):
+    rng, path = random.Random(5), str(tmp_path_factory.mktemp("lookups"))
+    words = ["red", "sea", "house", "by", "a", "boat", "ñandú", "harbour", "light", "hour", "ours", "of"]
+    line = lambda n: " ".join(rng.choice(words) + rng.choice(["", "", "x", "7"]) for _ in range(n))
+    texts = [line(rng.randrange(1, 7)) + "\n" + line(5) for _ in range(150)] + ["abcdef" * 9, "a a a by", "red red red", "", " ", None, "!!", "x" * 300 + "harbour" + "y" * 300]
+    items = [line(rng.randrange(1, 9)) + "\t" + line(2) + "\n" + line(3) for _ in range(25)] + ["bcdef" + "abcdef" * 4, "", None, "red of a by", "red   red"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:9])], "doc_id long, text string").repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(str(i), t) for i, t in enumerate(items)], "item_id string, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+def lookup_want(spark, path):
+    docs, items = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/benchmark.parquet")
+    head = T.normalize_heading(F.get(F.split("text", "\n"), F.lit(0)))
+    pairs = docs.select("doc_id", head.alias("a")).crossJoin(items.select(head.alias("b")))
+    same = sorted(r["doc_id"] for r in pairs.filter(T.headings_equivalent(F.col("a"), F.col("b"))).select("doc_id").distinct().collect())
+    words = {w for r in items.collect() for w in re.split(r"[ \t\n]+", r["text"] or "") if len(w) > 3}
+    return same, {r["doc_id"]: sum(w in (r["text"] or "") for w in words) for r in docs.collect()}
+
+
+@pytest.mark.parametrize("block", [500_000, 300])
+def test_equivalent_headings_one_pass(spark, lookup_folder, block, monkeypatch):
+    monkeypatch.setattr("pagemill.operators.lookups.BLOCK_BYTES", block)
+    frame = catalog.queries()["heading_equivalent_semi_join"](spark, lookup_folder)
+    want, _ = lookup_want(spark, lookup_folder)
+    assert sorted(r["doc_id"] for r in frame.collect()) == want and 20 < len(want) < 160
+    assert not re.search("Join|Generate", frame._jdf.queryExecution().executedPlan().toString())
+
+
 def test_a_service_extracts_and_failures_give_nothing(spark):
     import http.server
     import json
