@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-#: Bytes of a query set that one index holds.
-BLOCK_BYTES = 500_000
+#: Bytes of a query set that one index holds, tokens a worker remembers, and bytes of a token that it remembers.
+BLOCK_BYTES, REMEMBERED, TOKEN_BYTES = 500_000, 200_000, 64
 
 
 class Headings:
@@ -56,6 +56,30 @@ class Headings:
         return any(h.startswith(other, i) for i in range(len(h) - 19) for other in self.starts.get(h[i : i + 20], ()))
 
 
+class Words(dict):
+    """Words without white space, of four bytes or more; a token's entry holds the numbers of those inside it."""
+
+    def __init__(self, words: list[bytes]):
+        super().__init__()
+        self.starts: dict[bytes, list[tuple[int, bytes]]] = {}
+        for i, w in enumerate(words):
+            self.starts.setdefault(w[:4], []).append((i, w))
+
+    def __missing__(self, token: bytes) -> tuple[int, ...]:
+        found = tuple({n for i in range(len(token) - 3) for n, w in self.starts.get(token[i : i + 4], ()) if token.startswith(w, i)})
+        if len(token) <= TOKEN_BYTES:
+            if len(self) > REMEMBERED:
+                self.clear()
+            self[token] = found
+        return found
+
+    def count(self, text: str | None) -> int:
+        found: set[int] = set()
+        for token in set(text.encode("utf-8", "surrogatepass").split()) if text else ():
+            found.update(self[token])
+        return len(found)
+
+
 def _in_blocks(rows: DataFrame, into: str, queries: DataFrame, step: Callable) -> DataFrame:
     """The rows with the column `into`, which step makes from the queries of each block and what it was before."""
     n_bytes = queries.agg(F.sum(F.octet_length("q"))).first()[0] or 0
@@ -87,3 +111,22 @@ def equivalent_headings(left: DataFrame, right: DataFrame) -> DataFrame:
 
     queries = right.select(F.col("h").alias("q")).filter("q != ''").distinct()
     return _in_blocks(left.withColumn("_found", F.lit(False)), "_found", queries, step).filter("_found").drop("_found")
+
+
+def words_inside(rows: DataFrame, words: DataFrame, text: str = "text", into: str = "n") -> DataFrame:
+    """The rows with the number of distinct words of words.w that stand anywhere in the text, inside its words too. A word
+    has four characters or more and no white space; a null text holds none."""
+    context = rows.sparkSession.sparkContext
+
+    def step(block: list[str]):
+        shared = context.broadcast([w.encode("utf-8", "surrogatepass") for w in block])
+
+        @pandas_udf("long")
+        def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            index = Words(shared.value)
+            for batch in batches:
+                yield pd.Series([index.count(t) for t in batch], dtype="int64")
+
+        return F.col(into) + count.asNondeterministic()(F.col(text))
+
+    return _in_blocks(rows.withColumn(into, F.lit(0).cast("long")), into, words.select(F.col("w").alias("q")).distinct(), step)

@@ -289,9 +289,8 @@ def heading_equivalent_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("token_contains_all_semi")
 def token_contains_all_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of the benchmark of more than three letters, looked up in every document."""
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("w")).filter(F.length("w") > 3).agg(F.collect_set("w").alias("ws"))
-    found = F.size(F.filter("ws", lambda w: F.contains(c("text"), w))).cast("long")
-    return table(spark, sf_dir, "documents").crossJoin(F.broadcast(words)).select("doc_id", found.alias("n"))
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("w")).filter(F.length("w") > 3)
+    return lookups.words_inside(table(spark, sf_dir, "documents").select("doc_id", "text"), words).select("doc_id", "n")
 
 
 @query("capture_to_result", f"WITH p AS (SELECT page_id, url, sha256(url) AS h FROM pages) SELECT a.page_id, b.page_id AS other FROM p a JOIN p b ON a.h = b.h AND a.page_id < b.page_id")

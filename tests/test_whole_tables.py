@@ -92,6 +92,15 @@ def test_equivalent_headings_one_pass(spark, lookup_folder, block, monkeypatch):
     assert not re.search("Join|Generate", frame._jdf.queryExecution().executedPlan().toString())
 
 
+@pytest.mark.parametrize("block", [500_000, 100])
+def test_words_inside_one_pass(spark, lookup_folder, block, monkeypatch):
+    monkeypatch.setattr("pagemill.operators.lookups.BLOCK_BYTES", block)
+    frame = catalog.queries()["token_contains_all_semi"](spark, lookup_folder)
+    _, want = lookup_want(spark, lookup_folder)
+    assert {r["doc_id"]: r["n"] for r in frame.collect()} == want and frame.count() == len(want) and max(want.values()) > 9
+    assert not re.search("Join|Generate", frame._jdf.queryExecution().executedPlan().toString())
+
+
 def test_a_service_extracts_and_failures_give_nothing(spark):
     import http.server
     import json
